@@ -73,7 +73,7 @@ def leaf(quotas: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.nda
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, docs_per_block: int = 256, blocks_per_shard: int = 64, cut_last: bool = True, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, and ``draws``: its copies as (shard, place, words).
+    """One row per document: doc_id, source, text_key (a hash of its text), size, source_size, target, taken, and ``draws``: its copies as (shard, place, words).
 
     Sources in code point order, null last, take ``weights`` in turn, repeating. The mix is as large as all sizes.
     """
@@ -82,6 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.xxhash64(text_col).alias("text_key"),
         ).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source")),
         "sizes",
     )
@@ -140,7 +141,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     copies = copies.groupBy("s", "block").agg(F.sort_array(F.collect_list(F.struct("shard", "full"))).alias("copies"))
     chosen = block.select("s", "block", "part", "cut").join(copies, ["s", "block"], "left")
 
-    out = rows.select("doc_id", "source", "size", "h", "s", "source_size", "target", "block").join(chosen, ["s", "block"])
+    out = rows.select("doc_id", "source", "text_key", "size", "h", "s", "source_size", "target", "block").join(chosen, ["s", "block"])
     # the one block of a source in which the rest is reached: its documents in hash order
     by_hash = Window.partitionBy("s", "block").orderBy("h", "doc_id", "size")
     cut = out.where("cut").withColumn("row", F.row_number().over(by_hash)).withColumn("before", F.sum("size").over(by_hash.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
@@ -152,11 +153,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     place = lambda c: F.xxhash64(F.lit(seed), F.col("h"), c["shard"], c["full"])
     draws = F.filter(F.transform(F.coalesce("copies", F.expr("cast(array() as array<struct<shard: bigint, full: boolean>>)")), lambda c: F.struct(c["shard"].alias("shard"), place(c).alias("place"), F.when(c["full"], F.col("size")).otherwise(F.col("some")).alias("words"))), lambda d: (d["words"] > 0) | (F.col("size") == 0))
     out = out.withColumn("draws", draws)
-    return out.select("doc_id", "source", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"), "draws")
+    return out.select("doc_id", "source", "text_key", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"), "draws")
 
 
-def write_order(mixed: DataFrame, shard_files: int | None = None) -> DataFrame:
-    """The mix itself: one row per copy, brought together by shard and shuffled inside it; doc_id, shard, place, words."""
-    copies = mixed.select("doc_id", F.explode("draws").alias("d")).select("doc_id", "d.shard", "d.place", "d.words")
-    copies = copies.repartition(shard_files, "shard") if shard_files else copies.repartition("shard")
-    return copies.sortWithinPartitions("shard", "place", "doc_id")
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself: ``docs`` repeated as drawn, whole documents only, brought together by output shard and shuffled inside it.
+
+    Rows equal in id, source and text get the same draws.
+    """
+    plan = mix(docs, id_col, text_col, source_col, **how | {"cut_last": False}).where("size(draws) > 0")
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__key"), F.col("draws").alias("__draws")).dropDuplicates(["__id", "__source", "__key"])
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (F.xxhash64(text_col) == F.col("__key"))
+    copies = docs.join(plan, same).select(*docs.columns, F.explode("__draws").alias("__draw"))
+    copies = copies.repartition(F.col("__draw.shard")).sortWithinPartitions("__draw.shard", "__draw.place", id_col)
+    return copies.select(*docs.columns)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import embed, mixing, packing, simhash, storage, token_output
+from textquarry.llm import embed, licences, media, mixing, packing, pii, sharding, simhash, storage, token_output, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store all documents as 8-bit samples in deduplicated chunks, read them back, describe them."""
+    return media.media_features(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and the components of links at 4 or fewer bits."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
@@ -32,15 +37,62 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digests of all documents and the known licence each one is."""
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, no shard above its byte limit."""
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 1024; digest the ids of each piece."""
     out = packing.pack_documents(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base entities and discovered identifiers of all documents."""
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    number = [F.aggregate("base", F.lit(0).cast("long"), lambda n, s: n + (s["kind"] == k).cast("long")).alias(f"n_{k}") for k in pii.KINDS]  # noqa: B023
+    return found.select("doc_id", *number, F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+OPERATORS = [op1_token_output, op2_mixing, op3_media, op4_simhash, op5_embeddings, op6_licences, op7_sharding, op8_packing, op9_pii, op10_toxicity]
+
+
 def queries():
-    return {k: f for k, f in globals().items() if k.startswith("op")}
+    """The ten operators' queries and the pipeline."""
+    import corpus_pipeline
+
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express."""
+    hashed = "(('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint)"
+    return {
+        "op6_licences": f"""
+            select doc_id, sha256(form) as digest, length(form)::bigint as canonical_chars, licence
+            from (select doc_id, {licences.canonical_sql('text')} as form from documents)
+            left join (select {licences.canonical_sql('known')} as known_form, licence from (values {', '.join("('" + v.replace("'", "''") + "', '" + k + "')" for k, v in licences.KNOWN.items())}) t(known, licence))
+            on form = known_form""",
+        "op7_sharding": f"""
+            with rows_ as (select doc_id, coalesce(octet_length(encode(text)), 0)::bigint as bytes, {hashed} as h from documents),
+            levels as (select depth, h >> (32 - depth) as prefix, sum(bytes)::bigint as shard_bytes
+                       from rows_, range(0, 33) d(depth) group by 1, 2 having sum(bytes) <= {8 << 20}),
+            found as (select r.doc_id, r.bytes, l.depth, l.prefix, l.shard_bytes, row_number() over (partition by r.doc_id order by l.depth) as n
+                      from rows_ r join levels l on l.prefix = r.h >> (32 - l.depth))
+            select doc_id, bytes, depth::int as depth, prefix, (-1)::bigint as overflow,
+                   case when depth = 0 then '' else lpad(bin(prefix), depth::int, '0') end as shard, shard_bytes
+            from found where n = 1""",
+    }
