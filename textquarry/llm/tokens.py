@@ -19,40 +19,71 @@ import pyarrow.compute as pc
 RUN = r"[\t-\r \x1c-\x1f\x{85}\p{Z}] (?:[\t-\r \x1c-\x1f\x{85}\p{Z}]|$)"
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for the code points from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
+#: Marks that never join a letter before them; an apostrophe may.
+MARKS = ".,;:!?*&%$#)(-\""
+
+
 class Encoder:
-    """Encodes Arrow string arrays to ids. ``keeps_spaces``: spaces belong to the words they precede."""
+    """Encodes Arrow string arrays to ids. ``keeps_spaces``: spaces belong to the words they precede.
+
+    ``remember`` words are kept in each of two generations; a word that is met again moves to the younger one.
+    """
 
-    def __init__(self, path: str, keeps_spaces: bool, remember: int = 400_000):
+    def __init__(self, path: str, keeps_spaces: bool, remember: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # the strings of special tokens are ordinary text
+        self.model = self.tok.model
         self.keeps_spaces, self.remember = keeps_spaces, remember
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        letters = byte_letters()
+        #: Latin-1 letters as the byte-level alphabet spells their UTF-8.
+        self.spell = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(128, 256)}
+        self.space = letters[32] if keeps_spaces else ""
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word (with its space, if it has one), as bytes.
+
+        A word of Latin-1 letters passes the normaliser and the word pattern whole and unchanged (but for case),
+        so it goes to the vocabulary's merges at once; marks after its last letter are a word of their own.
+        """
+        base = word.rstrip(MARKS)
+        if len(base) < len(word) and base and base[-1].isalpha():
+            return self._known(base) + self._known(word[len(base) :])
+        bare = word[1:] if self.space and word[:1] == " " else word
+        if bare.isalpha() and (bare.isascii() or max(bare) <= "\xff"):
+            if not self.keeps_spaces:
+                bare = bare.lower()
+            spelled = bare if bare.isascii() else bare.translate(self.spell)
+            return array("I", [t.id for t in self.model.tokenize(self.space + spelled if bare is not word and self.space else spelled)]).tobytes()
+        return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _known(self, word: str) -> bytes:
+        ids = self.young.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is None:
+                ids = self._word(word)
+            self.young[word] = ids
+        return ids
 
     def _pieces(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, as bytes. Marks after a last letter are words of their own in both vocabularies."""
-        if len(self.known) > self.remember:
-            self.known = {}
-        known, cut, new = self.known, [], {}
+        out, known = [], self._known
         for w in words:
-            base = w.rstrip(".,;:")
-            tail = ""
-            if len(base) < len(w) and base and base[-1].isalpha():
-                tail = w[len(base) :]
-            else:
-                base = w
-            if not self.keeps_spaces and base.isascii():
-                base = base.lower()  # as this vocabulary's normaliser does
-            cut.append((base, tail))
-            if base not in known:
-                new[base] = None
-            if tail and tail not in known:
-                new[tail] = None
-        for w, e in zip(new, self.tok.encode_batch_fast(list(new), add_special_tokens=False), strict=True):
-            known[w] = array("I", e.ids).tobytes()
-        return [known[w] + known[t] if t else known[w] for w, t in cut]
+            out.append(known(w))
+            if len(self.young) >= self.remember:
+                self.old, self.young = self.young, {}
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin (one more entry than texts). A null is empty."""
@@ -69,29 +100,33 @@ class Encoder:
     def _fast(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(texts) == 0:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        if not self.keeps_spaces:
+            texts = pc.ascii_lower(texts)  # as this vocabulary's normaliser does
         split = pc.split_pattern(texts, " ")
         bounds = np.asarray(split.offsets).astype(np.int64)
         bounds = bounds - bounds[0]
         coded = split.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+        words, codes = coded.dictionary.to_pylist(), np.array(coded.indices)
+        del split, coded
         if self.keeps_spaces:
             first = np.unique(codes[bounds[:-1]])  # the words that begin a text carry no space
-            place = np.zeros(len(words), np.int64)
+            place = np.zeros(len(words), np.int32)
             place[first] = np.arange(len(first))
             codes[bounds[:-1]] = len(words) + place[codes[bounds[:-1]]]
             words = [" " + w for w in words] + [words[k] for k in first]
         known = self._pieces(words)
-        lens = np.array([len(k) for k in known], dtype=np.int64) // 4
+        lens = np.array([len(k) for k in known], dtype=np.int32) // 4
         flat = np.frombuffer(b"".join(known), dtype=np.uint32)
-        at = np.cumsum(lens) - lens
+        at = np.cumsum(lens, dtype=np.int32) - lens
         each = lens[codes]
-        ends = np.cumsum(each)
+        ends = np.cumsum(each, dtype=np.int32)  # a slice holds a few million ids
         total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(at[codes] - (ends - each), each) + np.arange(total)]
-        return ids, np.concatenate([[0], ends])[bounds]
+        where = np.repeat(at[codes] - (ends - each), each)
+        where += np.arange(total, dtype=np.int32)
+        return flat[where], np.concatenate([[0], ends])[bounds].astype(np.int64)
 
 
-def slices(texts: pa.Array, most_bytes: int = 8 << 20):
+def slices(texts: pa.Array, most_bytes: int = 3 << 20):
     """(from, to) row ranges of at most ``most_bytes`` of text each, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     at = 0
