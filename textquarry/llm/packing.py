@@ -72,7 +72,7 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int], lis
     return where, offset, fill
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, tokenizer: str = "byte_bpe_50k.json", keeps_spaces: bool = True, end_id: int = 0, pool_tokens: int = 1 << 22) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, tokenizer: str = "byte_bpe_50k.json", keeps_spaces: bool = True, end_id: int = 0, pool_tokens: int = 1 << 20) -> DataFrame:
     """One row per piece, with its token ids as little-endian unsigned 32-bit integers.
 
     ``sequence_tokens`` is the number of tokens in the piece's sequence; the sequence is padded from there to ``window``.
