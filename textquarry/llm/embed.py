@@ -60,11 +60,13 @@ def directions(dims: int, many: int, seed: int) -> np.ndarray:
 
 
 def near_vectors(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, window_rows: int = 96, count: int = 2, recall: float = 0.999, reach: float = 3.0, block: int = 1024, seed: int = 11
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, window_rows: int = 96, count: int = 2, recall: float = 0.99, reach: float = 3.0, block: int = 1024, seed: int = 11
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind, number = ("array<float>", np.dtype("<f4")) if kind == "array<float>" else ("array<double>", np.dtype("<f8"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"), F.col(label_col).alias("label"))
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     fit = "v is not null and size(v) > 0 and label is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
     able = rows.where(fit).withColumn("group", F.xxhash64(F.col("label"), F.size("v")))
@@ -83,7 +85,7 @@ def near_vectors(
                 for d in np.unique(wide):
                     for size in np.unique(n[wide == d]):
                         pick = np.flatnonzero((wide == d) & (n == size))
-                        unit = flat[ends[pick][:, None] + np.arange(d)]
+                        unit = flat[ends[pick][:, None] + np.arange(d)].astype(np.float64)
                         unit = unit / np.abs(unit).max(1, keepdims=True)
                         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                         bound, many = calibrate(int(size), cosine, window_rows, count, recall, reach)
@@ -92,10 +94,11 @@ def near_vectors(
                             found.append((pick[i], 2 * j + side))
                 who = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
                 end = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(group[who]), pa.array(end.astype(np.int32)), pa.array(row[who]), pa.array(n[who]), v.take(pa.array(who))], ["group", "end", "row", "n", "v"])
+                raw = [flat[a:b].astype(number).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(group[who]), pa.array(end.astype(np.int32)), pa.array(row[who]), pa.array(n[who]), pa.array(raw, pa.binary()).take(pa.array(who))], ["group", "end", "row", "n", "v"])
 
-    ends = able.join(sized, "group").select("group", "row", "n", "v").mapInArrow(windows, "group long, end int, row long, n long, v array<double>")
-    ends = materialise(ends.withColumn("v", F.col("v").cast("array<double>")), "windows")
+    ends = able.join(sized, "group").select("group", "row", "n", "v").mapInArrow(windows, "group long, end int, row long, n long, v binary")
+    ends = materialise(ends, "windows")
     crowd = ends.groupBy("group", "end").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     held = ends.join(crowd, ["group", "end"]).withColumn("k", F.ceil(F.col("held") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("row"), F.col("k")).cast("int"))
     held = held.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -104,7 +107,8 @@ def near_vectors(
     def verify(batches):
         def of(cell):
             size, end = int(cell["n"][0]), int(cell["end"][0])
-            unit = cell["v"] / np.abs(cell["v"]).max(1, keepdims=True)
+            unit = np.frombuffer(b"".join(cell["v"]), number).astype(np.float64).reshape(len(cell["v"]), -1)
+            unit /= np.abs(unit).max(1, keepdims=True)
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             bound, many = calibrate(size, cosine, window_rows, count, recall, reach)
             p = unit @ directions(unit.shape[1], many, seed)
@@ -122,9 +126,11 @@ def near_vectors(
                 maybe &= np.arange(a, c)[None, :] < to[a:b, None]
                 if not own.all():  # two blocks: only pairs across them
                     maybe &= i[a:b, None] != i[None, a:c]
+                # what every condition must hold for is tested by the cheapest first: the cosine before the windows of the other projections
+                maybe &= unit[a:b] @ unit[a:c].T >= cosine - 1e-9
                 x, y = np.nonzero(maybe)
-                for s in range(0, len(x), 20_000):
-                    u, w = x[s : s + 20_000] + a, y[s : s + 20_000] + a
+                for s in range(0, len(x), 10_000):
+                    u, w = x[s : s + 10_000] + a, y[s : s + 10_000] + a
                     gap = np.abs(p[u] - p[w]) <= reach * spread
                     hits = (inside[u] * inside[w]) > 0
                     hits[:, :many] &= gap
@@ -135,40 +141,37 @@ def near_vectors(
                     u, w = u[good], w[good]
                     good = np.einsum("ij,ij->i", unit[u], unit[w]) >= cosine
                     near[u[good], w[good]] = near[w[good], u[good]] = True
-            number = near.sum(1)
-            some = np.flatnonzero(number)
+            degree = near.sum(1)
+            some = np.flatnonzero(degree)
             edges = forest(row, near)
-            return [*zip(row[some].tolist(), [None] * len(some), number[some].tolist(), strict=True), *((a, b, 0) for a, b in edges)]
+            return [*zip(row[some].tolist(), [None] * len(some), degree[some].tolist(), strict=True), *((a, b, 0) for a, b in edges)]
 
         def out(found):
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["a", "b", "links"])
 
-        kept = None
-        for batch in batches:
-            v = batch.column("v")
-            wide = np.diff(np.asarray(v.offsets))
-            new = {c: np.asarray(batch.column(c)) if c != "own" else np.asarray(batch.column(c).cast(pa.int8())).astype(bool) for c in ("cell", "n", "end", "row", "i", "own")} | {"flat": np.asarray(v.flatten()), "wide": wide}
-            kept = new if kept is None else {c: np.concatenate([kept[c], new[c]]) for c in new}
-            yield from flush(kept, out, of, last=False)
-        if kept is not None:
-            yield from flush(kept, out, of, last=True)
-
-    def flush(kept, out, of, last):
-        cells = kept["cell"]
-        stop = len(cells) if last else int(np.searchsorted(cells, cells[-1])) if len(cells) else 0
-        if not stop:
-            return
-        at = np.concatenate([[0], np.cumsum(kept["wide"])])
-        cut = [0, *(np.flatnonzero(np.diff(cells[:stop])) + 1).tolist(), stop]
+        names, kept, cells = ("n", "end", "row", "i", "own"), [], None
+        for batch in batches:  # sorted by cell: the last cell of a batch may go on in the next
+            kept.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in names} | {"v": batch.column("v").to_pylist(), "cell": batch.column("cell").to_numpy()})
+            cells = kept[-1]["cell"]
+            if len(cells) == 0 or (cells[0] == cells[-1] and (len(kept) == 1 or kept[-2]["cell"][-1] == cells[0])):
+                continue  # all of it may belong to one cell that is not complete
+            stop = int(np.searchsorted(cells, cells[-1]))
+            rest = {c: x[stop:] for c, x in kept[-1].items()}
+            kept[-1] = {c: x[:stop] for c, x in kept[-1].items()}
+            yield out(each(kept, names, of))
+            kept = [rest]
+        if kept:
+            yield out(each(kept, names, of))
+
+    def each(parts, names, of):
+        whole = {c: np.concatenate([p[c] for p in parts]) for c in (*names, "cell")}
+        v = [x for p in parts for x in p["v"]]
+        cut = [0, *(np.flatnonzero(np.diff(whole["cell"])) + 1).tolist(), len(v)]
         found = []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             if b - a > 1:
-                cell = {c: kept[c][a:b] for c in ("n", "end", "row", "i", "own")}
-                found += of(cell | {"v": kept["flat"][at[a] : at[b]].reshape(b - a, -1)})
-        for c in ("cell", "n", "end", "row", "i", "own", "wide"):
-            kept[c] = kept[c][stop:]
-        kept["flat"] = kept["flat"][at[stop] :]
-        yield out(found)
+                found += of({c: whole[c][a:b] for c in names} | {"v": v[a:b]})
+        return found
 
     links = held.repartition("cell").sortWithinPartitions("cell").select("cell", "n", "end", "row", "i", "own", "v").mapInArrow(verify, "a long, b long, links long")
     links = materialise(links, "links")
