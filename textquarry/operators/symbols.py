@@ -22,7 +22,8 @@ def _per_file(files: DataFrame, schema: str, rows_of) -> DataFrame:
         for batch in batches:
             rows = [r for f, t, g in zip(batch["file_id"], batch["text"], batch["lang"], strict=True) for r in rows_of(f, t or "", g)]
             names = [c.split()[0] for c in schema.split(", ")]
-            yield pd.DataFrame(rows, columns=names).astype({"file_id": "int64"}) if rows else pd.DataFrame({n: [] for n in names})
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return files.where(F.col("lang").isin(list(code.RULES))).select("file_id", "text", "lang").mapInPandas(run, schema)
 

@@ -48,20 +48,46 @@ def ignored(path: Column, patterns: list[tuple[str, bool]]) -> Column:
     return out
 
 
-def tree(spark: SparkSession, root: str, ignore: list[str] | None = None, hidden: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(files, skipped) of a directory tree: files with text and flags, and the paths that rules left out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").removeprefix("file:")
-    walked = raw.select(F.regexp_replace("path", "^(file:)?/*" + "/*".join(p for p in base.split("/") if p) + "/", "").alias("path"), "length", "modificationTime", "content")
+def _contents(listed: DataFrame, root: str) -> DataFrame:
+    """Adds the bytes of each listed path. Tasks open files themselves: Spark's own file listing leaves out names that begin with an underscore."""
+
+    def read(batches):
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+        for pdf in batches:
+            data = []
+            for path in pdf["path"]:
+                with fs.open_input_stream(f"{base.rstrip('/')}/{path}" if base else path, compression=None) as f:
+                    data.append(f.read())
+            yield pdf.assign(content=data)
+
+    return listed.mapInPandas(read, "path string, mtime timestamp, content binary")
+
+
+def tree(spark: SparkSession, root: str, ignore: list[str] | None = None, hidden: bool = False, files_per_task: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(files, skipped) of a directory tree: files with text and flags, and the paths that rules left out, which are not opened.
+
+    The driver lists names; tasks read contents. ``root`` is a path that executors can open, or a URI that Arrow's file systems know.
+    """
+    import datetime
+
+    import pyarrow.fs as pafs
+
+    fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+    base = base.rstrip("/")
+    found = [i for i in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if i.type == pafs.FileType.File]
+    rows = [(i.path[len(base) + 1 :], i.mtime or datetime.datetime.fromtimestamp(0, datetime.UTC)) for i in found]
+    walked = spark.createDataFrame(rows, "path string, mtime timestamp").repartition(max(1, -(-len(rows) // files_per_task)))
     out = ignored(F.col("path"), ignore_patterns(ignore or [])) | (F.col("path").rlike(HIDDEN) & F.lit(not hidden))
-    kept = walked.where(~out).select(F.xxhash64("path").alias("file_id"), "path", F.col("modificationTime").alias("mtime"), text_extent(decode(F.col("content"))).alias("text"))
+    kept = _contents(walked.where(~out), root).select(F.xxhash64("path").alias("file_id"), "path", "mtime", text_extent(decode(F.col("content"))).alias("text"))
     return describe(kept), walked.where(out).select("path", F.when(F.col("path").rlike(HIDDEN), "hidden").otherwise("ignored").alias("why"))
 
 
 def named_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Files named one by one; ignore rules do not apply to them."""
-    raw = spark.read.format("binaryFile").load(paths)
-    return describe(raw.select(F.xxhash64("path").alias("file_id"), F.regexp_replace("path", "^file:/*", "/").alias("path"), text_extent(decode(F.col("content"))).alias("text")))
+    listed = spark.createDataFrame([(p, None) for p in paths], "path string, mtime timestamp")
+    return describe(_contents(listed, "").select(F.xxhash64("path").alias("file_id"), "path", text_extent(decode(F.col("content"))).alias("text")))
 
 
 def one_text(spark: SparkSession, text: str, path: str = "<stdin>") -> DataFrame:
