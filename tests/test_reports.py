@@ -77,3 +77,10 @@ def test_configuration():
 
     assert re.match(config.workspace_regex("packages/*"), "packages/a") and not re.match(config.workspace_regex("packages/*"), "packages/a/b")
     assert config.path_arguments(["src", "*.py"], lambda p: p == "src") == (["src"], ["*.py"])
+
+
+def test_areas(spark):
+    paths = {"a/b/c/1.txt": 10, "a/b/d/2.txt": 10, "a/e/3.txt": 2, "f/4.txt": 3, "5.txt": 1, "g/h/i/j/6.txt": 4}
+    f = describe(spark.createDataFrame([(k, p, "hit\n" * n) for k, (p, n) in enumerate(paths.items())], SCHEMA))
+    got = [(r["area"], r["hits"]) for r in search.areas(search.matched_lines(f, SearchOptions("hit"))).collect()]
+    assert got == [("a/b/c", 10), ("a/b/d", 10), ("g", 4), ("f", 3), ("a/e", 2), ("", 1)]

@@ -7,7 +7,7 @@ from pyspark.sql.types import BooleanType
 
 from textquarry.functions.files import location_weight, path_flags
 from textquarry.functions.text import path_key
-from textquarry.operators.search import SearchOptions, hits
+from textquarry.operators.search import SearchOptions, best_of_each, hits
 
 CALLABLE = ["function", "method", "macro"]
 TYPED = ["class", "struct", "enum", "trait", "interface", "object", "module", "impl", "type"]
@@ -97,7 +97,9 @@ def diff_impact(files: DataFrame, changed: DataFrame, spans: DataFrame, syms: Da
     both = used.join(F.broadcast(live), "name").join(table, ["def_kind", "gone"]).where(F.col("kind") == F.col("use_kind"))
     direct = F.col("direct") & (F.col("change") != "body")
     weight = location_weight(F.col("path"), path_flags(F.col("path")))
-    rank = Window.partitionBy("name").orderBy(direct.desc(), weight.desc(), path_key(F.col("path")), "line")
+    order_of = [direct.desc(), weight.desc(), path_key(F.col("path")), F.col("line")]
+    rank = Window.partitionBy("name").orderBy(*order_of)
+    both = best_of_each(both, "name", names, order_of, most_sites)
     return both.withColumn("turn", F.row_number().over(rank)).orderBy("turn", "o", "name").limit(most_sites).select("name", "change", "path", "line", "kind", direct.alias("direct"), "turn")
 
 

@@ -243,17 +243,22 @@ def areas(found: DataFrame, rounds: int = 12, top: int = 6) -> DataFrame:
     """
     dirs = found.groupBy(F.regexp_replace("path", "(^|/)[^/]*$", "").alias("dir")).agg(F.count(F.lit(1)).alias("hits")).persist()
     total = dirs.agg(F.sum("hits").alias("n")).first()["n"] or 0
-    depth = F.lit(1)
-    out = dirs.withColumn("depth", depth)
     cut = lambda d: F.array_join(F.slice(F.split("dir", "/"), F.lit(1), d), "/")
-    for _ in range(rounds):
-        out = out.withColumn("area", cut(F.col("depth"))).withColumn("sum", F.sum("hits").over(Window.partitionBy("area")))
-        splits = (F.col("sum") * 5 > total) & (F.size(F.split("dir", "/")) > F.col("depth"))
-        before = out
-        out = out.withColumn("depth", F.when(splits, F.col("depth") + 1).otherwise(F.col("depth"))).drop("area", "sum")
-        if before.where(splits).isEmpty():
+    split: list[str] = []  # areas that were split: fewer than five of each depth can hold over a fifth
+    for depth in range(1, rounds + 1):
+        heavy = dirs.where(F.size(F.split("dir", "/")) > depth)
+        if depth > 1:
+            heavy = heavy.where(cut(F.lit(depth - 1)).isin(split))
+        area = dirs.groupBy(cut(F.lit(depth)).alias("area")).agg(F.sum("hits").alias("sum")).where(F.col("sum") * 5 > total)
+        found_here = [r["area"] for r in area.join(heavy.select(cut(F.lit(depth)).alias("area")).distinct(), "area", "left_semi").collect()]
+        if not found_here:
             break
-    return out.withColumn("area", cut(F.col("depth"))).groupBy("area").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "area").limit(top)
+        split += found_here
+    depth = F.lit(1)  # as deep as areas were split
+    for k in range(1, max((a.count("/") + 2 for a in split), default=1)):
+        depth = F.when((depth == k) & cut(F.lit(k)).isin(split or [""]) & (F.size(F.split("dir", "/")) > k), F.lit(k + 1)).otherwise(depth)
+    out = dirs.withColumn("depth", depth).withColumn("area", cut(F.col("depth"))).groupBy("area").agg(F.sum("hits").alias("hits"))
+    return out.orderBy(F.desc("hits"), "area").limit(top)
 
 
 def related_names(postings: DataFrame, found: DataFrame, word: str, top: int = 4) -> DataFrame:
@@ -268,6 +273,15 @@ def with_context(files: DataFrame, found: DataFrame, before: int, after: int) ->
     return lines(files.join(found.select("file_id").distinct(), "file_id", "left_semi")).join(around, ["file_id", "line"]).select("file_id", "path", "line", "matched", "text")
 
 
+def best_of_each(found: DataFrame, column: str, values: list[str], order: list, most: int) -> DataFrame:
+    """The first ``most`` rows of each of a few values, each by its own top-k, so that no value's rows meet in one task."""
+    parts = [found.where(F.col(column) == v).orderBy(*order).limit(most) for v in values]
+    out = parts[0] if parts else found.where("false")
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def prefer_exact(found: DataFrame) -> DataFrame:
     """If any hit is a whole word, inner matches leave the answer."""
     best = found.agg(F.max("exact").alias("any"))
