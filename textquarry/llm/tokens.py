@@ -36,7 +36,7 @@ class Encoder:
     ``remember`` words are kept in each of two generations; a word that is met again moves to the younger one.
     """
 
-    def __init__(self, path: str, keeps_spaces: bool, remember: int = 150_000):
+    def __init__(self, path: str, keeps_spaces: bool, remember: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,15 +57,22 @@ class Encoder:
         A word of Latin-1 letters passes the normaliser and the word pattern whole and unchanged (but for case),
         so it goes to the vocabulary's merges at once; marks after its last letter are a word of their own.
         """
-        base = word.rstrip(MARKS)
-        if len(base) < len(word) and base and base[-1].isalpha():
-            return self._known(base) + self._known(word[len(base) :])
         bare = word[1:] if self.space and word[:1] == " " else word
-        if bare.isalpha() and (bare.isascii() or max(bare) <= "\xff"):
+        if bare.isalpha():
             if not self.keeps_spaces:
                 bare = bare.lower()
-            spelled = bare if bare.isascii() else bare.translate(self.spell)
-            return array("I", [t.id for t in self.model.tokenize(self.space + spelled if bare is not word and self.space else spelled)]).tobytes()
+            if not bare.isascii():
+                if max(bare) > "\xff":
+                    return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+                spelled = bare.translate(self.spell)
+            else:
+                spelled = bare
+            if self.space and bare is not word:
+                spelled = self.space + spelled
+            return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        base = word.rstrip(MARKS)
+        if len(base) < len(word) and base and base[-1].isalpha():
+            return self._known(base) + self._known(word[len(base) :])
         return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _known(self, word: str) -> bytes:
@@ -79,8 +86,8 @@ class Encoder:
 
     def _pieces(self, words: list[str]) -> list[bytes]:
         out, known = [], self._known
-        for w in words:
-            out.append(known(w))
+        for at in range(0, len(words), 4096):
+            out += map(known, words[at : at + 4096])
             if len(self.young) >= self.remember:
                 self.old, self.young = self.young, {}
         return out
@@ -126,7 +133,7 @@ class Encoder:
         return flat[where], np.concatenate([[0], ends])[bounds].astype(np.int64)
 
 
-def slices(texts: pa.Array, most_bytes: int = 3 << 20):
+def slices(texts: pa.Array, most_bytes: int = 4 << 20):
     """(from, to) row ranges of at most ``most_bytes`` of text each, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     at = 0
