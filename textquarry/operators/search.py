@@ -274,7 +274,8 @@ def with_context(files: DataFrame, found: DataFrame, before: int, after: int) ->
 
 
 def best_of_each(found: DataFrame, column: str, values: list[str], order: list, most: int) -> DataFrame:
-    """The first ``most`` rows of each of a few values, each by its own top-k, so that no value's rows meet in one task."""
+    """The first ``most`` rows of each of a few values, each by its own top-k, so that no value's rows meet in one task. ``found`` is kept, as each value reads it."""
+    found = found.persist()
     parts = [found.where(F.col(column) == v).orderBy(*order).limit(most) for v in values]
     out = parts[0] if parts else found.where("false")
     for p in parts[1:]:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import ascii_lower, file_name, parent, pieces, split_tokens
-from textquarry.operators import changes, find, index, search, symbols, usage, verbs
+from textquarry.operators import changes, find, impact, index, report, search, symbols, usage, verbs
 from textquarry.operators.search import SearchOptions
 from textquarry.sources import files as src
 from textquarry.sources import sinks
@@ -466,3 +466,165 @@ def scalar_byte_offsets(spark, d):
     from textquarry.functions.text import byte_offset
 
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", byte_offset(F.col("text"), F.lit(40)).alias("bytes"))
+
+
+# ---- more of the same families -------------------------------------------------------------------------------------
+LINKED = """linked as (select p_partkey as file_id, concat('src/', lower(replace(p_brand, '#', '_')), '/part_', p_partkey::varchar, '.py') as path, concat('src/', lower(replace(p_brand, '#', '_')), '/part_', (p_partkey % 50 + 1)::varchar, '.py') as wanted from part)"""
+
+
+def _linked(spark, d):
+    """Code files that import each other: part_k imports part_(k mod 50 + 1) of its own folder, if that exists."""
+    f = _code(spark, d).select("file_id", "path", "lang")
+    return f.withColumn("text", F.concat(F.lit("from part_"), (F.col("file_id") % 50 + 1).cast("string"), F.lit(" import one, two\n")))
+
+
+@query(f"with {DOCS}, {LINES} select path, line from lines where line_text = 'Released under the MIT License.'")
+def search_whole_line(spark, d):
+    return search.matched_lines(_docs(spark, d), SearchOptions("Released under the MIT License.", fixed=True, whole_line=True)).select("path", "line")
+
+
+@query(f"with {DOCS}, {LINES} select path, count(*)::bigint as lines from lines where contains(lower(line_text), 'reonth') group by path")
+def search_smart_case(spark, d):
+    return sinks.counts(search.matched_lines(_docs(spark, d), SearchOptions("reonth", fixed=True, smart_case=True)))
+
+
+@query(f"with {DOCS}, {LINES} select path, line from lines where contains(line_text, 'ent') and (path like 'src/src2/%' or path = 'tests/src0/en/doc_0.txt')")
+def search_under_paths(spark, d):
+    return search.matched_lines(_docs(spark, d), SearchOptions("ent", fixed=True, paths=("./src/src2/", "tests/src0/en/doc_0.txt"))).select("path", "line")
+
+
+@query(f"with {DOCS}, {LINES}, h as (select file_id, path from lines where contains(line_text, 'tion')) select count(distinct file_id)::bigint as files, count(*)::bigint as hits, count(*) filter (path not like 'src/%')::bigint as demoted_hits, count(*)::bigint as n_ident from h")
+def report_statistics(spark, d):
+    return report.statistics(search.hits(_docs(spark, d), SearchOptions("tion", fixed=True))).select("files", "hits", "demoted_hits", "n_ident")
+
+
+@query(
+    f"with {DOCS}, {LINES}, h as (select path, line, regexp_matches(line_text, '{EDGE}tion($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') as exact from lines where contains(line_text, 'tion')) select path, line from (select *, row_number() over (partition by path order by line) as n, row_number() over (partition by path, exact order by line) as p from h) where n <= 1 or p <= 2"
+)
+def report_kept_lines(spark, d):
+    """Per file the first line and the best two exact and other lines (scores are equal here, so by line)."""
+    return report.kept_lines(search.hits(_docs(spark, d), SearchOptions("tion", fixed=True)), 1, 2).select("path", "line")
+
+
+@query(f"with {DOCS}, {LINES}, h as (select file_id, path from lines where contains(line_text, 'tion')) select path, count(*)::bigint as total from h group by path")
+def report_file_order(spark, d):
+    return report.file_order(search.hits(_docs(spark, d), SearchOptions("tion", fixed=True)), "path").select("path", "total")
+
+
+@query()
+def report_layout(spark, d):
+    """Facets when hits are many and over budget."""
+    kind, shown = report.layout(search.hits(_docs(spark, d), SearchOptions("tion", fixed=True)), SearchOptions("tion"))
+    return shown.select("path", "line", F.lit(kind).alias("layout"))
+
+
+@query(f"with {DOCS}, {LINES} select path, line, 'ident' as kind, true as exact from lines where contains(line_text, 'GNU General Public License') order by {WEIGHT} desc, replace(path, '/', chr(1)), line limit 10")
+def report_explain(spark, d):
+    return report.explain(search.hits(_docs(spark, d), SearchOptions("GNU General Public License", fixed=True))).select("path", "line", "kind", "exact")
+
+
+@query(f"with {LINKED} select l.file_id, t.file_id as target from linked l left join linked t on t.path = l.wanted")
+def import_resolution(spark, d):
+    f = _linked(spark, d)
+    return symbols.resolve(symbols.imports(f), f).select("file_id", "target")
+
+
+@query(f"with {LINKED} select l.file_id as src, t.file_id as dst, 20::bigint as weight from linked l join linked t on t.path = l.wanted and t.file_id <> l.file_id")
+def import_edges(spark, d):
+    f = _linked(spark, d)
+    return symbols.edges(symbols.resolve(symbols.imports(f), f))
+
+
+@query(f"with {PARTS}, n as (select p_brand, count(*) as c from parts group by 1) select a.file_id as src, b.file_id as dst, 1::bigint as weight from parts a join parts b on a.p_brand = b.p_brand and a.file_id <> b.file_id and a.p_size = b.p_size join (select p_brand, p_size, count(*) as c from parts group by 1, 2) g on g.p_brand = a.p_brand and g.p_size = a.p_size where g.c between 2 and 30")
+def import_packages(spark, d):
+    """Weight 1 between files of one small package (brand and size here)."""
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("file_id"), F.concat("p_brand", F.lit("/"), "p_size").alias("package"))
+    return symbols.package_edges(p, "package")
+
+
+@query(f"with {PARTS} select file_id, method_name as symbol, 5 as line from parts where call_name = 'helper_2'")
+def symbol_enclosing(spark, d):
+    """The innermost definition around each call."""
+    f = _code(spark, d)
+    found = search.hits(f, SearchOptions("helper_2", fixed=True, whole_word=True), None, symbols.spans(f), symbols.symbols(f))
+    return symbols.enclosing(found.select("file_id", "line", "offset"), symbols.symbols(f), ["file_id", "line"]).select("file_id", F.col("symbol.name").alias("symbol"), "line")
+
+
+@query(f"with {DOCS}, {WORDS} select word, count(*)::bigint as files from words where word like 'th%' group by word")
+def index_bitmaps(spark, d):
+    """Postings as bitmaps, counted."""
+    b = index.bitmaps(index.word_postings(_docs(spark, d)).where(F.col("word").startswith("th")), "word")
+    return b.groupBy("word").agg(F.sum(F.bitmap_count("files")).alias("files"))
+
+
+@query(f"with {PARTS}, n as (select file_id, method_name as name from parts where file_id % 5 = 0 order by method_name limit 16) select n.name, 'renamed' as change, p.path, 6 as line, 'call' as kind, true as direct from n join parts p on p.file_id = n.file_id + 1")
+def verb_diff_impact(spark, d):
+    """Calls of methods that a snapshot renamed: every fifth file's method, called from the next file."""
+    f = _code(spark, d)
+    f = f.withColumn("text", F.when(F.col("file_id") % 5 == 1, F.concat("text", F.lit("part_"), (F.col("file_id") - 1).cast("string"), F.lit("(1)\n"))).otherwise(F.col("text")))
+    new = f.withColumn("text", F.when(F.col("file_id") % 5 == 0, F.regexp_replace("text", "def part_", "def other_")).otherwise(F.col("text")))
+    side = lambda x: changes.with_bodies(x, symbols.symbols(x))
+    found = impact.diff_impact(new, changes.changed_definitions(side(f), side(new)), symbols.spans(new), symbols.symbols(new))
+    return found.select("name", "change", "path", "line", "kind", "direct")
+
+
+@query(f"with {PARTS} select file_id, class_name as name, 3 as line from parts where p_partkey <= 20 union all select file_id, method_name, 4 from parts where p_partkey between 21 and 40")
+def change_touched(spark, d):
+    """Innermost definitions that changed lines touch: the class line, or the last line of the method."""
+    f = _code(spark, d)
+    ranges = f.where("file_id <= 40").select("path", F.when(F.col("file_id") <= 20, 3).otherwise(5).alias("first")).withColumn("last", F.col("first"))
+    return impact.touched(ranges, impact.with_last_line(f, symbols.symbols(f))).select("file_id", "name", "line")
+
+
+@query("select user_id as id, event_id, event_type as version from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events where event_type = 'view') where rn = 1")
+def usage_latest_replay(spark, d):
+    e = _events(spark, d).select(F.col("user_id").alias("id"), F.struct("ts", "event_id").alias("ts"), "event_id", F.col("event_type").alias("version"))
+    return usage.latest_replay(e, "view").select("id", "event_id", "version")
+
+
+@query("select event_id, case when user_id <= 50 then value else value * 50.0 / user_id end as capped from events")
+def usage_capped(spark, d):
+    return _events(spark, d).select("event_id", usage.capped_tokens(F.col("value"), F.col("user_id"), 50).alias("capped"))
+
+
+@query("select user_id, first_ts, n::bigint as events from (select user_id, min(event_id) as first_ts, count(*) as n from events group by 1)")
+def usage_sessions(spark, d):
+    return usage.sessions(_events(spark, d), "user_id", "event_id", "event_type").select("user_id", "first_ts", "events")
+
+
+SHOWN = "select conv_id as session_id, turn as t, role as file, (turn % 3)::bigint as first, (turn % 3 + 5 - turn % 2)::bigint as last, 1 as mtime from conversations"
+
+
+@query(f"with s as ({SHOWN}) select distinct a.session_id, a.t, a.file from s a join s b on a.session_id = b.session_id and a.file = b.file and b.t < a.t and b.first <= a.first and b.last >= a.last")
+def session_covered(spark, d):
+    """Ranges that an earlier answer of the session showed whole."""
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    t = F.col("turn")
+    shown = c.select(F.col("conv_id").alias("session_id"), t.alias("t"), F.col("role").alias("file"), (t % 3).alias("first"), (t % 3 + 5 - t % 2).alias("last"), F.lit(1).alias("mtime"))
+    return usage.covered(shown).select("session_id", "t", "file").distinct()
+
+
+@query("select event_type, date_trunc('hour', ts) as hour, count(*)::bigint as events, round(sum(value), 4) as value from events group by 1, 2")
+def stream_windows(spark, d):
+    """The event log as a stream: hourly windows, in complete output."""
+    name = "usage_windows"
+    stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    run = refresh.windowed_usage(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "events", F.round("value", 4).alias("value"))
+
+
+@query("select page_id, len(string_split(html, chr(10))) - 1 = 0 and octet_length(encode(html)) > 2000 or (list_max(list_transform(string_split(html, chr(10)), lambda x: octet_length(encode(x)))) > 1000 and case when len(string_split(html, chr(10))) > 1 then octet_length(encode(html)) // (len(string_split(html, chr(10))) - 1) else octet_length(encode(html)) end > 200) as minified from pages where length(html) < 60000")
+def file_content_flags(spark, d):
+    from textquarry.functions.files import content_flags
+
+    p = spark.read.parquet(f"{d}/pages.parquet").where(F.length("html") < 60000)
+    return p.select("page_id", content_flags(F.col("html"), F.octet_length("html"))["minified"].alias("minified"))
+
+
+@query("select doc_id, list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(source || ' ' || lang || ' ' || source, '[^A-Za-z0-9]+'), lambda w: w <> ''), lambda w: lower(w)))) as tokens from documents")
+def scalar_normalized_query(spark, d):
+    from textquarry.functions.text import normalize_query
+
+    q = normalize_query(F.concat_ws(" ", "source", "lang", "source"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.split(q, " ").alias("tokens"))
