@@ -84,3 +84,35 @@ def test_areas(spark):
     f = describe(spark.createDataFrame([(k, p, "hit\n" * n) for k, (p, n) in enumerate(paths.items())], SCHEMA))
     got = [(r["area"], r["hits"]) for r in search.areas(search.matched_lines(f, SearchOptions("hit"))).collect()]
     assert got == [("a/b/c", 10), ("a/b/d", 10), ("g", 4), ("f", 3), ("a/e", 2), ("", 1)]
+
+
+def test_selection(spark):
+    skipped = spark.createDataFrame([("build/a.py", "ignored"), (".x/b.py", "hidden"), ("build/c.txt", "ignored")], "path string, why string")
+    assert {tuple(r) for r in search.skipped_reached(skipped, SearchOptions("x", globs=("*.py",))).collect()} == {("ignored", 1), ("hidden", 1)}
+    f = files_of(spark, {"a.py": "def solo():\n    return 1\n", "b.go": "solo\n", "vendor/c.py": "", "d.min.js": "x"})
+    assert {r["path"] for r in search.of_types(f, ["python", "go"], ["go"]).collect()} == {"a.py", "vendor/c.py"}
+    assert {r["path"]: r["a"] for r in f.select("path", search.admission(F.col("flags"), F.col("path")).alias("a")).collect()} == {"a.py": 0, "b.go": 0, "vendor/c.py": 2, "d.min.js": 3}
+    found = search.hits(f, SearchOptions("ol", fixed=True), None, symbols.spans(f), symbols.symbols(f))
+    assert {r["w"] for r in found.select(search.word_around(F.col("text"), F.col("first.s"), F.col("first.e")).alias("w")).collect()} == {"solo"}
+    assert search.adaptive_context(f, found, 1).count() == 2
+    assert [r["path"] for r in search.in_path_order(found)] == ["a.py", "b.go"]
+
+
+def test_symbol_helpers(spark):
+    from textquarry.operators import usage, verbs
+    from textquarry.streaming import refresh
+
+    f = files_of(spark, {"p/a.py": 'from b import one\n\nclass A:\n    """First line.\n\n    More."""\n    def m(self):\n        return 1\n', "p/b.py": "one = 1\n", "test_c.py": "class A:\n    pass\n"})
+    s, ranks = symbols.symbols(f), f.select("file_id", F.lit(1.0).alias("rank"))
+    assert [r["file_id"] for r in symbols.best_named(s, ranks, "A").collect()] == [0, 2]
+    assert [r["doc"] for r in symbols.documentation(f, s, symbols.spans(f)).where("sym_id = 0").collect()] == ["First line."]
+    assert symbols.origin_ids(f, ["./p/b.py"]).first()[0] == 1
+    assert spark.range(1).select(symbols.quantized(F.lit(None).cast("double")).alias("q")).first()["q"] == 0.5
+    assert [r["line"] for r in verbs.body(f, 0, 3, 8, budget=1).collect()] == [3, 4, 5]
+    assert {(r["src"], r["dst"]) for r in refresh.graph_after(f).collect()} == {(0, 1)}
+    assert refresh.graph_after(f.where("file_id <> 1")).count() == 0
+    e = spark.createDataFrame([(1, "/a/b", "s1", "1.2.0", 5.0), (9, "/a", "s2", "1.3", 7.0), (9, "/ab", "t", "1.20", 1.0)], "ts long, cwd string, session string, version string, ms double")
+    assert usage.chosen(e, 5, 10).count() == 2 and usage.chosen(e, directory="/a").count() == 2 and usage.chosen(e, session="s", version="1.2").count() == 1
+    assert usage.summarize(e, ["version"], "ms").count() == 3 and [usage.backoff_seconds(k) for k in (0, 1, 2, 20)] == [0, 30, 60, 3600]
+    log = spark.createDataFrame([("s", 1, "q"), ("s", 2, "q"), ("s", 3, "q")], "session_id string, t int, query string")
+    assert [r["t"] for r in usage.loop_hint(log, F.col("query")).collect()] == [3]

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textquarry.functions import code
-from textquarry.functions.files import location_weight, mock_path, near_weight, path_flags
-from textquarry.functions.text import path_key, regex_escape, split_tokens
+from textquarry.functions.files import LANGUAGES, language, location_weight, mock_path, near_weight, path_flags
+from textquarry.functions.text import extension, path_key, regex_escape, split_tokens
 from textquarry.functions.tokens import estimate_tokens
 from textquarry.operators.index import candidates, fuzzy_names
 
@@ -320,3 +320,46 @@ def outcome(found: DataFrame, shown: DataFrame, rung: str) -> DataFrame:
     """One row: total, shown, rung and exit code (0 only if the search itself had hits)."""
     total = found.agg(F.count(F.lit(1)).alias("total"))
     return total.crossJoin(shown.agg(F.count(F.lit(1)).alias("shown"))).withColumn("rung", F.lit(rung)).withColumn("exit", F.when((F.col("total") > 0) & (F.lit(rung) == "exact"), 0).otherwise(1))
+
+
+def skipped_reached(skipped: DataFrame, o: SearchOptions) -> DataFrame:
+    """Entries that a walk left out (path, why) and that a search's globs, languages and paths would reach: by reason."""
+    lang = language(F.col("path"))
+    files = skipped.select(F.xxhash64("path").alias("file_id"), "path", F.lit("").alias("text"), lang.alias("lang"), "why")
+    return selected(files, o).groupBy("why").agg(F.count(F.lit(1)).alias("entries"))
+
+
+def of_types(files: DataFrame, types: list[str], without: list[str] | None = None) -> DataFrame:
+    """Files of the named types and of none of ``without``. A type is a language or a file extension."""
+
+    def any_of(names: list[str]) -> Column:
+        ends = [e for n in names for e in LANGUAGES.get(n, [n])]
+        return F.lower(extension(F.col("path"))).isin(ends)
+
+    out = files.where(any_of(types)) if types else files
+    return out.where(~any_of(without)) if without else out
+
+
+def admission(flags: Column, path: Column) -> Column:
+    """The order in which files are looked at: source 0, demoted 2, minified 3."""
+    return F.when(flags["minified"], 3).when(demotion(path, flags).isNotNull(), 2).otherwise(0)
+
+
+def word_around(text: Column, start: Column, end: Column) -> Column:
+    """The identifier in which a match lies."""
+    before = F.regexp_extract(F.substr(text, F.lit(1), start), r"[A-Za-z0-9_]*$", 0)
+    after = F.regexp_extract(F.substr(text, end + 1), r"^[A-Za-z0-9_]*", 0)
+    return F.concat(before, F.substr(text, start + 1, end - start), after)
+
+
+def adaptive_context(files: DataFrame, found: DataFrame, around: int = 20) -> DataFrame:
+    """Lines around a definition when it is the only hit of its kind in the answer; else the hits alone."""
+    defs = found.where("kind = 'def'").limit(2).collect()
+    if len(defs) == 1:
+        return with_context(files, found.where("kind = 'def'"), around, around)
+    return found.select("file_id", "path", "line", F.lit(True).alias("matched"), "text")
+
+
+def in_path_order(found: DataFrame):
+    """Hits one by one in path order, as many in the driver's memory as one partition holds."""
+    return found.orderBy(path_key(F.col("path")), "line").toLocalIterator(prefetchPartitions=True)

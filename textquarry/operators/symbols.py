@@ -133,3 +133,31 @@ def enclosing(points: DataFrame, syms: DataFrame, key: list[str]) -> DataFrame:
     both = points.join(s, (F.col("file_id") == F.col("s_file")) & (F.col("offset") >= F.col("s_start")) & (F.col("offset") < F.col("s_end")), "left").drop("s_file")
     order = Window.partitionBy(*key).orderBy(F.col("s_start").desc_nulls_last(), F.col("s_end"))
     return both.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn", "s_start", "s_end")
+
+
+def best_named(syms: DataFrame, ranks: DataFrame, name: str) -> DataFrame:
+    """Symbols of a name, best first: kind x exported x test x (0.6 + 0.4 rank)."""
+    weights = F.create_map(*[F.lit(x) for kv in KIND_WEIGHTS.items() for x in kv])
+    found = syms.where(F.col("name") == name).join(ranks, "file_id", "left")
+    score = F.coalesce(F.element_at(weights, F.col("kind")), F.lit(0.5)) * F.when(F.col("exported"), 1.0).otherwise(0.8) * F.when(F.col("test"), 0.5).otherwise(1.0) * (0.6 + 0.4 * F.coalesce("rank", F.lit(0.5)))
+    return found.withColumn("order_score", score).orderBy(F.round("order_score", 9).desc(), "file_id", "line")
+
+
+def quantized(rank):
+    """A rank in 65,535 steps; unknown reads one half."""
+    return F.coalesce(F.round(rank * 65534) / 65534, F.lit(0.5))
+
+
+def origin_ids(files: DataFrame, paths: list[str]) -> DataFrame:
+    """Ids of the named files."""
+    return files.where(F.col("path").isin([p.removeprefix("./") for p in paths])).select("file_id")
+
+
+def documentation(files: DataFrame, syms: DataFrame, doc_spans: DataFrame, most: int = 120) -> DataFrame:
+    """(file_id, sym_id, doc): the first line of the docstring or comment that belongs to a symbol."""
+    d = doc_spans.where("kind = 'doc'").select("file_id", F.col("start").alias("d_start"), F.col("end").alias("d_end"))
+    near = syms.select("file_id", "sym_id", "start", "end", "name_end").join(d, "file_id").where("(d_start > name_end and d_start < end and d_start - name_end < 200) or (d_end <= start and start - d_end < 3)")
+    first = near.groupBy("file_id", "sym_id").agg(F.min(F.struct("d_start", "d_end")).alias("d"))
+    text = F.substr(F.col("text"), F.col("d.d_start") + 1, F.col("d.d_end") - F.col("d.d_start"))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"^([rRuU]?[\"']{3}|///?!?|/\*\*?!?)\s*", ""), r"\s*([\"']{3}|\*/)\s*$", ""))
+    return first.join(files.select("file_id", "text"), "file_id").select("file_id", "sym_id", F.substring(F.substring_index(bare, "\n", 1), 1, most).alias("doc"))

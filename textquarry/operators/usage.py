@@ -114,3 +114,32 @@ def compact(log: DataFrame, most: int = 2000) -> DataFrame:
     own = Window.partitionBy("session_id")
     numbered = log.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("age", F.row_number().over(own.orderBy(F.desc("t"))))
     return numbered.where((F.col("n") <= most) | (F.col("age") <= most // 2)).drop("n", "age")
+
+
+def chosen(events: DataFrame, since_ms: int | None = None, now_ms: int | None = None, directory: str | None = None, session: str | None = None, version: str | None = None) -> DataFrame:
+    """Events (ts in ms, cwd, session, version) after a cut-off, below a directory, of sessions by prefix, of a version family."""
+    out = events
+    if since_ms is not None and now_ms is not None:
+        out = out.where(F.col("ts") >= now_ms - since_ms)
+    if directory:
+        out = out.where((F.col("cwd") == directory) | F.col("cwd").startswith(directory.rstrip("/") + "/"))
+    if session:
+        out = out.where(F.col("session").startswith(session))
+    if version:
+        out = out.where((F.col("version") == version) | F.col("version").startswith(version + "."))
+    return out
+
+
+def summarize(events: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Runs, the sum and the mean of a value by class, directory, version or session."""
+    return events.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.sum(value).alias("total"), F.avg(value).alias("avg"))
+
+
+def loop_hint(log: DataFrame, query: Column, times: int = 2) -> DataFrame:
+    """Records whose query was asked ``times`` times or more in the last five."""
+    return repeats(log, query).where(F.col("repeats") >= times)
+
+
+def backoff_seconds(failures: int) -> int:
+    """How long to wait after so many failures in a row: doubling from 30 s to an hour."""
+    return min(3600, 30 << min(max(failures, 1) - 1, 7)) if failures else 0

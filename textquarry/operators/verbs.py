@@ -152,3 +152,14 @@ def map_directories(files: DataFrame, symbols: DataFrame, ranks: DataFrame, belo
     both = inside.join(count, "file_id", "left").join(ranks, "file_id", "left").withColumn("rank", F.coalesce("rank", F.lit(0.5)))
     best = both.withColumn("rn", F.row_number().over(Window.partitionBy("dir").orderBy(F.round("rank", 9).desc(), path_key(F.col("path")))))
     return best.groupBy("dir").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("symbols"), F.lit(0)).alias("symbols"), F.max("rank").alias("rank"), F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= shown, F.struct("rn", "path")))), lambda s: s["path"]).alias("first"))
+
+
+def body(files: DataFrame, file_id: int, first: int, last: int, most: int = 60, budget: int = 0) -> DataFrame:
+    """Lines of a body, ``most`` at the most, clipped to a token budget but never under three."""
+    from textquarry.functions.tokens import estimate_tokens
+
+    inside = lines(files.where(F.col("file_id") == file_id)).where(F.col("line").between(first, min(last, first + most - 1))).select("line", "text")
+    if not budget:
+        return inside.orderBy("line")
+    spent = F.sum(estimate_tokens(F.col("text")) + 1).over(Window.orderBy("line"))  # at most ``most`` lines
+    return inside.withColumn("spent", spent).where((F.col("spent") <= budget) | (F.col("line") < first + 3)).select("line", "text").orderBy("line")
