@@ -107,10 +107,11 @@ def pagerank(nodes: DataFrame, graph: DataFrame, rounds: int = 20, damping: floa
     ``graph`` is partitioned once by its source and kept; lineage is cut after each round by checkpoint().
     """
     spark = nodes.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None and not context.getConf().get("spark.checkpoint.dir"):
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textquarry-rank-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textquarry-rank-"))
     total = nodes.count()
     if total == 0:
         return nodes.select("file_id", F.lit(0.0).alias("rank"))
