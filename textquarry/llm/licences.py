@@ -75,8 +75,17 @@ def known_licences(spark: SparkSession) -> DataFrame:
     return texts.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "licence")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, digest (of the whole canonical text), canonical_chars, licence (null: none known)."""
+def digests(texts: DataFrame) -> DataFrame:
+    """(digest, licence) of further texts (licence, text), for scan()."""
+    return texts.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "licence").dropDuplicates(["digest"])
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """One row per document: doc_id, digest (of the whole canonical text), canonical_chars, licence (null: none known).
+
+    ``known``: (digest, licence) with distinct digests, instead of the fixed list; Spark chooses its join by size.
+    """
     form = docs.select(F.col(id_col).cast("long").alias("doc_id"), canonical(F.col(text_col)).alias("form"))
     rows = form.select("doc_id", F.sha2("form", 256).alias("digest"), F.length("form").cast("long").alias("canonical_chars"))
-    return rows.join(F.broadcast(known_licences(docs.sparkSession)), "digest", "left").select("doc_id", "digest", "canonical_chars", "licence")
+    table = F.broadcast(known_licences(docs.sparkSession)) if known is None else known.select("digest", "licence")
+    return rows.join(table, "digest", "left").select("doc_id", "digest", "canonical_chars", "licence")

@@ -10,6 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths handed out in this process, for clear().
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder; made and set only where none is configured."""
@@ -22,7 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/textquarry/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/textquarry/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the scratch tables that this process made; results that still read them must be written before. Returns how many."""
+    jvm, count = spark.sparkContext._jvm, len(_made)
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return count
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
