@@ -72,7 +72,7 @@ def leaf(quotas: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.nda
     return start, have
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, docs_per_block: int = 256, blocks_per_shard: int = 64, cut_last: bool = True, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, docs_per_block: int = 256, blocks_per_shard: int = 16, cut_last: bool = True, seed: int = 17) -> DataFrame:
     """One row per document: doc_id, source, text_key (a hash of its text), size, source_size, target, taken, and ``draws``: its copies as (shard, place, words).
 
     Sources in code point order, null last, take ``weights`` in turn, repeating. The mix is as large as all sizes.
