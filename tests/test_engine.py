@@ -92,6 +92,24 @@ def test_pairing(spark):
     assert {tuple(r) for r in usage.pair_runs(hooks, runs).collect()} == {(10, 2), (11, 1), (14, 4)}
 
 
+def test_pairing_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    hooks = [(rng.choice("ab"), rng.randrange(0, 3_000_000, 1000) , k) for k in range(80)]
+    runs = [(rng.choice("ab"), rng.randrange(500, 3_000_000, 1000), 100 + k) for k in range(80)]
+    used, want = set(), set()
+    for key, ts, run in sorted(runs, key=lambda r: (r[1], r[2])):
+        able = [h for h in hooks if h[0] == key and h[2] not in used and 0 <= ts - h[1] <= 120_000]
+        if able:
+            best = max(able, key=lambda h: (h[1], h[2]))
+            used.add(best[2])
+            want.add((run, best[2]))
+    h = spark.createDataFrame(hooks, "key string, ts long, hook_id long")
+    r = spark.createDataFrame(runs, "key string, ts long, run_id long")
+    assert {tuple(x) for x in usage.pair_runs(h, r).collect()} == want
+
+
 def test_changed_definitions(spark):
     schema = "file_id long, path string, text string, lang string"
     old = spark.createDataFrame([(1, "m.py", "def a(x):\n    return 1\n\ndef b():\n    return 2\n\ndef gone():\n    pass\n\ndef same():\n    pass\n", "python")], schema)

@@ -125,7 +125,7 @@ def index_words(spark, d):
 
 
 @query(
-    f"with {DOCS}, g as (select distinct file_id, substr(l, i::int, 3) as gram from (select file_id, unnest(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10))) as l from docs), range(1, 200000) r(i) where i <= length(l) - 2) select gram, count(*)::bigint as files from g group by gram"
+    f"with {DOCS}, g as (select distinct file_id, unnest(list_transform(range(1, greatest(length(l) - 1, 1)), lambda i: substr(l, i::int, 3))) as gram from (select file_id, unnest(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10))) as l from docs)) select gram, count(*)::bigint as files from g group by gram"
 )
 def index_grams(spark, d):
     return index.gram_postings(_docs(spark, d)).groupBy("gram").agg(F.count(F.lit(1)).alias("files"))
@@ -397,18 +397,9 @@ def usage_distribution(spark, d):
     return usage.distribution(_events(spark, d), "value", ["event_type"]).withColumn("avg", F.round("avg", 6)).withColumn("total", F.round("total", 4))
 
 
-@query("with h as (select user_id, event_id, epoch_ms(ts) as t from events where event_type = 'view'), r as (select user_id, event_id, epoch_ms(ts) as t from events where event_type = 'purchase'), c as (select r.event_id as run_id, max(h.t) as t from r join h on h.user_id = r.user_id and h.t <= r.t and r.t - h.t <= 21600000 group by 1) select count(*) > 0 as paired, (select count(*) from r)::bigint as runs from c")
-def usage_pairing(spark, d):
-    """Runs paired one to one with the newest unused hook within six hours."""
-    e = _events(spark, d).withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    side = lambda kind, name: e.where(F.col("event_type") == kind).select(F.col("user_id").alias("key"), F.col("ms").alias("ts"), F.col("event_id").alias(name))
-    runs = side("purchase", "run_id")
-    pairs = usage.pair_runs(side("view", "hook_id"), runs, 21_600_000)
-    return pairs.agg((F.count(F.lit(1)) > 0).alias("paired")).crossJoin(runs.agg(F.count(F.lit(1)).alias("runs")))
-
-
 @query()
 def usage_pairs(spark, d):
+    """Purchases paired one to one with the newest unused view of the user within six hours."""
     e = _events(spark, d).withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
     side = lambda kind, name: e.where(F.col("event_type") == kind).select(F.col("user_id").alias("key"), F.col("ms").alias("ts"), F.col("event_id").alias(name))
     return usage.pair_runs(side("view", "hook_id"), side("purchase", "run_id"), 21_600_000)
@@ -433,12 +424,10 @@ def _sessions(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("t"), F.col("text").alias("query"), "role")
 
 
-@query("select conv_id as session_id, turn as t, (select count(*) from conversations b where b.conv_id = a.conv_id and b.turn < a.turn and b.turn >= a.turn - 5 and b.role = a.role)::int as repeats from conversations a where conv_id in (select conv_id from conversations group by 1 having count(*) = count(distinct turn) and max(turn) - min(turn) = count(*) - 1)")
+@query("select conv_id as session_id, turn as t, coalesce(len(list_filter(recent, lambda r: r = role)), 0)::int as repeats from (select conv_id, turn, role, list(role) over (partition by conv_id order by turn rows between 5 preceding and 1 preceding) as recent from conversations)")
 def session_repeats(spark, d):
     """How many of the last five turns of a session had the same role."""
-    log = _sessions(spark, d)
-    whole = log.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("t").alias("k"), F.max("t").alias("hi"), F.min("t").alias("lo")).where("n = k and hi - lo = n - 1").select("session_id")
-    return usage.repeats(log.join(whole, "session_id", "left_semi"), F.col("role")).select("session_id", "t", "repeats")
+    return usage.repeats(_sessions(spark, d), F.col("role")).select("session_id", "t", "repeats")
 
 
 @query("with f as (select conv_id as session_id, role as file, max(turn) as t from conversations group by 1, 2) select session_id, file, t, (row_number() over (partition by session_id order by t desc, file))::int as place from f")
@@ -550,10 +539,10 @@ def symbol_enclosing(spark, d):
     return symbols.enclosing(found.select("file_id", "line", "offset"), symbols.symbols(f), ["file_id", "line"]).select("file_id", F.col("symbol.name").alias("symbol"), "line")
 
 
-@query(f"with {DOCS}, {WORDS} select word, count(*)::bigint as files from words where word like 'th%' group by word")
+@query(f"with {DOCS}, {WORDS} select word, count(*)::bigint as files from words group by word")
 def index_bitmaps(spark, d):
     """Postings as bitmaps, counted."""
-    b = index.bitmaps(index.word_postings(_docs(spark, d)).where(F.col("word").startswith("th")), "word")
+    b = index.bitmaps(index.word_postings(_docs(spark, d)), "word")
     return b.groupBy("word").agg(F.sum(F.bitmap_count("files")).alias("files"))
 
 
@@ -568,11 +557,11 @@ def verb_diff_impact(spark, d):
     return found.select("name", "change", "path", "line", "kind", "direct")
 
 
-@query(f"with {PARTS} select file_id, class_name as name, 3 as line from parts where p_partkey <= 20 union all select file_id, method_name, 4 from parts where p_partkey between 21 and 40")
+@query(f"with {PARTS} select file_id, case when file_id % 2 = 0 then class_name else method_name end as name, case when file_id % 2 = 0 then 3 else 4 end as line from parts")
 def change_touched(spark, d):
-    """Innermost definitions that changed lines touch: the class line, or the last line of the method."""
+    """Innermost definitions that changed lines touch: the class line of even files, the last line of the method of odd ones."""
     f = _code(spark, d)
-    ranges = f.where("file_id <= 40").select("path", F.when(F.col("file_id") <= 20, 3).otherwise(5).alias("first")).withColumn("last", F.col("first"))
+    ranges = f.select("path", F.when(F.col("file_id") % 2 == 0, 3).otherwise(5).alias("first")).withColumn("last", F.col("first"))
     return impact.touched(ranges, impact.with_last_line(f, symbols.symbols(f))).select("file_id", "name", "line")
 
 
@@ -614,11 +603,15 @@ def stream_windows(spark, d):
     return spark.table(name).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "events", F.round("value", 4).alias("value"))
 
 
-@query("select page_id, len(string_split(html, chr(10))) - 1 = 0 and octet_length(encode(html)) > 2000 or (list_max(list_transform(string_split(html, chr(10)), lambda x: octet_length(encode(x)))) > 1000 and case when len(string_split(html, chr(10))) > 1 then octet_length(encode(html)) // (len(string_split(html, chr(10))) - 1) else octet_length(encode(html)) end > 200) as minified from pages where length(html) < 60000")
+@query(
+    """with p as (select page_id, substr(html, 1, 65536) as head from pages), l as (select page_id, octet_length(encode(head)) as size, string_split(head, chr(10)) as parts from p),
+    m as (select page_id, size, len(parts) - 1 as lines, list_max(list_transform(parts, lambda x: octet_length(encode(x)))) as longest from l)
+    select page_id, (longest > 1000 and case when lines > 0 then size // lines else size end > 200) or (lines = 0 and size > 2000) as minified from m"""
+)
 def file_content_flags(spark, d):
     from textquarry.functions.files import content_flags
 
-    p = spark.read.parquet(f"{d}/pages.parquet").where(F.length("html") < 60000)
+    p = spark.read.parquet(f"{d}/pages.parquet")
     return p.select("page_id", content_flags(F.col("html"), F.octet_length("html"))["minified"].alias("minified"))
 
 
