@@ -148,6 +148,16 @@ def test_op6(spark, table):
     assert sorted(map(key, want)) == sorted(key(r) for r in queries.op6_licences(spark, d).collect())
 
 
+def test_own_licences_and_clear(spark, table):
+    from textquarry.llm import storage
+
+    own = licences.digests(spark.createDataFrame([("House", "Use it WELL."), ("House again", "use it well")], "licence string, text string"))
+    d = docs(spark, table, [(1, "(c) 2020 Me\nUse -- it well!", "", "", 0), (2, "use it", "", "", 0)])
+    assert [r["licence"] is not None for r in licences.scan(spark.read.parquet(f"{d}/documents.parquet"), known=own).orderBy("doc_id").collect()] == [True, False]
+    kept = storage.materialise(spark.range(3), "t")
+    assert kept.count() == 3 and storage.clear(spark) >= 1 and storage.clear(spark) == 0
+
+
 # ---- sharding ------------------------------------------------------------------------------------------------------
 def brute_shards(rows, limit):
     hashed = [int(hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest()[:8], 16) for r in rows]
@@ -262,8 +272,8 @@ def test_op10(spark, table):
     bare = {r["doc_id"]: r["predicted"] for r in queries.op10_toxicity(spark, d).collect()}
     assert bare[16] == 1 and bare[1] == 0
     model = toxicity.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
-    clashing = spark.createDataFrame([(1, "you idiot moron", 0.5)], "doc_id long, text string, toxicity double")
-    assert toxicity.reject(clashing, model).columns == clashing.columns
+    clashing = spark.createDataFrame([(1, "you idiot moron", 0.5), (2, "fine", 0.7)], "doc_id long, text string, toxicity double")
+    assert [tuple(r) for r in toxicity.reject(clashing, model).collect()] == [(2, "fine", 0.7)]
 
 
 # ---- the pipeline --------------------------------------------------------------------------------------------------
@@ -288,3 +298,40 @@ def test_pipeline_equals_its_stages(spark, table):
     assert "<EMAIL>" in seen["pii"][301]["text"] and seen["pii"][301]["n_chars"] == len(seen["pii"][301]["text"])
     out = corpus_pipeline.run(spark, d).collect()
     assert {r["doc_id"] for r in out} == set(seen["mixing"]) and all(len(r["ids"]) == 4 * r["length"] for r in out)
+    # the pieces of each document are its redacted text, once for each copy
+    from tokenizers import Tokenizer
+
+    from textquarry.llm.tokens import tokenizer_path
+
+    tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    copies = {r["doc_id"]: r["n"] for r in kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for i, r in seen["mixing"].items():
+        ids = [*tok.encode(r["text"], add_special_tokens=False).ids, 0]
+        mine = sorted((x["start"], bytes(x["ids"])) for x in out if x["doc_id"] == i)
+        assert mine == sorted((a, np.array(ids[a : a + 1024], "<u4").tobytes()) for a in range(0, len(ids), 1024) for _ in range(copies[i]))
+    # what mixing may take: its own rule by brute force
+    size = {i: len(r["text"].split()) for i, r in seen["pii"].items()}
+    source = {i: r["source"] for i, r in seen["pii"].items()}
+    goal = dict(zip("ab", mixing.targets([sum(n for i, n in size.items() if source[i] == s) for s in "ab"], [1, 2]), strict=True))
+    for s in "ab":
+        got = sum(size[i] * n for i, n in copies.items() if source[i] == s)
+        assert abs(got - goal[s]) <= max(size.values())
+
+
+def test_extra_columns_keep_their_names(spark, table):
+    """Columns named like the operators' own are neither read nor changed."""
+    from textquarry.llm import embed, packing, simhash, token_output
+
+    names = ["size", "h", "row", "key", "bytes", "fp", "root", "component_id", "spans", "base", "draws", "block", "shard", "toxicity", "digest", "form", "n", "label", "v"]
+    rows = [(k, f"some text number {k % 3} with mail{k % 3}@a.example.org", "en", "ab"[k % 2], 0, *[f"{c}{k}" for c in names]) for k in range(9)]
+    d = table("documents", rows, DOCS + "".join(f", {c} string" for c in names))
+    src = spark.read.parquet(f"{d}/documents.parquet")
+    for out in (simhash.keep_one(src), pii.redact(src), mixing.mixed_documents(src)):
+        assert out.columns == src.columns
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in out.collect() for c in names)
+    for op in (mixing.mix, sharding.shard, licences.scan, packing.pack_documents, pii.find, simhash.near_duplicates, media.media_features):
+        assert op(src).count() == 9
+    token_output.write_tokens(src, path := f"{d}/tokens")
+    assert token_output.read_tokens(spark, path).count() == 9
+    v = src.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"), F.lit(1).alias("label"), "row", "n", "v")
+    assert {r["n_links"] for r in embed.near_vectors(v).collect()} == {8}

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm.graph import components
+from textquarry.llm.memory import frugal
 from textquarry.llm.simhash import forest
 from textquarry.llm.storage import materialise
 
@@ -97,7 +98,7 @@ def near_vectors(
                 raw = [flat[a:b].astype(number).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(group[who]), pa.array(end.astype(np.int32)), pa.array(row[who]), pa.array(n[who]), pa.array(raw, pa.binary()).take(pa.array(who))], ["group", "end", "row", "n", "v"])
 
-    ends = able.join(sized, "group").select("group", "row", "n", "v").mapInArrow(windows, "group long, end int, row long, n long, v binary")
+    ends = able.join(sized, "group").select("group", "row", "n", "v").mapInArrow(frugal(windows), "group long, end int, row long, n long, v binary")
     ends = materialise(ends, "windows")
     crowd = ends.groupBy("group", "end").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     held = ends.join(crowd, ["group", "end"]).withColumn("k", F.ceil(F.col("held") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("row"), F.col("k")).cast("int"))
@@ -173,7 +174,7 @@ def near_vectors(
                 found += of({c: whole[c][a:b] for c in names} | {"v": v[a:b]})
         return found
 
-    links = held.repartition("cell").sortWithinPartitions("cell").select("cell", "n", "end", "row", "i", "own", "v").mapInArrow(verify, "a long, b long, links long")
+    links = held.repartition("cell").sortWithinPartitions("cell").select("cell", "n", "end", "row", "i", "own", "v").mapInArrow(frugal(verify), "a long, b long, links long")
     links = materialise(links, "links")
     number = links.where("b is null").groupBy(F.col("a").alias("row")).agg(F.sum("links").alias("n_links"))
     # rows that repeat a vec_id share a component
@@ -184,4 +185,4 @@ def near_vectors(
     found = materialise(found, "rooted")
     least = found.groupBy("root").agg(F.min("vec_id").alias("component_id"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     found = found.join(least, "root", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
-    return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

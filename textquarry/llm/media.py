@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.llm.memory import frugal
 from textquarry.llm.storage import materialise, new_path
 
 HEADER = 44
@@ -95,7 +96,7 @@ def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 lists.append([hashlib.sha256(c).digest() for c in chunks(wave(payload_of(text)[1]))])
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(lists, pa.list_(pa.binary()))], ["key", "digests"])
 
-    named = rows.select("key", "text").mapInArrow(digest, "key long, digests array<binary>")
+    named = rows.select("key", "text").mapInArrow(frugal(digest), "key long, digests array<binary>")
     named = materialise(named.select("key", F.posexplode("digests").alias("number", "digest")), "digests")
     # the first copy of a digest (least key and number) keeps its bytes as a chunk row
     owner = named.groupBy("digest").agg(F.min(F.struct("key", "number")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -121,7 +122,7 @@ def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                     out += [{"kind": "chunk", "key": r["key"], "digests": [digests[k]], "data": parts[k]} for k in r["firsts"]]
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    given.mapInArrow(store, "kind string, " + STORE).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    given.mapInArrow(frugal(store), "kind string, " + STORE).write.partitionBy("kind").option("compression", "zstd").parquet(path)
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
@@ -154,7 +155,7 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
                     out.append({"doc_id": r["doc_id"], "n_bytes": r["n_bytes"], "media_sha256": r["media_sha256"], "media": file})
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_sha256", pa.binary()), ("media", pa.binary())]))
 
-    return whole.select("doc_id", "n_bytes", "media_sha256", "lengths", "data", "fetched").mapInArrow(rebuild, "doc_id long, n_bytes long, media_sha256 binary, media binary")
+    return whole.select("doc_id", "n_bytes", "media_sha256", "lengths", "data", "fetched").mapInArrow(frugal(rebuild), "doc_id long, n_bytes long, media_sha256 binary, media binary")
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def features(media: DataFrame) -> DataFrame:
                 out.append((r["doc_id"], r["n_bytes"], len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(r["media"]), r["media_sha256"].hex(), feature))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, (_, t) in enumerate(names)], [n for n, _ in names])
 
-    return media.mapInArrow(describe, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(frugal(describe), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_features(docs: DataFrame) -> DataFrame:

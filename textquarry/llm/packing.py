@@ -80,9 +80,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_tokens")])
 
     def pieces(batches):
+        with encoder(tokenizer, keeps_spaces) as enc:
+            yield from pieces_of(batches, enc)
+
+    def pieces_of(batches, enc):
         from pyspark import TaskContext
 
-        enc, base = encoder(tokenizer, keeps_spaces), TaskContext.get().partitionId() << 40
+        base = TaskContext.get().partitionId() << 40
         pool: list[tuple[int | None, np.ndarray]] = []
         n = used = 0
 
@@ -92,8 +96,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for d, ids in pool:
                 rows += [(d, at, ids[at : at + window], len(ids)) for at in range(0, len(ids), window)]
             where, offset, fill = best_fit([len(r[2]) for r in rows], window)
-            for a in range(0, len(rows), 20_000):
-                part, at = rows[a : a + 20_000], slice(a, a + 20_000)
+            for a in range(0, len(rows), 5_000):
+                part, at = rows[a : a + 5_000], slice(a, a + 5_000)
                 cols = [[r[0] for r in part], [r[1] for r in part], [len(r[2]) for r in part], [r[2].astype("<u4").tobytes() for r in part], [r[3] for r in part], [base + used + w for w in where[at]], offset[at], [fill[w] for w in where[at]]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
             pool, used = [], used + len(fill)

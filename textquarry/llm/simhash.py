@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm.graph import components
+from textquarry.llm.memory import frugal
 from textquarry.llm.storage import materialise
 
 
@@ -116,7 +117,7 @@ def links(prints: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
         if len(cells):
             yield of(cells, fps)
 
-    return tasks.select("cell", "fp").repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(forests, "a long, b long")
+    return tasks.select("cell", "fp").repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(frugal(forests), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, words: int = 4) -> DataFrame:
@@ -128,7 +129,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 part = batch.slice(a, 2000)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints_of(part.column("text").to_pylist(), words).view(np.int64))], ["doc_id", "fp"])
 
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(digest, "doc_id long, fp long")
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(digest), "doc_id long, fp long")
     found = materialise(found, "fingerprints")
     prints = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     roots = components(links(prints.select("fp"), radius))

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textquarry.llm.memory import frugal
 from textquarry.llm.tokens import encoder, slices
 
 BLOCKS = "shard int, block int, start long, n_ids long, bits int, first_doc_id long, last_doc_id long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -62,9 +63,13 @@ def write_tokens(
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("first_doc_id", pa.int64()), ("last_doc_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def blocks(batches):
+        with encoder(tokenizer, keeps_spaces) as enc:
+            yield from blocks_of(batches, enc)
+
+    def blocks_of(batches, enc):
         from pyspark import TaskContext
 
-        enc, shard = encoder(tokenizer, keeps_spaces), TaskContext.get().partitionId()
+        shard = TaskContext.get().partitionId()
         bits = max(1, (max(enc.tok.get_vocab_size(), end_id + 1) - 1).bit_length())
         block = start = 0
         held: list[tuple[int | None, np.ndarray]] = []
@@ -116,7 +121,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     cols.append([ids[a:b].tolist() for a, b in cut])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, names, strict=True)], [n for n, _ in names])
 
-    read = blocks.select("shard", "start", "n_ids", "bits", "doc_ids", "lengths", "payload").mapInArrow(documents, "doc_id long, shard int, within long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    read = blocks.select("shard", "start", "n_ids", "bits", "doc_ids", "lengths", "payload").mapInArrow(frugal(documents), "doc_id long, shard int, within long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     # one row for each shard: the running total over shards is small whatever the number of documents
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
@@ -141,4 +146,4 @@ def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
                     at += n
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, (_, t) in enumerate(names)], [n for n, _ in names])
 
-    return blocks.where(near).select("bits", "doc_ids", "lengths", "payload").mapInArrow(documents, "doc_id long, ids array<long>")
+    return blocks.where(near).select("bits", "doc_ids", "lengths", "payload").mapInArrow(frugal(documents), "doc_id long, ids array<long>")

@@ -9,12 +9,15 @@ that does not hold (runs of white space, in the byte vocabulary) are encoded who
 
 import os
 from array import array
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from textquarry.llm.memory import give_back
+
 #: White space of any kind before a space that is followed by white space or the end: such a run is one token.
 RUN = r"[\t-\r \x1c-\x1f\x{85}\p{Z}] (?:[\t-\r \x1c-\x1f\x{85}\p{Z}]|$)"
 
@@ -144,11 +147,21 @@ def slices(texts: pa.Array, most_bytes: int = 4 << 20):
 
 
 @lru_cache(maxsize=2)
-def encoder(name: str, keeps_spaces: bool) -> Encoder:
-    """One encoder for each Python worker, so that its words are remembered from task to task."""
+def _encoder(name: str, keeps_spaces: bool) -> Encoder:
     return Encoder(tokenizer_path(name), keeps_spaces)
 
 
+@contextmanager
+def encoder(name: str, keeps_spaces: bool):
+    """The worker's encoder for the length of a task. A worker outlives its task: what the task filled is given back to the system."""
+    lent = _encoder(name, keeps_spaces)
+    try:
+        yield lent
+    finally:
+        lent.young, lent.old = {}, {}
+        give_back()
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file; an absolute path is taken as it is."""
     if os.path.isabs(name):

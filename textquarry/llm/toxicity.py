@@ -21,10 +21,13 @@ import math
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.llm.memory import frugal, give_back
+
 # Insults and their default weight; phrases in which a listed word is no insult.
 INSULTS = ["idiot", "moron", "stupid", "imbecile", "dumbass", "asshole", "bastard", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown", "retard", "cretin", "scumbag", "vermin", "degenerate", "shithead", "fuckwit", "dickhead", "bitch", "whore", "wichser", "arschloch", "hurensohn", "connard", "salope", "encule", "gilipollas", "cabron", "pendejo"]
 DEFAULT_WEIGHT = 3.0
@@ -110,7 +113,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     found.update([" " + w[:n] for w in words if len(w) >= n])
                 for e in found:
                     seen.setdefault(e, [0, 0])[bad] += 1
-        # an entry that this part's toxic documents don't hold counts only against what other parts find
         items = list(seen.items())
         for at in range(0, len(items), 50_000):
             part = items[at : at + 50_000]
@@ -121,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lexicon = {f" {w}": DEFAULT_WEIGHT for w in INSULTS}
     beta = [-3.0, 1.0, 1.0]
     if bad and good:
-        table = rows.select("text", "bad").mapInArrow(count, "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        table = rows.select("text", "bad").mapInArrow(frugal(count), "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
         best = table.where((F.col("bad") >= least) & (odds >= margin)).orderBy(odds.desc(), "entry").limit(entries).collect()
         lexicon |= _chosen(best, bad, good, least, margin)
@@ -138,26 +140,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 x = _features(batch.column("text").to_pylist(), entries_now)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("bad")], ["sum", "rate", "bad"])
 
-        seen = np.array([[r["sum"], r["rate"], r["bad"]] for r in rows.select("text", "bad").mapInArrow(measure, "sum double, rate double, bad int").orderBy("sum", "rate", "bad").collect()])
+        seen = np.array([[r["sum"], r["rate"], r["bad"]] for r in rows.select("text", "bad").mapInArrow(frugal(measure), "sum double, rate double, bad int").collect()])
         if len(seen):
+            seen = seen[np.lexsort(seen.T)]  # the same order, and so the same sums, on every run
             model["beta"] = _logistic(seen[:, :2], seen[:, 2]).tolist()
     return model
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``toxicity`` (0 to 1) beside its own."""
+def score(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``out_col`` (0 to 1) beside its own."""
     lexicon, beta = model["lexicon"], model["beta"]
 
     @F.pandas_udf("double")
-    def toxicity(texts):
-        import pandas as pd
-
+    def toxicity(texts: pd.Series) -> pd.Series:
         x = _features(texts.tolist(), lexicon)
+        give_back()
         return pd.Series(1 / (1 + np.exp(-np.clip(beta[0] + x @ np.array(beta[1:]), -30, 30))))
 
-    return docs.withColumn("toxicity", toxicity(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.withColumn(out_col, toxicity(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def reject(docs: DataFrame, model: dict, bound: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that score ``bound`` or more; the columns stay as they were."""
-    return score(docs.withColumn("__text", F.col(text_col)), model, text_col="__text").where(F.col("toxicity") < bound).select(*docs.columns)
+    """``docs`` without the documents that score ``bound`` or more; its columns stay as they were."""
+    return score(docs, model, text_col, "__toxicity").where(F.col("__toxicity") < bound).select(*docs.columns)
