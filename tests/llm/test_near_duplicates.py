@@ -119,7 +119,7 @@ def vectors(seed=0, groups=6, dims=64):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"window_rows": 12}, {"block": 8}])
+@pytest.mark.parametrize("how", [{}, {"window_rows": 4}, {"block": 8}, {"least_share": 0.2, "window_rows": 4}])
 def test_op5_against_brute_force(spark, how):
     data = vectors()
     df = spark.createDataFrame([(k, [float(x) for x in np.float32(v)], label) for k, (v, label) in enumerate(data)], "vec_id long, embedding array<float>, label int")

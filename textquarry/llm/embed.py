@@ -4,7 +4,8 @@ Every vector is projected on many random directions, one dimension each. The
 projections of a label are sorted, and only the windows at both ends of a
 projection are kept: in the crowded middle a collision says little. A window's tail share is set by
 the label's size, so that a window holds about ``window_rows`` vectors however many
-there are, and the number of projections follows from it. Two vectors collide on a
+there are, and the number of projections follows from it. The share has a floor, ``least_share``, so
+that a vector's work is bounded too: in labels beyond some hundred thousand rows windows grow, and are compared in blocks. Two vectors collide on a
 projection when both lie in the same end window and each lies in the window of
 ``reach`` deviations centred on the other. A pair with at least ``count`` collisions is
 verified by its cosine in double precision. Projections are as many as make a
@@ -37,14 +38,18 @@ from textquarry.llm.simhash import forest
 from textquarry.llm.storage import materialise
 
 
+#: Projections that are held at once.
+CHUNK = 256
+
+
 @lru_cache(maxsize=256)
-def calibrate(rows: int, cosine: float, window_rows: int, count: int, recall: float, reach: float) -> tuple[float, int]:
+def calibrate(rows: int, cosine: float, window_rows: int, count: int, recall: float, reach: float, least_share: float = 2**-12) -> tuple[float, int]:
     """(tail bound, projections) for a label of ``rows`` vectors.
 
     The chance that two unit vectors at ``cosine`` collide on one projection is twice the
     probability that both of two normals with that correlation exceed the bound.
     """
-    share = min(0.25, window_rows / max(rows, 1))
+    share = min(0.25, max(window_rows / max(rows, 1), least_share))
     bound = NormalDist().inv_cdf(1 - share)
     x = np.linspace(bound, bound + 9, 4001)
     upper = np.array([0.5 * math.erfc((bound - cosine * v) / math.sqrt(2 * (1 - cosine * cosine))) for v in x])
@@ -61,7 +66,7 @@ def directions(dims: int, many: int, seed: int) -> np.ndarray:
 
 
 def near_vectors(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, window_rows: int = 96, count: int = 2, recall: float = 0.99, reach: float = 3.0, block: int = 1024, seed: int = 11
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, window_rows: int = 96, count: int = 2, recall: float = 0.99, reach: float = 3.0, block: int = 1024, least_share: float = 2**-12, seed: int = 11
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
@@ -89,10 +94,12 @@ def near_vectors(
                         unit = flat[ends[pick][:, None] + np.arange(d)].astype(np.float64)
                         unit = unit / np.abs(unit).max(1, keepdims=True)
                         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                        bound, many = calibrate(int(size), cosine, window_rows, count, recall, reach)
-                        p = unit @ directions(int(d), many, seed)
-                        for side, (i, j) in enumerate((np.nonzero(p > bound), np.nonzero(p < -bound))):
-                            found.append((pick[i], 2 * j + side))
+                        bound, many = calibrate(int(size), cosine, window_rows, count, recall, reach, least_share)
+                        towards = directions(int(d), many, seed)
+                        for first in range(0, many, CHUNK):
+                            p = unit @ towards[:, first : first + CHUNK]
+                            for side, (i, j) in enumerate((np.nonzero(p > bound), np.nonzero(p < -bound))):
+                                found.append((pick[i], 2 * (j + first) + side))
                 who = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
                 end = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
                 raw = [flat[a:b].astype(number).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -111,37 +118,43 @@ def near_vectors(
             unit = np.frombuffer(b"".join(cell["v"]), number).astype(np.float64).reshape(len(cell["v"]), -1)
             unit /= np.abs(unit).max(1, keepdims=True)
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-            bound, many = calibrate(size, cosine, window_rows, count, recall, reach)
-            p = unit @ directions(unit.shape[1], many, seed)
-            inside = np.concatenate([p > bound, p < -bound], axis=1).astype(np.float32)
-            order = np.argsort(p[:, end // 2], kind="stable")
-            unit, p, inside, row, i, own = unit[order], p[order], inside[order], cell["row"][order], cell["i"][order], cell["own"][order]
-            near = np.zeros((len(row), len(row)), bool)
+            bound, many = calibrate(size, cosine, window_rows, count, recall, reach, least_share)
+            towards = directions(unit.shape[1], many, seed)
+            own_p = unit @ towards[:, end // 2]
+            order = np.argsort(own_p, kind="stable")
+            unit, own_p, row, i, own = unit[order], own_p[order], cell["row"][order], cell["i"][order], cell["own"][order]
+            n = len(row)
+            shared = np.zeros((n, n), np.float32)  # end windows that two vectors share
+            for first in range(0, many, CHUNK):
+                p = unit @ towards[:, first : first + CHUNK]
+                inside = np.concatenate([p > bound, p < -bound], axis=1).astype(np.float32)
+                shared += inside @ inside.T
+            maybe = shared >= count
             # the window centred on each vector, in the order of this projection
-            to = np.searchsorted(p[:, end // 2], p[:, end // 2] + reach * spread, side="right")
-            for a in range(0, len(row), 128):
-                b = min(a + 128, len(row))
-                c = int(to[b - 1])
-                maybe = inside[a:b] @ inside[a:c].T >= count
-                maybe &= np.arange(a, c)[None, :] > np.arange(a, b)[:, None]
-                maybe &= np.arange(a, c)[None, :] < to[a:b, None]
-                if not own.all():  # two blocks: only pairs across them
-                    maybe &= i[a:b, None] != i[None, a:c]
-                # what every condition must hold for is tested by the cheapest first: the cosine before the windows of the other projections
-                maybe &= unit[a:b] @ unit[a:c].T >= cosine - 1e-9
-                x, y = np.nonzero(maybe)
-                for s in range(0, len(x), 10_000):
-                    u, w = x[s : s + 10_000] + a, y[s : s + 10_000] + a
-                    gap = np.abs(p[u] - p[w]) <= reach * spread
-                    hits = (inside[u] * inside[w]) > 0
-                    hits[:, :many] &= gap
-                    hits[:, many:] &= gap
-                    first = 2 * hits[:, :many].argmax(1) + np.where(hits[:, :many].any(1), 0, 4 * many)
-                    other = 2 * hits[:, many:].argmax(1) + 1 + np.where(hits[:, many:].any(1), 0, 4 * many)
-                    good = (hits.sum(1) >= count) & (np.minimum(first, other) == end)
-                    u, w = u[good], w[good]
-                    good = np.einsum("ij,ij->i", unit[u], unit[w]) >= cosine
-                    near[u[good], w[good]] = near[w[good], u[good]] = True
+            to = np.searchsorted(own_p, own_p + reach * spread, side="right")
+            place = np.arange(n)
+            maybe &= (place[None, :] > place[:, None]) & (place[None, :] < to[:, None])
+            if not own.all():  # two blocks: only pairs across them
+                maybe &= i[:, None] != i[None, :]
+            # what every condition must hold for is tested by the cheapest first: the cosine before the centred windows of the other projections
+            maybe &= unit @ unit.T >= cosine - 1e-9
+            near = np.zeros((n, n), bool)
+            u, w = np.nonzero(maybe)
+            hits, where = np.zeros(len(u), np.int32), np.full(len(u), -1, np.int32)
+            for first in range(0, many, CHUNK):
+                p = unit @ towards[:, first : first + CHUNK]
+                sign = (p > bound).astype(np.int8) - (p < -bound)
+                for s in range(0, len(u), 10_000):
+                    x, y = u[s : s + 10_000], w[s : s + 10_000]
+                    hit = (sign[x] != 0) & (sign[x] == sign[y]) & (np.abs(p[x] - p[y]) <= reach * spread)
+                    hits[s : s + 10_000] += hit.sum(1, dtype=np.int32)
+                    at = hit.argmax(1)
+                    new = (where[s : s + 10_000] < 0) & hit[np.arange(len(x)), at]
+                    where[s : s + 10_000] = np.where(new, 2 * (at + first) + (sign[x, at] < 0), where[s : s + 10_000])
+            good = (hits >= count) & (where == end)
+            u, w = u[good], w[good]
+            good = np.einsum("ij,ij->i", unit[u], unit[w]) >= cosine
+            near[u[good], w[good]] = near[w[good], u[good]] = True
             degree = near.sum(1)
             some = np.flatnonzero(degree)
             edges = forest(row, near)
