@@ -30,7 +30,7 @@ def test_word_lookup_pushes_its_filter(spark, tmp_path):
 def test_key_lookup_pushes_its_filter(spark, tmp_path):
     tables = published(spark, tmp_path)
     plan = plan_of(index.candidates(tables, "name_7"))
-    assert "PushedFilters: [In(gram" in plan and "struct<gram:string,file_id:bigint>" in plan
+    assert "PushedFilters: [In(gram" in plan and "struct<gram:bigint,file_id:bigint>" in plan
 
 
 def test_a_search_with_an_index_joins_by_file(spark, tmp_path):

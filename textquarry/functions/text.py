@@ -23,6 +23,12 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(ascii_lower(text), F.lit(r"(?=([^\n]{3}))"), F.lit(1)))
 
 
+def gram_code(gram: str) -> int:
+    """A three-character key as a number: 21 bits for each code point."""
+    a, b, c = map(ord, gram)
+    return a << 42 | b << 21 | c
+
+
 def pieces(word: Column) -> Column:
     """Parts of an identifier with three characters or more, lower case, in order."""
     return F.transform(F.filter(F.split(word, CUT), lambda p: F.length(p) >= 3), ascii_lower)

@@ -29,8 +29,10 @@ def query_terms(question: str) -> list[str]:
     return out
 
 
-def piece_postings(words: DataFrame) -> DataFrame:
-    """(piece, file_id, tf): how many distinct words of a file hold a piece. Built once beside the word postings."""
+def piece_postings(words: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """(piece, file_id, tf): how many distinct words of a file hold a piece. Built once beside the word postings, or for some terms alone."""
+    if terms is not None:
+        words = words.where(F.lower("word").rlike("|".join(terms)) if terms else F.lit(False))
     held = words.select("file_id", "word", F.explode(F.array_distinct(pieces(F.col("word")))).alias("piece"))
     return held.groupBy("piece", "file_id").agg(F.count(F.lit(1)).alias("tf"))
 

@@ -125,7 +125,7 @@ def index_words(spark, d):
 
 
 @query(
-    f"with {DOCS}, g as (select distinct file_id, unnest(list_transform(range(1, greatest(length(l) - 1, 1)), lambda i: substr(l, i::int, 3))) as gram from (select file_id, unnest(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10))) as l from docs)) select gram, count(*)::bigint as files from g group by gram"
+    f"with {DOCS}, g as (select distinct file_id, unnest(list_transform(range(1, greatest(length(l) - 1, 1)), lambda i: substr(l, i::int, 3))) as gram from (select file_id, unnest(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10))) as l from docs)) select unicode(substr(gram, 1, 1))::bigint * 4398046511104 + unicode(substr(gram, 2, 1))::bigint * 2097152 + unicode(substr(gram, 3, 1))::bigint as gram, count(*)::bigint as files from g group by 1"
 )
 def index_grams(spark, d):
     return index.gram_postings(_docs(spark, d)).groupBy("gram").agg(F.count(F.lit(1)).alias("files"))
@@ -221,7 +221,8 @@ def page_files(spark, d):
 def find_files(spark, d):
     """BM25 over the pieces of indexed words, with weight for the path."""
     files = _docs(spark, d)
-    found = find.find(files, find.piece_postings(index.word_postings(files)), "how do the tests handle moron and the Apache license")
+    question = "how do the tests handle moron and the Apache license"
+    found = find.find(files, find.piece_postings(index.word_postings(files), find.query_terms(question)), question)
     return found.select("path", F.round("score", 6).alias("score"))
 
 
