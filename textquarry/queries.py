@@ -136,7 +136,7 @@ def index_words_containing(spark, d):
     return index.words_containing(index.word_postings(_docs(spark, d)), "tionth")
 
 
-@query(f"with {DOCS}, {LINES} select path, line, round(0.4 * 0.8 * {WEIGHT} * 1.15, 6) as score from lines where regexp_matches(line_text, '{EDGE}worthless($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')")
+@query(f"with {DOCS}, {LINES} select path, line, round(0.4 * 0.8 * {WEIGHT} * 1.15, 6)::double as score from lines where regexp_matches(line_text, '{EDGE}worthless($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')")
 def search_scores(spark, d):
     """Scores of whole-word hits: kind weight, place and exactness."""
     found = search.hits(_docs(spark, d), SearchOptions("worthless", fixed=True, whole_word=True))
@@ -144,7 +144,7 @@ def search_scores(spark, d):
 
 
 @query(
-    f"with {DOCS}, {LINES} select path, line, round(0.4 * 0.8 * {WEIGHT} * case when regexp_matches(line_text, '{EDGE}tion($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') then 1.15 else 1.0 end, 6) as score from lines where contains(line_text, 'tion') order by score desc, replace(path, '/', chr(1)), line limit 25"
+    f"with {DOCS}, {LINES} select path, line, round(0.4 * 0.8 * {WEIGHT} * case when regexp_matches(line_text, '{EDGE}tion($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') then 1.15 else 1.0 end, 6)::double as score from lines where contains(line_text, 'tion') order by score desc, replace(path, '/', chr(1)), line limit 25"
 )
 def search_top(spark, d):
     """The best hits: score, then path name by name, then line."""
@@ -248,7 +248,7 @@ def import_table(spark, d):
     return symbols.imports(_code(spark, d)).select("file_id", "module", "names")
 
 
-@query(f"with {PARTS} select path, 3 as line, 'class' as kind, round(0.8 * 0.6, 6) as score from parts where class_name = 'Part42'")
+@query(f"with {PARTS} select path, 3 as line, 'class' as kind, round(0.8 * 0.6, 6)::double as score from parts where class_name = 'Part42'")
 def verb_def(spark, d):
     files = _code(spark, d)
     return verbs.definitions(files, symbols.symbols(files), "Part42").select("path", "line", "kind", F.round("score", 6).alias("score"))
@@ -260,13 +260,13 @@ def verb_refs(spark, d):
     return verbs.references(files, "part_42", symbols.spans(files), symbols.symbols(files)).select("path", "line", "kind")
 
 
-@query(f"with {PARTS} select path, method_name as symbol, 1::bigint as calls, [5] as lines, round(0.8, 6) as score from parts where call_name = 'helper_3'")
+@query(f"with {PARTS} select path, method_name as symbol, 1::bigint as calls, [5] as lines, round(0.8, 6)::double as score from parts where call_name = 'helper_3'")
 def verb_callers(spark, d):
     files = _code(spark, d)
     return verbs.callers(files, "helper_3", symbols.spans(files), symbols.symbols(files)).select("path", "symbol", "calls", "lines", F.round("score", 6).alias("score"))
 
 
-@query(f"with {PARTS} select path, 3 as line, class_name as name, round(0.8, 6) as score from parts where base_name = 'Base7' order by replace(path, '/', chr(1)) limit 200")
+@query(f"with {PARTS} select path, 3 as line, class_name as name, round(0.8, 6)::double as score from parts where base_name = 'Base7' order by replace(path, '/', chr(1)) limit 200")
 def verb_impls(spark, d):
     files = _code(spark, d)
     return verbs.implementations(files, symbols.symbols(files), "Base7").select("path", "line", "name", F.round("score", 6).alias("score"))
@@ -348,7 +348,7 @@ def graph_out_edges(spark, d):
     return _graph(spark, d)[1].where("src = 1").select(F.col("dst").alias("file_id"), "weight")
 
 
-@query("with " + EDGES + ", files as (select src as id from edges union select dst from edges), one as (select dst from edges where src = 1) select id as file_id, case when id = 1 or id in (select dst from one) then 1.0 else 0.6 end as reach from files")
+@query("with " + EDGES + ", files as (select src as id from edges union select dst from edges), one as (select dst from edges where src = 1) select id as file_id, case when id = 1 or id in (select dst from one) then 1.0::double else 0.6::double end as reach from files")
 def graph_reach(spark, d):
     """Import reachability from one file; all stand-ins share a directory."""
     nodes, edges = _graph(spark, d)
