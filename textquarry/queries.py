@@ -238,7 +238,7 @@ def symbol_table(spark, d):
     return symbols.symbols(_code(spark, d)).select("file_id", "name", "kind", "line", "supers")
 
 
-@query(f"with {PARTS} select file_id, 'comment' as kind, length('from base import ' || base_name) + 1 as start from parts")
+@query(f"with {PARTS} select file_id, 'comment' as kind, (length('from base import ' || base_name) + 1)::int as start from parts")
 def span_table(spark, d):
     return symbols.spans(_code(spark, d)).select("file_id", "kind", "start")
 
