@@ -48,7 +48,7 @@ def definitions(files: DataFrame, symbols: DataFrame, name: str, ranks: DataFram
     nested = F.when(F.col("parent_kind").isin("function", "method"), 0.7).otherwise(1.0)
     score = kind_weight(F.col("kind")) * F.when(F.col("exported"), 1.0).otherwise(0.85) * nested * location_weight(F.col("path"), path_flags(F.col("path"))) * (0.6 + 0.4 * rank) * F.col("reach")
     order = [F.round("score", 9).desc(), path_key(F.col("path")), F.col("line")]
-    found = found.withColumn("score", score).select("file_id", "path", "line", "kind", "name", "signature", "score")
+    found = found.withColumn("score", score).select("file_id", "path", "line", "kind", "name", "signature", "score").persist()  # one name's definitions, read thrice
     others, blocks = found.where("kind <> 'impl'"), found.where("kind = 'impl'")
     most = top if others.isEmpty() else 3
     return others.orderBy(*order).limit(top).unionByName(blocks.orderBy(*order).limit(most)).orderBy(*order).limit(top)
