@@ -139,12 +139,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_duplicates, prints=None, **how) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id.
 
+    ``groups`` finds them, with the parameters ``how``; ``prints`` gives the fp of texts in its results (none: fingerprints).
+
     Rows that repeat a kept id: the one whose row hash is least stays. A group in which no row has an id keeps one of its rows.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
+    found = groups(docs, id_col, text_col, **how)
+    prints = prints or (lambda texts: fingerprints_of(texts, how.get("words", 4)).view(np.int64))
     stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stay")).distinct()
     kept = docs.join(stay, docs[id_col] == stay["__stay"], "left_semi")
     again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__again")
@@ -158,7 +161,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
         @F.pandas_udf("long")
         def print_of(texts: pd.Series) -> pd.Series:
-            return pd.Series(fingerprints_of(texts.tolist(), how.get("words", 4)).view(np.int64))
+            return pd.Series(prints(texts.tolist()))
 
         lone = docs.where(F.col(id_col).isNull()).withColumn("__fp", print_of(F.coalesce(F.col(text_col), F.lit(""))))
         kept = kept.unionByName(lone.join(nameless, "__fp").dropDuplicates(["__root"]).drop("__fp", "__root"))
