@@ -4,10 +4,12 @@ Base entities (e-mail addresses, IPv4 addresses, payment cards, phone numbers) a
 found by regular expressions in every whole text; they are the seeds. Every
 identifier-like token (it holds a digit or an "@") is an instance, and the one or two words before it, or
 the name before "=" in it, are the lexical pattern it occurs in. Over the graph of patterns and instances
-scores are exchanged for ``rounds`` rounds: a pattern's score for a kind is the mean score of its
-distinct instances, an instance that is no seed has half the mean score of its patterns. A
-pattern with at least ``support`` distinct seeds of a kind and a score of ``confidence`` or more
-is trusted, and what else occurs in it is a span of that kind, if it has four digits or an "@".
+scores are exchanged for at most ``rounds`` rounds: a pattern's score for a kind is the weight of its distinct instances of
+that kind over the weight of all that are known: seeds, instances found in an earlier round, and tokens that can't be
+identifiers (fewer than four digits, no "@"), which count against it. Other instances count neither way. A
+pattern with at least ``support`` distinct instances of a kind and a score of ``confidence`` or more
+is trusted, and what else occurs in it is a span of that kind, if it has four digits or an "@"; such an instance is a
+seed of the next round, weighted by the mean score of its trusted patterns, unless these are of several kinds.
 So scores cover the whole corpus, and no pattern is trusted for what one document says.
 
 Positions come from the pieces between matches. Possessive quantifiers and
@@ -105,24 +107,34 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), found).otherwise(F.expr("cast(array() as array<struct<start: bigint, end: bigint, value: string, pattern: string>>)"))
 
 
+def _like(value: Column) -> Column:
+    """Whether a token may be an identifier: it has four digits or an "@"."""
+    return F.contains(value, F.lit("@")) | (F.length(_digits(value)) >= 4)
+
+
 def _trusted(seen: DataFrame, support: int, confidence: float, rounds: int) -> DataFrame:
     """(pattern, kind) of the trusted patterns; ``seen`` has pattern, value and kind (null: no seed)."""
     edges = materialise(seen.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "pattern-instances")
-    strong = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support)
-    able = strong.select("pattern").distinct()
-    edges = materialise(edges.join(able, "pattern", "left_semi"), "pattern-instances")
-    known = edges.select("value", F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.when(F.col("kind").isNull(), F.lit(None)).otherwise((F.col("kind") == k).cast("double")).alias("score")) for k in KINDS])).alias("s"), "pattern")
-    known = known.select("pattern", "value", "s.of", "s.score")
-    free = known.where("score is null").drop("score")
-    fixed = known.where("score is not null").groupBy("pattern", "of").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("n"))
-    value = free.select("value", "of").distinct().withColumn("score", F.lit(0.0))
-    score = None
-    for _ in range(rounds):
-        loose = free.join(value, ["value", "of"]).groupBy("pattern", "of").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("n"))
-        score = materialise(fixed.unionByName(loose).groupBy("pattern", "of").agg((F.sum("sum") / F.sum("n")).alias("score")), "pattern-scores")
-        value = free.join(score, ["pattern", "of"]).groupBy("value", "of").agg((F.avg("score") / 2).alias("score"))
-    good = score.where(F.col("score") >= confidence).select("pattern", F.col("of").alias("kind"))
-    return good.join(strong, ["pattern", "kind"], "left_semi")
+    # a pattern of fewer distinct instances never has the support
+    wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("pattern")
+    edges = materialise(edges.join(wide, "pattern", "left_semi"), "pattern-instances")
+    unknown = F.col("kind").isNull() & _like(F.col("value"))
+    free = edges.where(unknown).select("pattern", "value")
+    fixed = edges.where(~unknown).select("pattern", "kind", F.lit(1.0).alias("weight"))
+    known, before = fixed, 0
+    for n in range(rounds):
+        mine = [F.struct(F.lit(k).alias("kind"), F.sum(F.when(F.col("kind") == k, F.col("weight"))).alias("sum"), F.count(F.when(F.col("kind") == k, 1)).alias("n")) for k in KINDS]
+        score = known.groupBy("pattern").agg(F.sum("weight").alias("all"), F.array(*mine).alias("of")).select("pattern", "all", F.inline("of"))
+        score = score.withColumn("score", F.col("sum") / F.col("all")).where((F.col("n") >= support) & (F.col("score") >= confidence))
+        good = materialise(score.select("pattern", "kind", "score"), "pattern-scores")
+        now = good.count()
+        if n == rounds - 1 or now == before:
+            break
+        before = now
+        # what occurs in trusted patterns of one kind is a seed of the next round, with their mean score as its weight
+        found = free.join(good, "pattern").groupBy("value").agg(F.min("kind").alias("kind"), F.max("kind").alias("other"), F.avg("score").alias("weight")).where("kind = other")
+        known = fixed.unionByName(free.join(found, "value").select("pattern", "kind", "weight"))
+    return good.select("pattern", "kind")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 5, confidence: float = 0.9, rounds: int = 3) -> DataFrame:
@@ -137,9 +149,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     token = token.withColumn("seed", F.get(starts, F.lit(0))).where(F.col("seed").isNotNull() | ~inside)
     seen = token.select("row", "c.start", "c.end", "c.pattern", F.coalesce("seed.value", "c.value").alias("value"), F.col("seed.kind").alias("kind"))
     trusted = _trusted(seen, support, confidence, rounds)
-    like = F.contains("value", F.lit("@")) | (F.length(_digits(F.col("value"))) >= 4)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
-    new = seen.where(F.col("kind").isNull() & like).drop("kind").join(trusted, "pattern").select("row", F.struct(F.col("start"), rank.alias("rank"), F.col("end"), F.col("kind"), F.col("value")).alias("span"))
+    new = seen.where(F.col("kind").isNull() & _like(F.col("value"))).drop("kind").join(trusted, "pattern").select("row", F.struct(F.col("start"), rank.alias("rank"), F.col("end"), F.col("kind"), F.col("value")).alias("span"))
     new = materialise(new.groupBy("row").agg(F.collect_set("span").alias("new")), "discovered")
     spans = F.array_sort(F.concat("base", F.coalesce("new", F.expr(f"cast(array() as {_SPAN})"))))
     return rows.join(new, "row", "left").select("doc_id", "text_key", "base", spans.alias("spans"))
