@@ -33,3 +33,20 @@ def test_unseeded_instances_are_no_negatives_but_other_kinds_and_plain_numbers_a
     for bad in ([f"Well then. My badge phone: {k}" for k in range(10)], [f"Well then. My badge phone: a{k}@b.example.org" for k in range(10)]):
         got = spans(SEEDS + unseen + bad)
         assert all(got[len(SEEDS) + k] == [] for k in range(15))
+
+
+def test_spaced_groups_are_one_candidate_and_neighbours_inherit_the_pattern(spans):
+    cases = {
+        "Well then. My badge phone: 030 5551234, thanks": ["030 5551234"],
+        "Well then. My badge phone: (030) 555-12 34.": ["030) 555-12 34"],
+        "Well then. My badge phone: 030-5551234, 030-5551235 / x5551236z": ["030-5551234", "030-5551235", "x5551236z"],
+        "Well then. My badge phone: 030 5551234 (9 rings) at 10:30:45": ["030 5551234"],
+        "Well then. My badge phone: 030 5551234 19abc": ["030 5551234"],
+        "Well then. about 030 5551234": [],
+        "030 5551234 alone, 555 1234": [],
+        "1 2 3 " * 3000: [],
+    }
+    got = spans(SEEDS + list(cases))
+    assert [[v for _, v in got[len(SEEDS) + k]] for k in range(len(cases))] == list(cases.values())
+    got = spans([t + " 12 a@b.example.org" for t in SEEDS] + list(cases))
+    assert [v for _, v in got[len(SEEDS)]] == ["030 5551234"]

@@ -2,8 +2,9 @@
 
 Base entities (e-mail addresses, IPv4 addresses, payment cards, phone numbers) are
 found by regular expressions in every whole text; they are the seeds. Every
-identifier-like token (it holds a digit or an "@") is an instance, and the one or two words before it, or
-the name before "=" in it, are the lexical pattern it occurs in. Over the graph of patterns and instances
+identifier-like token (it holds a digit or an "@"; groups of digits with single spaces or hyphens between them are one token) is an instance, and the one or two words before it, or
+the name before "=" in it, are the lexical pattern it occurs in; a token
+with no word between it and the one before has the pattern of that one. Over the graph of patterns and instances
 scores are exchanged for at most ``rounds`` rounds: a pattern's score for a kind is the weight of its distinct instances of
 that kind over the weight of all that are known: seeds, instances found in an earlier round, and tokens that can't be
 identifiers (fewer than four digits, no "@"), which count against it. Other instances count neither way. A
@@ -36,7 +37,10 @@ PATTERNS = {
 }
 _BYTE = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _SPACE = r"\x20\x09-\x0D"
-TOKEN = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
+#: A group of digits, and what ends a token of such groups; a run has at most 19 groups, as a card has at most 19 digits.
+_GROUP = r"(?:[(][0-9]++[)][0-9]*+|[0-9]++)(?:-(?:[(][0-9]++[)][0-9]*+|[0-9]++))*+"
+_ENDS = rf"(?=[^{_SPACE}0-9A-Za-z@+]*+(?:[{_SPACE}]|\z))"
+TOKEN = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+(?:[0-9]++(?:[)][0-9]*+)?(?:-{_GROUP})?(?:\x20{_GROUP}{_ENDS}){{1,18}}+[^{_SPACE}]*+|[0-9@][^{_SPACE}]*+)"
 _SPAN = "array<struct<start: bigint, rank: int, end: bigint, kind: string, value: string>>"
 
 
@@ -91,7 +95,7 @@ def _of_kind(text: Column, rank: int, kind: str) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Identifier-like tokens with their lexical pattern: array<struct<start, end, value, pattern>>."""
+    """Identifier-like tokens with their lexical pattern: array<struct<start, end, value, pattern, own>>; not own: inherited from the token before."""
 
     def item(m):
         lead = F.length(F.regexp_extract(m["value"], "^[^0-9A-Za-z+@]*+", 0))
@@ -102,9 +106,16 @@ def candidates(text: Column) -> Column:
         pattern = F.when(named != "", F.lower(named)).otherwise(F.trim(F.lower(F.regexp_replace(F.regexp_replace(words, F.lit(rf"[{_SPACE}]+"), F.lit(" ")), F.lit(r"[^\p{L} :=#]+"), F.lit("")))))
         return F.struct((m["start"] + skip).alias("start"), (m["start"] + skip + F.length(core)).alias("end"), core.alias("value"), pattern.alias("pattern"))
 
-    found = F.transform(_placed(text, TOKEN), item)
+    def step(acc, c):
+        own = c["pattern"] != ""
+        pattern = F.when(own, c["pattern"]).otherwise(acc["pattern"])
+        named = F.struct(c["start"], c["end"], c["value"], pattern.alias("pattern"), own.alias("own"))
+        return F.struct(pattern.alias("pattern"), F.array_append(acc["out"], named).alias("out"))
+
+    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint, value: string, pattern: string, own: boolean>>)")
+    found = F.aggregate(F.transform(_placed(text, TOKEN), item), F.struct(F.lit("").alias("pattern"), none.alias("out")), step, lambda acc: acc["out"])
     found = F.filter(found, lambda c: (c["pattern"] != "") & (c["end"] > c["start"]))
-    return F.when(text.rlike("[0-9@]"), found).otherwise(F.expr("cast(array() as array<struct<start: bigint, end: bigint, value: string, pattern: string>>)"))
+    return F.when(text.rlike("[0-9@]"), found).otherwise(none)
 
 
 def _like(value: Column) -> Column:
@@ -147,8 +158,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     starts = F.filter("base", lambda b: (b["start"] >= F.col("c.start")) & (b["start"] < F.col("c.end")))
     inside = F.exists("base", lambda b: (b["start"] < F.col("c.start")) & (b["end"] > F.col("c.start")))
     token = token.withColumn("seed", F.get(starts, F.lit(0))).where(F.col("seed").isNotNull() | ~inside)
-    seen = token.select("row", "c.start", "c.end", "c.pattern", F.coalesce("seed.value", "c.value").alias("value"), F.col("seed.kind").alias("kind"))
-    trusted = _trusted(seen, support, confidence, rounds)
+    seen = token.select("row", "c.start", "c.end", "c.pattern", "c.own", F.coalesce("seed.value", "c.value").alias("value"), F.col("seed.kind").alias("kind"))
+    # an inherited pattern is not judged by its seeds and plain numbers, only what it may hide is looked for
+    trusted = _trusted(seen.where(F.col("own") | (F.col("kind").isNull() & _like(F.col("value")))), support, confidence, rounds)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
     new = seen.where(F.col("kind").isNull() & _like(F.col("value"))).drop("kind").join(trusted, "pattern").select("row", F.struct(F.col("start"), rank.alias("rank"), F.col("end"), F.col("kind"), F.col("value")).alias("span"))
     new = materialise(new.groupBy("row").agg(F.collect_set("span").alias("new")), "discovered")
