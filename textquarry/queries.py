@@ -41,6 +41,11 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return src.documents_as_files(spark, d)
 
 
+def _search(pattern, **how) -> SearchOptions:
+    """Options of a search over whole tables: files of any size."""
+    return SearchOptions(pattern, max_filesize=(1 << 63) - 1, **how)
+
+
 def _code(spark: SparkSession, d: str) -> DataFrame:
     return src.parts_as_code(spark, d)
 
@@ -49,52 +54,52 @@ def _code(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {DOCS}, {LINES} select path, line, line_text as text from lines where regexp_matches(line_text, '{EDGE}that($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')")
 def search_whole_word(spark, d):
     """Lines that hold a word, with Unicode boundaries."""
-    return search.matched_lines(_docs(spark, d), SearchOptions("that", fixed=True, whole_word=True)).select("path", "line", "text")
+    return search.matched_lines(_docs(spark, d), _search("that", fixed=True, whole_word=True)).select("path", "line", "text")
 
 
 @query(f"with {DOCS}, {LINES} select path, line, len(regexp_extract_all(line_text, '[a-z]+tion[a-z]*ing'))::int as matches from lines where regexp_matches(line_text, '[a-z]+tion[a-z]*ing')")
 def search_regex(spark, d):
     """Lines that match a regular expression and how often."""
-    found = search.matched_lines(_docs(spark, d), SearchOptions("[a-z]+tion[a-z]*ing"))
+    found = search.matched_lines(_docs(spark, d), _search("[a-z]+tion[a-z]*ing"))
     return found.select("path", "line", F.size(search.places(F.col("text"), "[a-z]+tion[a-z]*ing")).alias("matches"))
 
 
 @query(f"with {DOCS}, {LINES} select path, line from lines where contains(lower(line_text), 'license')")
 def search_ignore_case(spark, d):
-    return search.matched_lines(_docs(spark, d), SearchOptions("license", fixed=True, ignore_case=True)).select("path", "line")
+    return search.matched_lines(_docs(spark, d), _search("license", fixed=True, ignore_case=True)).select("path", "line")
 
 
 @query(f"with {DOCS}, {LINES} select path, count(*)::bigint as lines from lines where regexp_matches(line_text, 'tion|ment') group by path")
 def search_counts(spark, d):
     """Matched lines by file, for a pattern list."""
-    return sinks.counts(search.matched_lines(_docs(spark, d), SearchOptions(("tion", "ment"))))
+    return sinks.counts(search.matched_lines(_docs(spark, d), _search(("tion", "ment"))))
 
 
 @query(f"with {DOCS} select path from docs where contains(text, 'Version 2.0')")
 def search_paths(spark, d):
-    return sinks.paths(search.matched_lines(_docs(spark, d), SearchOptions("Version 2.0", fixed=True)))
+    return sinks.paths(search.matched_lines(_docs(spark, d), _search("Version 2.0", fixed=True)))
 
 
 @query(f"with {DOCS}, {LINES} select path, count(*)::bigint as lines from lines where not contains(line_text, 'e') group by path")
 def search_invert(spark, d):
-    return sinks.counts(search.matched_lines(_docs(spark, d), SearchOptions("e", fixed=True, invert=True)))
+    return sinks.counts(search.matched_lines(_docs(spark, d), _search("e", fixed=True, invert=True)))
 
 
 @query(f"with {DOCS}, {LINES} select path, line from lines where contains(line_text, 'oreth') and path like 'src/src1%' and path not like '%/de/%'")
 def search_globs(spark, d):
-    return search.matched_lines(_docs(spark, d), SearchOptions("oreth", fixed=True, globs=("src/src1*/**", "!**/de/**"))).select("path", "line")
+    return search.matched_lines(_docs(spark, d), _search("oreth", fixed=True, globs=("src/src1*/**", "!**/de/**"))).select("path", "line")
 
 
 @query(f"with {DOCS}, {LINES} select path, line from lines where contains(line_text, 'the') and path like 'src/%'")
 def search_without_tests(spark, d):
-    return search.matched_lines(_docs(spark, d), SearchOptions("the", fixed=True, no_tests=True, no_vendored=True)).select("path", "line")
+    return search.matched_lines(_docs(spark, d), _search("the", fixed=True, no_tests=True, no_vendored=True)).select("path", "line")
 
 
 @query(f"with {DOCS}, {LINES}, m as (select file_id, path, line from lines where contains(line_text, 'Version 2.0')) select distinct l.path, l.line, exists(select 1 from m m2 where m2.file_id = l.file_id and m2.line = l.line) as matched from lines l join m on m.file_id = l.file_id and l.line between m.line - 1 and m.line + 1")
 def search_context(spark, d):
     """Lines around hits."""
     files = _docs(spark, d)
-    found = search.matched_lines(files, SearchOptions("Version 2.0", fixed=True))
+    found = search.matched_lines(files, _search("Version 2.0", fixed=True))
     return search.with_context(files, found, 1, 1).select("path", "line", "matched")
 
 
@@ -103,7 +108,7 @@ def search_indexed(spark, d):
     """The same search answered by key postings: candidates, then verification."""
     files = _docs(spark, d)
     tables = {"files": files, "words": index.word_postings(files), "grams": index.gram_postings(files)}
-    return search.matched_lines(files, SearchOptions("Apache License", fixed=True), tables).select("path", "line")
+    return search.matched_lines(files, _search("Apache License", fixed=True), tables).select("path", "line")
 
 
 @query(f"with {DOCS}, {WORDS} select file_id from words where word = 'stupid'")
@@ -139,7 +144,7 @@ def index_words_containing(spark, d):
 @query(f"with {DOCS}, {LINES} select path, line, round(0.4 * 0.8 * {WEIGHT} * 1.15, 6)::double as score from lines where regexp_matches(line_text, '{EDGE}worthless($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')")
 def search_scores(spark, d):
     """Scores of whole-word hits: kind weight, place and exactness."""
-    found = search.hits(_docs(spark, d), SearchOptions("worthless", fixed=True, whole_word=True))
+    found = search.hits(_docs(spark, d), _search("worthless", fixed=True, whole_word=True))
     return found.select("path", "line", F.round("score", 6).alias("score"))
 
 
@@ -148,50 +153,50 @@ def search_scores(spark, d):
 )
 def search_top(spark, d):
     """The best hits: score, then path name by name, then line."""
-    found = search.hits(_docs(spark, d), SearchOptions("tion", fixed=True))
+    found = search.hits(_docs(spark, d), _search("tion", fixed=True))
     return search.ranked(found, 25).select("path", "line", F.round("score", 6).alias("score"))
 
 
 @query()
 def search_budget(spark, d):
     """What a budget of 2,000 estimated tokens shows."""
-    found = search.hits(_docs(spark, d), SearchOptions("idiot", fixed=True))
-    return search.fit_budget(found, SearchOptions("idiot")).select("path", "line", "cost", "spent")
+    found = search.hits(_docs(spark, d), _search("idiot", fixed=True))
+    return search.fit_budget(found, _search("idiot")).select("path", "line", "cost", "spent")
 
 
 @query(f"with {DOCS}, {LINES} select case when path like 'tests/%' then 'test' else 'vendored' end as flag, count(*)::bigint as hits from lines where contains(line_text, 'the') and path not like 'src/%' group by 1")
 def facet_flags(spark, d):
-    return search.facets(search.hits(_docs(spark, d), SearchOptions("the", fixed=True)), "flag")
+    return search.facets(search.hits(_docs(spark, d), _search("the", fixed=True)), "flag")
 
 
 @query()
 def facet_areas(spark, d):
-    return search.areas(search.matched_lines(_docs(spark, d), SearchOptions("the", fixed=True)))
+    return search.areas(search.matched_lines(_docs(spark, d), _search("the", fixed=True)))
 
 
 @query(f"with {DOCS}, {WORDS} select word, count(distinct file_id)::bigint as files from words where contains(word, 'tionth') and word <> 'tionth' and file_id in (select file_id from docs where contains(text, 'tionth')) group by word order by files desc, word limit 4")
 def related_names(spark, d):
     files = _docs(spark, d)
-    return search.related_names(index.word_postings(files), search.matched_lines(files, SearchOptions("tionth", fixed=True)), "tionth")
+    return search.related_names(index.word_postings(files), search.matched_lines(files, _search("tionth", fixed=True)), "tionth")
 
 
 @query(f"with {DOCS}, {LINES} select 'ignore_case' as rung, count(*)::bigint as hits from lines where contains(lower(line_text), 'version 2.0')")
 def search_ladder(spark, d):
     """The first rung of the ladder with hits."""
-    rung, found = search.ladder(_docs(spark, d), SearchOptions("VERSION 2.0", fixed=True))
+    rung, found = search.ladder(_docs(spark, d), _search("VERSION 2.0", fixed=True))
     return found.agg(F.count(F.lit(1)).alias("hits")).withColumn("rung", F.lit(rung))
 
 
 @query()
 def search_json(spark, d):
     """Hits as JSON records with byte offsets."""
-    return sinks.json_records(search.hits(_docs(spark, d), SearchOptions("Version 2.0", fixed=True)))
+    return sinks.json_records(search.hits(_docs(spark, d), _search("Version 2.0", fixed=True)))
 
 
 @query()
 def search_events(spark, d):
     """Hits as a begin, match, end and summary stream."""
-    return sinks.event_records(search.hits(_docs(spark, d), SearchOptions("Version 2.0", fixed=True)))
+    return sinks.event_records(search.hits(_docs(spark, d), _search("Version 2.0", fixed=True)))
 
 
 @query(f"with {DOCS} select file_id, path, octet_length(encode(text))::bigint as size, path like 'tests/%' as is_test, path like 'vendor/%' as is_vendored from docs")
@@ -470,22 +475,22 @@ def _linked(spark, d):
 
 @query(f"with {DOCS}, {LINES} select path, line from lines where line_text = 'Released under the MIT License.'")
 def search_whole_line(spark, d):
-    return search.matched_lines(_docs(spark, d), SearchOptions("Released under the MIT License.", fixed=True, whole_line=True)).select("path", "line")
+    return search.matched_lines(_docs(spark, d), _search("Released under the MIT License.", fixed=True, whole_line=True)).select("path", "line")
 
 
 @query(f"with {DOCS}, {LINES} select path, count(*)::bigint as lines from lines where contains(lower(line_text), 'reonth') group by path")
 def search_smart_case(spark, d):
-    return sinks.counts(search.matched_lines(_docs(spark, d), SearchOptions("reonth", fixed=True, smart_case=True)))
+    return sinks.counts(search.matched_lines(_docs(spark, d), _search("reonth", fixed=True, smart_case=True)))
 
 
 @query(f"with {DOCS}, {LINES} select path, line from lines where contains(line_text, 'ent') and (path like 'src/src2/%' or path = 'tests/src0/en/doc_0.txt')")
 def search_under_paths(spark, d):
-    return search.matched_lines(_docs(spark, d), SearchOptions("ent", fixed=True, paths=("./src/src2/", "tests/src0/en/doc_0.txt"))).select("path", "line")
+    return search.matched_lines(_docs(spark, d), _search("ent", fixed=True, paths=("./src/src2/", "tests/src0/en/doc_0.txt"))).select("path", "line")
 
 
 @query(f"with {DOCS}, {LINES}, h as (select file_id, path from lines where contains(line_text, 'tion')) select count(distinct file_id)::bigint as files, count(*)::bigint as hits, count(*) filter (path not like 'src/%')::bigint as demoted_hits, count(*)::bigint as n_ident from h")
 def report_statistics(spark, d):
-    return report.statistics(search.hits(_docs(spark, d), SearchOptions("tion", fixed=True))).select("files", "hits", "demoted_hits", "n_ident")
+    return report.statistics(search.hits(_docs(spark, d), _search("tion", fixed=True))).select("files", "hits", "demoted_hits", "n_ident")
 
 
 @query(
@@ -493,24 +498,24 @@ def report_statistics(spark, d):
 )
 def report_kept_lines(spark, d):
     """Per file the first line and the best two exact and other lines (scores are equal here, so by line)."""
-    return report.kept_lines(search.hits(_docs(spark, d), SearchOptions("tion", fixed=True)), 1, 2).select("path", "line")
+    return report.kept_lines(search.hits(_docs(spark, d), _search("tion", fixed=True)), 1, 2).select("path", "line")
 
 
 @query(f"with {DOCS}, {LINES}, h as (select file_id, path from lines where contains(line_text, 'tion')) select path, count(*)::bigint as total from h group by path")
 def report_file_order(spark, d):
-    return report.file_order(search.hits(_docs(spark, d), SearchOptions("tion", fixed=True)), "path").select("path", "total")
+    return report.file_order(search.hits(_docs(spark, d), _search("tion", fixed=True)), "path").select("path", "total")
 
 
 @query()
 def report_layout(spark, d):
     """Facets when hits are many and over budget."""
-    kind, shown = report.layout(search.hits(_docs(spark, d), SearchOptions("tion", fixed=True)), SearchOptions("tion"))
+    kind, shown = report.layout(search.hits(_docs(spark, d), _search("tion", fixed=True)), _search("tion"))
     return shown.select("path", "line", F.lit(kind).alias("layout"))
 
 
 @query(f"with {DOCS}, {LINES} select path, line, 'ident' as kind, true as exact from lines where contains(line_text, 'GNU General Public License') order by {WEIGHT} desc, replace(path, '/', chr(1)), line limit 10")
 def report_explain(spark, d):
-    return report.explain(search.hits(_docs(spark, d), SearchOptions("GNU General Public License", fixed=True))).select("path", "line", "kind", "exact")
+    return report.explain(search.hits(_docs(spark, d), _search("GNU General Public License", fixed=True))).select("path", "line", "kind", "exact")
 
 
 @query(f"with {LINKED} select l.file_id, t.file_id as target from linked l left join linked t on t.path = l.wanted")
@@ -536,7 +541,7 @@ def import_packages(spark, d):
 def symbol_enclosing(spark, d):
     """The innermost definition around each call."""
     f = _code(spark, d)
-    found = search.hits(f, SearchOptions("helper_2", fixed=True, whole_word=True), None, symbols.spans(f), symbols.symbols(f))
+    found = search.hits(f, _search("helper_2", fixed=True, whole_word=True), None, symbols.spans(f), symbols.symbols(f))
     return symbols.enclosing(found.select("file_id", "line", "offset"), symbols.symbols(f), ["file_id", "line"]).select("file_id", F.col("symbol.name").alias("symbol"), "line")
 
 
