@@ -1,0 +1,26 @@
+"""Licence files as they are found: titled, with curly quotes, and whole texts from the system."""
+
+from pathlib import Path
+
+import pytest
+from test_near_duplicates import DOCS
+
+from textquarry.llm import licence_catalogue, licences
+
+
+def test_usual_forms_and_full_texts(spark, table):
+    folder = Path("/usr/share/common-licenses")
+    mit, isc = licences.KNOWN["MIT"], licences.KNOWN["ISC"]
+    cases = [
+        ("MIT License\n\nCopyright (c) 2024 Someone\n\n" + mit, "MIT"),
+        ("The MIT License (MIT)\n\nCopyright (c) 2024 Someone\n\n" + mit.replace('"AS IS"', "“AS IS”"), "MIT"),
+        ("ISC License\n\nCopyright (c) 2024 Someone\n\n" + isc, "ISC"),
+        ("MIT License or not", None), ("", None), (None, None),
+    ]
+    if not folder.is_dir():
+        pytest.skip("no licence texts on this system")
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD", "BSD-3-Clause-UC")):
+        cases.append(((folder / file).read_text(errors="replace"), name))
+    d = table("documents", [(k, t, "", "", 0) for k, (t, _) in enumerate(cases)], DOCS)
+    got = licence_catalogue.identify(spark.read.parquet(f"{d}/documents.parquet")).collect()
+    assert {r["doc_id"]: r["licence"] for r in got} == {k: v for k, (_, v) in enumerate(cases)}

@@ -1,0 +1,54 @@
+"""A wider licence catalogue: whole texts of common licences, with or without a title, quoted in any style.
+
+``op6_licences`` is held to its SQL, whose known texts and form are fixed; identify() is the scan beyond it. Its form
+is the canonical one after Unicode quotes, dashes and spaces are made ASCII, without a known title at its head.
+FULL holds the SHA-256 of that form of the texts in Debian's /usr/share/common-licenses; the texts of
+licences.KNOWN come on top. A text that differs in words, is re-wrapped before a line that begins with "copyright", or only quotes a licence has none.
+"""
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textquarry.llm.licences import KNOWN, canonical
+
+_SINGLE, _DOUBLE = "‘’‚‛", "“”„‟«»"
+_DASH = "‐‑‒–—―−"
+_BLANK = "       …•·﻿"
+_FROM = _SINGLE + _DOUBLE + _DASH + _BLANK
+_TO = "'" * len(_SINGLE) + '"' * len(_DOUBLE) + "-" * len(_DASH) + " " * len(_BLANK)
+TITLE = "^(?:(?:the )?(?:mit|isc|zlib|x11|expat|bsd zero clause|zero clause bsd|bsd [023] clause(?: (?:new|revised|simplified))*|0bsd)(?: license)?(?: (?:mit|isc|zlib|expat|0bsd))?(?: |$))?(?:all rights reserved )?"
+
+# SHA-256 of the form -> SPDX name.
+FULL: dict[str, str] = {
+    "7418686c7053aa062b5f4ba0ecd6a7e318f58c99e584c6faef82e5400e9ecd23": "Apache-2.0",
+    "cc2cd6cccfacd5fb622fb0e9b9a373fa9dcb86a8c152213a2b856dfbe24fe304": "Artistic-1.0-Perl",
+    "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651": "BSD-3-Clause-UC",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f": "GFDL-1.2",
+    "7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4": "GFDL-1.3",
+    "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a": "GPL-1.0",
+    "c230c00f329737cb7ce3d97a266318b4c9d4c1fd321335e592b2ce1112179b88": "GPL-2.0",
+    "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f": "GPL-3.0",
+    "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3": "LGPL-2.0",
+    "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "b54749b0c07bbeabddbddff412032a998968c1b883e5519575573024b2f1c421": "MPL-1.1",
+    "cdb5877b9b73b693216820ac5a0090510c6fd9df7c38876e551b865cce774ddd": "MPL-2.0",
+}
+
+
+def form(text: Column) -> Column:
+    """The canonical form with ASCII punctuation and no title."""
+    return F.regexp_replace(canonical(F.translate(text, _FROM, _TO)), F.lit(TITLE), F.lit(""))
+
+
+def known(spark: SparkSession) -> DataFrame:
+    """(digest, licence) of the catalogue, distinct digests."""
+    own = spark.createDataFrame(list(KNOWN.items()), "licence string, text string").select(F.sha2(form(F.col("text")), 256).alias("digest"), "licence")
+    return own.unionByName(spark.createDataFrame([(v, k) for k, v in FULL.items()], "licence string, digest string")).dropDuplicates(["digest"])
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, licence (null: none of the catalogue)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(form(F.col(text_col)), 256).alias("digest"))
+    return rows.join(F.broadcast(known(docs.sparkSession)), "digest", "left").select("doc_id", "licence")
