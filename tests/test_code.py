@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.functions import code
+from textquarry.functions import code, context, lexer
 from textquarry.functions.files import LANGUAGES, content_flags, language, location_weight, mock_path, path_flags
 from textquarry.functions.text import clip, constant_style, grams, normal_path, path_key, regex_escape, split_tokens, words
 from textquarry.functions.tokens import estimate
@@ -40,21 +40,75 @@ def test_python_symbols():
     assert PYTHON[by["read"]["start"] : by["read"]["end"]].rstrip().endswith("return helper(n)")
 
 
+def named(text, lang):
+    return [(s["name"], s["kind"], s["supers"]) for s in code.symbols(text, lang)]
+
+
 def test_other_languages():
     rust = "pub struct A { x: u8 }\nimpl Show for A {\n    fn show(&self) -> u8 { self.x }\n}\nmod inner;\n"
-    assert [(s["name"], s["kind"], s["supers"]) for s in code.symbols(rust, "rust")] == [("A", "struct", []), ("A", "impl", ["Show"]), ("show", "method", []), ("inner", "module", [])]
+    assert named(rust, "rust") == [("A", "struct", []), ("x", "field", []), ("A", "impl", ["Show"]), ("show", "method", []), ("inner", "module", [])]
     ts = "export class Box extends Base implements One, Two {\n  open(x: number) {\n    return x;\n  }\n}\nconst f = (a) => a;\n"
-    assert [(s["name"], s["kind"]) for s in code.symbols(ts, "typescript")] == [("Box", "class"), ("open", "method"), ("f", "function")]
-    assert code.symbols(ts, "typescript")[0]["supers"] == ["Base", "One", "Two"]
+    assert named(ts, "typescript") == [("Box", "class", ["Base", "One", "Two"]), ("open", "method", []), ("f", "function", [])]
     kt = "class Job(val n: Int) : Base(n), Runner {\n    fun run() { }\n}\n"
-    assert [(s["name"], s["kind"], s["supers"]) for s in code.symbols(kt, "kotlin")] == [("Job", "class", ["Base", "Runner"]), ("run", "method", [])]
+    assert named(kt, "kotlin") == [("Job", "class", ["Base", "Runner"]), ("n", "field", []), ("run", "method", [])]
+
+
+def test_heads_over_several_lines():
+    assert named("@deco(1)\nclass A(\n    B,\n    pkg.C[int], metaclass=M,\n):\n    pass\n", "python") == [("A", "class", ["B", "C"])]
+    assert named("export default abstract class A<T>\n  extends B<T>\n  implements x.C, D {\n}\n", "typescript") == [("A", "class", ["B", "C", "D"])]
+    assert named("unsafe impl<T: Copy> fmt::Show<T>\n    for A<T>\n    where T: X {\n}\npub trait Tr<'a>: Base\n    + other::Second<'a> + 'a {\n}\n", "rust") == [("A", "impl", ["Show"]), ("Tr", "trait", ["Base", "Second"])]
+    assert named("data class A(\n    val n: Int,\n) :\n    B(n),\n    C<Int> by d {\n}\ninterface Plain\nfun after() = 1\n", "kotlin") == [("A", "class", ["B", "C"]), ("n", "field", []), ("Plain", "interface", []), ("after", "function", [])]
+
+
+def test_members():
+    py = "class A:\n    size: int = 3\n    def f(self):\n        self.x = 1\n        self.x = 2\n        y = 3\nlog = get()\nMAX_N = 3\nif T:\n    opt = 1\ndef g():\n    self.z = 1\n"
+    assert [(s["name"], s["kind"], s["chain"]) for s in code.symbols(py, "python")] == [("A", "class", []), ("size", "field", ["A"]), ("f", "method", ["A"]), ("x", "field", ["A"]), ("log", "variable", []), ("MAX_N", "constant", []), ("opt", "variable", []), ("g", "function", [])]
+    assert named("enum E { One, Two(u8), Three { a: u8 } }\npub(crate) union U { a: u8 }\nstatic mut G: u8 = 1;\nmacro_rules! mac { () => {} }\n", "rust") == [("E", "enum", []), ("One", "variant", []), ("Two", "variant", []), ("Three", "variant", []), ("U", "struct", []), ("a", "field", []), ("G", "constant", []), ("mac", "macro", [])]
+    ts = "class A {\n  private n = 'x';\n  #hid = 1;\n  async *gen() {}\n  get v() { const local = 1 }\n}\nenum E { Red, Green = 2 }\nconst a = 1, b = () => 2;\nobj.done = function() {};\nfunction* gg() { let no = 1 }\n"
+    assert [(s["name"], s["kind"], s["exported"]) for s in code.symbols(ts, "typescript")] == [("A", "class", False), ("n", "field", False), ("hid", "field", False), ("gen", "method", True), ("v", "method", True), ("E", "enum", False), ("Red", "variant", False), ("Green", "variant", False), ("a", "variable", False), ("b", "function", False), ("done", "function", False), ("gg", "function", False)]
+    kt = "enum class Dir { UP, DOWN(2) { override fun z() {} }; fun f() {} }\nfun <T> List<T>.ext(a: Int): Int = a\nval (p, q) = pair\nclass A { companion object { const val K = 1 }\n constructor(a: Int) : this() { val no = 1 } }\n"
+    assert [(n, k) for n, k, _ in named(kt, "kotlin")] == [("Dir", "enum"), ("UP", "variant"), ("DOWN", "variant"), ("z", "method"), ("f", "method"), ("ext", "function"), ("p", "variable"), ("q", "variable"), ("A", "class"), ("Companion", "object"), ("K", "field"), ("constructor", "method")]
+
+
+def test_comments_nest_and_strings_hide_code():
+    rust = "/* a /* fn no() {} */ fn no2() {} */ fn yes() { let q = '\"'; let l: &'a str = \"\nfn no3() {}\"; let r = r#\"fn \"no4\"\"#; }\nfn also() {}\n"
+    assert [n for n, _, _ in named(rust, "rust")] == ["yes", "also"]
+    assert [n for n, _, _ in named("/* a /* class No */ class No2 */\nclass Yes\nval s = \"${ f(\"class No3 {\") }\"\nval t = \"\"\"\nclass No4\n\"\"\"\nclass Also\n", "kotlin")] == ["Yes", "s", "t", "Also"]
+    js = "const a = `x${ {b: '}'} }y`;\nconst r = /[\"/]'/.test(a) ? 1 / 2 : 3;\nfunction yes() {}\n/* /* */ function also() {}\n"
+    assert [n for n, _, _ in named(js, "javascript")] == ["a", "r", "yes", "also"]
+    assert [n for n, _, _ in named("s = r'\\''\nt = f\"{x}\"\nu = '''\ndef no(): pass\n'''\ndef yes(): pass\n", "python")] == ["s", "t", "u", "yes"]
+    assert [k for _, _, k in lexer.spans("/// d\n//// c\n//! d\n/** d */ /**/ // c\n", "rust")] == ["doc", "comment", "doc", "doc", "comment", "comment"]
+
+
+def test_flags_of_definitions():
+    rust = "/// Doc\n#[derive(Debug)]\npub struct A;\n#[cfg(test)]\nmod tests {\n    #[test]\n    fn checks() {}\n}\npub(crate) fn hid() {}\n"
+    assert [(s["name"], s["exported"], s["test"], s["doc"]) for s in code.symbols(rust, "rust")] == [("A", True, False, True), ("tests", False, True, False), ("checks", False, True, False), ("hid", False, False, False)]
+    assert code.definition_on_line("    def run(self):", "python", 8, 11) and not code.definition_on_line("    run(self)", "python", 4, 7)
+
+
+def test_extraction_agrees_with_the_parser():
+    import ast
+    import glob
+    import os
+
+    for path in sorted(glob.glob(os.path.dirname(os.__file__) + "/[a-d]*.py")):
+        text = open(path, encoding="utf-8", errors="replace").read()
+        tree = ast.parse(text)
+        found = code.extract(text, "python")
+        assert {(n.name, n.lineno) for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.ClassDef | ast.AsyncFunctionDef)} == {(s["name"], s["line"]) for s in found["symbols"] if s["kind"] in ("function", "method", "class")}, path
+        assert sum(1 if isinstance(n, ast.ImportFrom) else len(n.names) for n in ast.walk(tree) if isinstance(n, ast.Import | ast.ImportFrom)) == len(found["imports"]), path
 
 
 def test_imports_and_spans():
     assert [(i["module"], i["names"]) for i in code.imports(PYTHON, "python")] == [("os", []), ("sys", []), ("pkg.mod", ["One", "two"])]
     assert code.use_tree("a::{b, c::{d, e}, self}") == [("a", "b"), ("a::c", "d"), ("a::c", "e"), ("a", "")]
-    assert [i["module"] for i in code.imports("import { A } from './x/y'\nconst z = require('q')\n", "javascript")] == ["./x/y", "q"]
-    assert [k for _, _, k in code.spans(PYTHON, "python")] == ["doc", "comment", "string"]
+    got = [(i["module"], i["names"], i["wildcard"]) for i in code.imports("import D, {\n  A, type B as C\n} from './x/y'\nimport * as ns from 'n'\nimport 'side'\nexport * from './all'\nconst { q, r: s } = require('q')\nconst z = import('./lazy')\n", "typescript")]
+    assert got == [("./x/y", ["default", "A", "B"], False), ("n", [], True), ("side", [], False), ("./all", [], True), ("q", ["q", "r"], False), ("./lazy", [], False)]
+    got = [(i["module"], i["names"], i["wildcard"]) for i in code.imports("from a.b import (  # c\n    One,\n    two as three,\n)\nfrom .. import x\nfrom c import *\nimport d.e as f, \\\n    g\n", "python")]
+    assert got == [("a.b", ["One", "two"], False), ("..", ["x"], False), ("c", [], True), ("d.e", [], False), ("g", [], False)]
+    got = [(i["module"], i["names"], i["wildcard"]) for i in code.imports("use a::{\n    b, c::{d as e, f},\n};\npub(crate) use x::*;\nextern crate z;\nmod inner;\n", "rust")]
+    assert got == [("a", ["b"], False), ("a::c", ["d"], False), ("a::c", ["f"], False), ("x", [], True), ("z", [], False), ("self::inner", [], False)]
+    assert [k for _, _, k in lexer.spans(PYTHON, "python")] == ["doc", "comment", "string"]
 
 
 @pytest.mark.parametrize(
@@ -62,18 +116,20 @@ def test_imports_and_spans():
     [
         ("python", "from a import Foo", "Foo", "import"), ("python", "x = Foo(1)", "Foo", "call"), ("python", "obj.Foo + 1", "Foo", "member"), ("python", "def f(a: Foo):", "Foo", "type"), ("python", "class A(Foo):", "Foo", "type"),
         ("rust", "let x: Vec<Foo> = y;", "Foo", "type"), ("rust", "fn f(a: &Foo) {}", "Foo", "type"), ("rust", "Foo::new()", "Foo", "type"), ("rust", "x = Foo { a: 1 }", "Foo", "call"),
-        ("typescript", "const x = new Foo", "Foo", "call"), ("typescript", "foo<number>(1)", "foo", "call"), ("typescript", "class A implements Foo {", "Foo", "type"), ("kotlin", "class A : Foo {", "Foo", "type"), (None, "Foo(1)", "Foo", "ident"),
+        ("typescript", "const x = new Foo", "Foo", "call"), ("typescript", "foo<number>(1)", "foo", "call"), ("typescript", "class A implements Foo {", "Foo", "type"), ("kotlin", "class A : Foo {", "Foo", "type"), ("python", "return Foo", "Foo", "ident"), ("python", "x: List[Foo] = y", "Foo", "type"), ("python", "def f() -> Foo:", "Foo", "type"), ("python", "d = {a: Foo}", "Foo", "ident"), ("rust", "impl Foo for Bar {", "Foo", "type"),
+        ("rust", "pub(crate) use a::Foo;", "Foo", "import"), ("rust", "fn f<'a>(x: &'a mut Foo) {}", "Foo", "type"), ("rust", "let m: HashMap<u8, Foo> = x;", "Foo", "type"), ("rust", "a::Foo", "Foo", "member"), ("typescript", "const o = { Foo: 1 }", "Foo", "member"), ("typescript", "import('x').Foo", "Foo", "member"),
+        ("javascript", "const a = require('Foo')", "Foo", "import"), ("kotlin", "fun f(): Foo = y", "Foo", "type"), ("kotlin", "val x = Foo { }", "Foo", "call"), (None, "Foo(1)", "Foo", "ident"),
     ],
 )
 def test_context_kind(lang, line, word, kind):
     at = line.index(word)
-    assert code.context_kind(line, at, at + len(word), lang) == kind
+    assert context.context_kind(line, at, at + len(word), lang) == kind
 
 
 def test_paths(spark):
     rows = ["src/test_a.py", "vendor/x/a.rs", "a/dist/b.js", "web/app.min.js", "Cargo.lock", "src/Latest.kt", "src/FooTest.kt", "src/mocks/a.ts", "a.b/c"]
-    df = spark.createDataFrame([(p,) for p in rows], "path string").withColumn("f", path_flags(F.col("path")))
-    got = {r["path"]: r for r in df.select("path", "f", language(F.col("path")).alias("lang"), location_weight(F.col("path"), F.col("f")).alias("w"), mock_path(F.col("path")).alias("mock")).collect()}
+    df = spark.createDataFrame([(p,) for p in rows], "path string").withColumn("f", path_flags())
+    got = {r["path"]: r for r in df.select("path", "f", language(F.col("path")).alias("lang"), location_weight("path", "f").alias("w"), mock_path().alias("mock")).collect()}
     assert got["src/test_a.py"]["f"]["test"] and got["vendor/x/a.rs"]["f"]["vendored"] and got["a/dist/b.js"]["f"]["generated"] and got["Cargo.lock"]["f"]["lockfile"]
     assert not got["src/Latest.kt"]["f"]["test"] and got["src/FooTest.kt"]["f"]["test"] and got["src/mocks/a.ts"]["mock"]
     assert [got[p]["w"] for p in ("src/Latest.kt", "web/app.min.js", "vendor/x/a.rs", "src/test_a.py")] == [1.0, 0.1, 0.2, 0.45]

@@ -68,6 +68,74 @@ def test_refresh_equals_rebuild(spark, tmp_path):
     assert as_set(after["grams"].select("gram", "file_id")) == as_set(index.gram_postings(new).select("gram", "file_id"))
 
 
+def code_tree(spark, edits=None):
+    """Eighty files that import each other; ``edits``: number -> text, or None for a file that is gone."""
+    texts = {k: f"from m{(k + 1) % 80} import f{(k + 1) % 80}\nclass C{k}(B{k}):\n    def f{k}(self):\n        return f{(k + 1) % 80}(1)\n" for k in range(80)} | (edits or {})
+    return spark.createDataFrame([(k, f"m{k}.py", t, "python") for k, t in texts.items() if t is not None], "file_id long, path string, text string, lang string")
+
+
+def test_a_delta_holds_the_change_alone_and_reads_like_a_rebuild(spark, tmp_path):
+    where, whole = str(tmp_path / "index"), str(tmp_path / "whole")
+    index.publish(code_tree(spark), where, 1)
+    edits = {3: "from m99 import z\nNEW_NAME = 1\n"}
+    after = refresh.refresh(where, code_tree(spark, edits), 2)
+    assert after["deltas"] == ["delta-2"] and "reasons" not in after
+    assert spark.read.parquet(f"{where}/delta-2/files").count() == 1 and spark.read.parquet(f"{where}/delta-2/words").count() < 10
+    # a second delta: a file appears that a file imports which did not change
+    edits |= {99: "def z():\n    pass\n"}
+    after = refresh.refresh(where, code_tree(spark, edits), 3)
+    assert after["deltas"] == ["delta-2", "delta-3"]
+    index.publish(code_tree(spark, edits), whole, 1)
+    got, want = index.open_index(spark, where), index.open_index(spark, whole)
+    for t in ("files", "words", "grams", "pieces", "symbols", "spans", "imports", "edges"):
+        columns = sorted(want[t].columns)
+        assert sorted(map(str, got[t].select(*columns).collect())) == sorted(map(str, want[t].select(*columns).collect())), t
+    assert {(r["src"], r["dst"]) for r in got["edges"].where("src = 3").collect()} == {(3, 99)}
+    # nothing changed: no version; unread files stay; a larger change rebuilds
+    assert refresh.refresh(where, code_tree(spark, edits), 4)["version"] == 3
+    assert refresh.refresh(where, code_tree(spark, edits).withColumn("text", F.when(F.col("file_id") != 5, F.col("text"))), 4)["version"] == 3
+    assert refresh.refresh(where, code_tree(spark, edits | {5: None, 6: None, 7: None}), 4)["reasons"] == ["threshold"]
+    assert index.open_index(spark, where)["files"].count() == 78
+    assert refresh.rebuild_reasons(index.manifest_of(spark, where), 0, 0, {"ignore": "new"}) == ["ignore"]
+
+
+def test_answer_first(spark):
+    old, new = code_tree(spark), code_tree(spark, {3: "UNSEEN = 1\n", 4: None})
+    tables = {"files": old, "words": index.word_postings(old), "grams": index.gram_postings(old)}
+    now = refresh.merged(tables, refresh.delta(old, new))
+    assert {r["path"] for r in search.matched_lines(now["files"], SearchOptions("UNSEEN"), now).collect()} == {"m3.py"}
+    assert {r["path"] for r in search.matched_lines(now["files"], SearchOptions("C[34]\\b"), now).collect()} == set()
+
+
+def test_resolution_reads_the_project(spark):
+    files = {
+        "web/tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@lib/*": ["lib/*"]}}} // c', "web/lib/a.ts": "", "web/b.ts": "import { x } from '@lib/a'\nimport u from 'util'\nimport p from 'pack'\n", "web/util.ts": "",
+        "pack/package.json": '{"name": "pack", "main": "main.js"}', "pack/main.js": "", "core/Cargo.toml": '[package]\nname = "my-core"\n', "core/src/lib.rs": "mod deep;\n", "core/src/deep/mod.rs": "use super::other::f;\n", "core/src/other.rs": "", "app/src/main.rs": "use my_core::deep::D;\n",
+        "py/pyproject.toml": "", "py/src/pkg/__init__.py": "", "py/src/pkg/m.py": "from . import n\nfrom pkg.n import k\nimport pkg.n.k\n", "py/src/pkg/n.py": "",
+    }
+    df = src.describe(spark.createDataFrame([(k, p, t) for k, (p, t) in enumerate(files.items())], "file_id long, path string, text string"))
+    name = {k: p for k, p in enumerate(files)} | {None: None}
+    got = {(name[r["file_id"]], r["module"], name[r["target"]]) for r in symbols.resolve(symbols.imports(df), df, symbols.read_context(df)).collect()}
+    assert got == {
+        ("web/b.ts", "@lib/a", "web/lib/a.ts"), ("web/b.ts", "util", "web/util.ts"), ("web/b.ts", "pack", "pack/main.js"), ("core/src/lib.rs", "self::deep", "core/src/deep/mod.rs"), ("core/src/deep/mod.rs", "super::other", "core/src/other.rs"),
+        ("app/src/main.rs", "my_core::deep", "core/src/deep/mod.rs"), ("py/src/pkg/m.py", ".", "py/src/pkg/__init__.py"), ("py/src/pkg/m.py", "pkg.n", "py/src/pkg/n.py"), ("py/src/pkg/m.py", "pkg.n.k", "py/src/pkg/n.py"),
+    }
+
+
+def test_kinds_of_every_occurrence(spark):
+    text = "from m import foo\r\nclass A:\r\n    foo = 1\r\n\r\ndef foo():  # foo\r\n    \"\"\"foo\"\"\"\r\n    return foo(1) + x.foo\r\n"
+    files = spark.createDataFrame([(1, "a.py", text, "python"), (2, "b.txt", "foo foo\n", "text")], "file_id long, path string, text string, lang string")
+    facts = symbols.extract(files)
+    tables = [symbols.part(facts, n) for n in ("spans", "symbols", "imports")]
+    for given in ((), tables):
+        found = search.hits(files, SearchOptions("foo", fixed=True, whole_word=True), None, *given)
+        got = {(r["file_id"], r["line"]): r["kinds"] for r in found.collect()}
+        assert got == {(1, 1): ["import"], (1, 3): ["def"], (1, 5): ["def", "comment"], (1, 6): ["doc"], (1, 7): ["call", "member"], (2, 1): ["ident", "ident"]}
+    only = search.hits(files, SearchOptions("foo", fixed=True, whole_word=True, kinds=("comment", "member")))
+    assert {(r["line"], r["kind"], r["primary"]) for r in only.collect()} == {(5, "comment", 1), (7, "member", 1)}
+    assert [(r["line"], r["last_line"]) for r in search.multiline_hits(files, SearchOptions(r"1\r?\n\s*def")).collect()] == [(3, 5)]
+
+
 def test_stream_applies_batches(spark, tmp_path):
     schema = "file_id long, path string, text string"
     where, feed = str(tmp_path / "index"), tmp_path / "feed"
@@ -75,6 +143,9 @@ def test_stream_applies_batches(spark, tmp_path):
     spark.createDataFrame([("p1", "changed text", False), ("p2", "beta", False)], "path string, text string, deleted boolean").coalesce(1).write.parquet(str(feed))
     stream = spark.readStream.schema("path string, text string, deleted boolean").parquet(str(feed))
     refresh.apply_batches(stream, where, str(tmp_path / "cp")).awaitTermination(120)
+    versions = spark.read.parquet(f"{where}/manifest").count()
+    refresh.apply_batches(stream, where, str(tmp_path / "again")).awaitTermination(120)  # the same batch again is left out
+    assert spark.read.parquet(f"{where}/manifest").count() == versions
     assert {r["word"] for r in index.open_index(spark, where)["words"].collect()} == {"changed", "text", "beta"}
 
 

@@ -91,7 +91,7 @@ def test_selection(spark):
     assert {tuple(r) for r in search.skipped_reached(skipped, SearchOptions("x", globs=("*.py",))).collect()} == {("ignored", 1), ("hidden", 1)}
     f = files_of(spark, {"a.py": "def solo():\n    return 1\n", "b.go": "solo\n", "vendor/c.py": "", "d.min.js": "x"})
     assert {r["path"] for r in search.of_types(f, ["python", "go"], ["go"]).collect()} == {"a.py", "vendor/c.py"}
-    assert {r["path"]: r["a"] for r in f.select("path", search.admission(F.col("flags"), F.col("path")).alias("a")).collect()} == {"a.py": 0, "b.go": 0, "vendor/c.py": 2, "d.min.js": 3}
+    assert {r["path"]: r["a"] for r in f.select("path", search.admission().alias("a")).collect()} == {"a.py": 0, "b.go": 0, "vendor/c.py": 2, "d.min.js": 3}
     found = search.hits(f, SearchOptions("ol", fixed=True), None, symbols.spans(f), symbols.symbols(f))
     assert {r["w"] for r in found.select(search.word_around(F.col("text"), F.col("first.s"), F.col("first.e")).alias("w")).collect()} == {"solo"}
     assert search.adaptive_context(f, found, 1).count() == 2

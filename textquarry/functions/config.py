@@ -58,3 +58,40 @@ def path_arguments(paths: list[str], exists: Callable[[str], bool]) -> tuple[lis
     """(paths, globs): an argument with ``*``, ``?`` or ``[`` that names nothing is a glob."""
     globs = [p for p in paths if any(c in p for c in "*?[") and not exists(p)]
     return [p for p in paths if p not in globs], globs
+
+
+def script_aliases(read: Callable[[str], str | None], paths: list[str]) -> list[tuple]:
+    """(folder, head, tail, target, star) of the path patterns and base folders of the compiler configurations at ``paths``."""
+    out = []
+    for path in paths:
+        here, config = posixpath.dirname(path), compiler_paths(read, path)
+        for pattern, targets in config["paths"].items():
+            head, star, tail = pattern.partition("*")
+            out += [(here, head, tail, t, bool(star)) for t in targets]
+        if config["base"] is not None:
+            out.append((here, "", "", posixpath.normpath(posixpath.join(config["base"], "*")), True))
+    return out
+
+
+def workspace_packages(read: Callable[[str], str | None], paths: list[str]) -> list[tuple[str, str]]:
+    """(name, entry or folder) of the packages whose manifests stand at ``paths``."""
+    out = []
+    for path in paths:
+        try:
+            data = json.loads(read(path) or "")
+        except ValueError:
+            continue
+        if isinstance(data, dict) and isinstance(data.get("name"), str):
+            here, main = posixpath.dirname(path), data.get("main")
+            out.append((data["name"], posixpath.normpath(posixpath.join(here, main)) if isinstance(main, str) else here))
+    return out
+
+
+def crate_roots(read: Callable[[str], str | None], paths: list[str]) -> list[tuple[str, str]]:
+    """(crate name, source folder) of the manifests at ``paths``; a name's hyphens are underscores in code."""
+    out = []
+    for path in paths:
+        m = re.search(r"^\[package\][^\[]*?^name\s*=\s*\"([^\"]+)\"", read(path) or "", re.M | re.S)
+        if m:
+            out.append((m.group(1).replace("-", "_"), posixpath.join(posixpath.dirname(path), "src")))
+    return out

@@ -5,15 +5,19 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.functions.files import location_weight, path_flags
+from textquarry.functions.files import location_weight
 from textquarry.functions.text import path_key, pieces
 
 K1, B, PATH_WEIGHT, DEF_WEIGHT, RANK_WEIGHT = 1.2, 0.75, 3.0, 1.0, 0.5
 # Words a question is made of rather than about.
-STOP = """a about above after again against all also an and any are as at be because been before being below between both but by can code could did do does doing down during each few
-file files for from function further get gets had has have having he her here his how i if in into is it its itself just me method more most my no nor not now of off
-on once only or other our out over own same set sets she should so some such than that the their them then there these they this those through to too under until up use
-used uses using very was way we were what when where which while who whom why will with would you your""".split()
+STOP = [
+    "a", "about", "above", "after", "again", "against", "all", "also", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "below", "between",
+    "both", "but", "by", "can", "code", "could", "did", "do", "does", "doing", "down", "during", "each", "few", "file", "files", "for", "from", "function", "further", "get",
+    "gets", "had", "has", "have", "having", "he", "her", "here", "his", "how", "i", "if", "in", "into", "is", "it", "its", "itself", "just", "me", "method", "more", "most", "my",
+    "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other", "our", "out", "over", "own", "same", "set", "sets", "she", "should", "so", "some", "such", "than",
+    "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "use", "used", "uses", "using", "very",
+    "was", "way", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "would", "you", "your",
+]
 
 
 def query_terms(question: str) -> list[str]:
@@ -40,7 +44,7 @@ def piece_postings(words: DataFrame, terms: list[str] | None = None) -> DataFram
 def find(files: DataFrame, postings: DataFrame, question: str, symbols: DataFrame | None = None, ranks: DataFrame | None = None, top: int = 50) -> DataFrame:
     """The files that answer a question best: file_id, path, terms, score. ``postings`` from piece_postings()."""
     terms = query_terms(question)
-    sized = files.select("file_id", "path", F.octet_length("text").alias("size"))
+    sized = files.select("file_id", "path", (F.col("size") if "size" in files.columns else F.octet_length("text")).alias("size"))
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("avg_size"))
     body = postings.where(F.col("piece").isin(terms)).withColumn("tf", F.col("tf").cast("double"))
     named = sized.select("file_id", F.explode(F.array_distinct(pieces(F.col("path")))).alias("piece")).where(F.col("piece").isin(terms)).withColumn("in_path", F.lit(1.0))
@@ -56,7 +60,7 @@ def find(files: DataFrame, postings: DataFrame, question: str, symbols: DataFram
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     term = idf * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.col("avg_size"))) + PATH_WEIGHT * F.coalesce("in_path", F.lit(0.0)) + DEF_WEIGHT * F.coalesce("in_def", F.lit(0.0)))
     total = scored.groupBy("file_id", "path").agg(F.sum(term).alias("score"), F.array_sort(F.collect_set("piece")).alias("terms"))
-    prior = location_weight(F.col("path"), path_flags(F.col("path")))
+    prior = location_weight()
     if ranks is not None:
         total = total.join(ranks, "file_id", "left")
         prior = prior * (1 + RANK_WEIGHT * F.sqrt(F.coalesce("rank", F.lit(0.0))))

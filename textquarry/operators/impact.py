@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from textquarry.functions.files import location_weight, path_flags
+from textquarry.functions.files import location_weight
 from textquarry.functions.text import path_key
 from textquarry.operators.search import SearchOptions, best_of_each, hits
 
@@ -96,7 +96,7 @@ def diff_impact(files: DataFrame, changed: DataFrame, spans: DataFrame, syms: Da
     live = live.select("name", "change", "o", F.col("kind").alias("def_kind"), F.col("change").isin("removed", "renamed").alias("gone"))
     both = used.join(F.broadcast(live), "name").join(table, ["def_kind", "gone"]).where(F.col("kind") == F.col("use_kind"))
     direct = F.col("direct") & (F.col("change") != "body")
-    weight = location_weight(F.col("path"), path_flags(F.col("path")))
+    weight = location_weight()
     order_of = [direct.desc(), weight.desc(), path_key(F.col("path")), F.col("line")]
     rank = Window.partitionBy("name").orderBy(*order_of)
     both = best_of_each(both, "name", names, order_of, most_sites)

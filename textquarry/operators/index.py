@@ -1,14 +1,17 @@
 """The search index: word and key postings as tables, and the candidates they give."""
 
 import json
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.functions.files import language
 from textquarry.functions.text import ascii_lower, gram_code, split_tokens, words
 from textquarry.plans import regex_plan as rp
+from textquarry.sources.scratch import written
 
 
 def word_postings(files: DataFrame) -> DataFrame:
@@ -49,41 +52,131 @@ def bitmaps(postings: DataFrame, key: str) -> DataFrame:
     return postings.groupBy(key, F.bitmap_bucket_number("file_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("file_id")).alias("files"))
 
 
-def write_postings(postings: DataFrame, key: str, path: str) -> None:
-    """Postings by hash of their key and sorted: a lookup reads one row group of a file. (Ranges would extract everything twice, for their sample.)"""
-    postings.repartition(key).sortWithinPartitions(key, "file_id").write.mode("overwrite").parquet(path)
+#: Files whose postings of one key lie in one sorted run; a commoner key is dealt to more runs.
+RUN_FILES = 1_000_000
+#: What an index holds: table -> the columns it is sorted by, and (but for files) the column that names the file of a row.
+TABLES = {"files": ("path", "file_id"), "words": ("word", "file_id"), "grams": ("gram", "file_id"), "pieces": ("piece", "file_id"), "symbols": ("name", "file_id"), "spans": ("file_id", "file_id"), "imports": ("file_id", "file_id"), "edges": ("src", "src")}
+#: Raised when extraction changes, so that an older index is rebuilt.
+DERIVATION = 2
 
 
-def publish(files: DataFrame, path: str, version: int) -> None:
-    """Write one version of the index: postings clustered by key, then the manifest that names it."""
-    spark, where = files.sparkSession, f"{path}/version={version}"
-    files.write.mode("overwrite").parquet(f"{where}/files")
-    write_postings(word_postings(files), "word", f"{where}/words")
-    write_postings(gram_postings(files), "gram", f"{where}/grams")
-    number = files.agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    manifest = {"version": version, "files": number["files"], "bytes": number["bytes"] or 0}
-    spark.createDataFrame([(version, json.dumps(manifest))], "version long, manifest string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+def write_postings(postings: DataFrame, key: str, path: str, files: int) -> None:
+    """Postings dealt by key and sorted: a lookup reads one row group of a file. Keys of very many files are dealt to a run for each million of them.
+
+    (Ranges would extract everything twice, for their sample.)
+    """
+    runs = max(1, -(-files // RUN_FILES))
+    dealt = postings.repartition(key) if runs == 1 else postings.repartition(F.col(key), F.pmod(F.xxhash64("file_id"), F.lit(runs)))
+    dealt.sortWithinPartitions(key, "file_id").write.mode("overwrite").parquet(path)
+
+
+def write_tables(files: DataFrame, where: str, live: DataFrame | None = None) -> dict:
+    """Write what ``files`` (file_id, path, text, lang) hold under ``where``: the search tables first, then what extraction gives. Returns their number and bytes.
+
+    ``live``: all files among which imports resolve, if there are others than ``files``.
+    """
+    from textquarry.operators.find import piece_postings
+    from textquarry.operators.symbols import edges, extract, part, resolve
+
+    spark = files.sparkSession
+    own = files if "lang" in files.columns else files.withColumn("lang", language(F.col("path")))
+    own = own.withColumn("size", F.octet_length("text").cast("long")).withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+    own.write.mode("overwrite").parquet(f"{where}/files")
+    own = spark.read.schema(own.schema).parquet(f"{where}/files")
+    number = own.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first().asDict()
+    words = word_postings(own)
+    write_postings(words, "word", f"{where}/words", number["files"])
+    write_postings(gram_postings(own), "gram", f"{where}/grams", number["files"])
+    kept = {t: spark.read.schema(df.schema).parquet(f"{where}/{t}") for t, df in (("words", words), ("grams", gram_postings(own)))}
+    kept["grams"].groupBy("gram").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{where}/gram_files")
+    write_postings(piece_postings(kept["words"]), "piece", f"{where}/pieces", number["files"])
+    facts = extract(own)
+    facts.write.mode("overwrite").partitionBy("part").parquet(f"{where}/facts")
+    facts = spark.read.schema(facts.schema).parquet(f"{where}/facts")
+    for name in ("symbols", "spans", "imports"):
+        key = TABLES[name][0]
+        found = part(facts, name)
+        found.repartition(F.col(key)).sortWithinPartitions(key, "file_id").write.mode("overwrite").parquet(f"{where}/{name}")
+    imports = spark.read.parquet(f"{where}/imports")
+    edges(resolve(imports, (own if live is None else live).select("file_id", "path", "lang"))).repartition("src").sortWithinPartitions("src").write.mode("overwrite").parquet(f"{where}/edges")
+    return number
+
+
+def add_manifest(spark: SparkSession, path: str, version: int, manifest: dict) -> None:
+    """Make a version known; nothing reads its folders before."""
+    spark.createDataFrame([(version, json.dumps(manifest | {"version": version}))], "version long, manifest string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def manifest_of(spark: SparkSession, path: str, version: int | None = None) -> dict:
+    """The manifest of a version, the last published one by default; a version published again counts as it was last written."""
+    rows = spark.read.schema("version long, manifest string").parquet(f"{path}/manifest")
+    if version is not None:
+        rows = rows.where(F.col("version") == version)
+    return json.loads(rows.orderBy(F.desc("version"), F.desc("manifest")).first()["manifest"])
+
+
+def publish(files: DataFrame, path: str, version: int, inputs: dict | None = None, ranked: bool = True) -> dict:
+    """Write a whole version: search tables, then symbols, spans, imports, edges and ranks, then the manifest that names its folder.
+
+    ``inputs``: fingerprints of what the tree was read with ({"ignore": ..., "resolver": ...}); a later change of one asks for a rebuild.
+    """
+    from textquarry.operators.symbols import pagerank
+
+    spark, base = files.sparkSession, f"base-{version}"
+    number = write_tables(files, f"{path}/{base}")
+    nodes, graph = spark.read.parquet(f"{path}/{base}/files").select("file_id"), spark.read.parquet(f"{path}/{base}/edges")
+    if ranked and not graph.isEmpty():
+        pagerank(nodes, graph).write.mode("overwrite").parquet(f"{path}/{base}/ranks")
+    else:
+        nodes.select("file_id", F.lit(0.5).alias("rank")).write.mode("overwrite").parquet(f"{path}/{base}/ranks")
+    manifest = number | {"base": base, "deltas": [], "changes": 0, "tombstones": 0, "base_files": number["files"], "derivation": DERIVATION, "inputs": inputs or {}}
+    add_manifest(spark, path, version, manifest)
+    return manifest
 
 
 def open_index(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
-    """The tables of a version, the last published one by default."""
-    if version is None:
-        version = spark.read.parquet(f"{path}/manifest").agg(F.max("version").alias("v")).first()["v"]
-    return {name: spark.read.parquet(f"{path}/version={version}/{name}") for name in ("files", "words", "grams")}
-
-
-def candidates(index: dict[str, DataFrame], pattern: str, fixed: bool = False, ignore_case: bool = False, whole_word: bool = False) -> DataFrame:
-    """(file_id) of the files that may match; every matching file is among them."""
-    if whole_word and not ignore_case:
-        known = rp.word_plan(pattern, fixed)
-        if known:
-            return index["words"].where(F.col("word").isin(sorted(known))).select("file_id").distinct()
-    query = rp.plan(pattern, fixed, ignore_case)
+    """The tables of a version: its base, less what deltas replaced or deleted, and the deltas' own rows.
+
+    A row of a generation is dead if a later one has a tombstone for its file. Tombstones are as few as changes, and a rebuild bounds them.
+    """
+    manifest = manifest_of(spark, path, version)
+    folders = [manifest["base"], *manifest["deltas"]]
+    read = lambda g, t: spark.read.parquet(f"{path}/{folders[g]}/{t}")
+    out = {}
+    dead = {}
+    for kind in ("tombstones", "edge_tombstones") if manifest["deltas"] else ():
+        rows = [read(g, kind).select(F.col("file_id").alias("dead"), F.lit(g).alias("since")) for g in range(1, len(folders))]
+        dead[kind] = reduce(DataFrame.unionByName, rows).groupBy("dead").agg(F.max("since").alias("since"))
+    for t, (_, owner) in TABLES.items():
+        if not manifest["deltas"]:
+            out[t] = read(0, t)
+            continue
+        every = reduce(DataFrame.unionByName, [read(g, t).withColumn("gen", F.lit(g)) for g in range(len(folders))])
+        gone = dead["edge_tombstones" if t == "edges" else "tombstones"]
+        out[t] = every.join(gone, (F.col(owner) == F.col("dead")) & (F.col("gen") < F.col("since")), "left_anti").drop("gen")
+    out["gram_files"] = reduce(DataFrame.unionByName, [read(g, "gram_files") for g in range(len(folders))])  # of all generations: a key's order of rarity
+    out["ranks"] = read(0, "ranks")
+    return out
+
+
+def candidates(index: dict[str, DataFrame], pattern: str | tuple[str, ...], fixed: bool = False, fold: bool = False, whole_word: bool = False) -> DataFrame:
+    """(file_id) of the files that may match any of the patterns; every matching file is among them. ``fold``: letters match in any case."""
+    many = (pattern,) if isinstance(pattern, str) else pattern
+    if whole_word and not fold:
+        plans = [rp.word_plan(p, fixed) for p in many]
+        if all(plans):
+            return index["words"].where(F.col("word").isin(sorted(set().union(*plans)))).select("file_id").distinct()
+    query = rp.both("or", [rp.plan(p, fixed, fold) for p in many])
     if query == rp.ALL:
         return index["files"].select("file_id")
     code = {gram_code(g): g for g in rp.grams_of(query)}
-    live = index["grams"].where(F.col("gram").isin(sorted(code))).persist()  # read twice: counted, then combined
-    counts = {code[r["gram"]]: r["n"] for r in live.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many rows as the pattern has keys
+    live = index["grams"].where(F.col("gram").isin(sorted(code)))
+    if "gram_files" in index:  # counted when the index was published
+        held = index["gram_files"].where(F.col("gram").isin(sorted(code))).groupBy("gram").agg(F.sum("n").alias("n"))
+    else:
+        live = written(live, "postings")
+        held = live.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = {code[r["gram"]]: r["n"] for r in held.collect()}  # as many rows as the pattern has keys
     query = rp.thin(query, counts)
     if query == rp.NONE:
         return index["files"].select("file_id").where("false")

@@ -5,13 +5,16 @@ from dataclasses import dataclass, replace
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
-from textquarry.functions import code
-from textquarry.functions.files import LANGUAGES, language, location_weight, mock_path, near_weight, path_flags
+from textquarry.functions.code import LANGUAGES as LANGUAGES_READ
+from textquarry.functions.context import context_kind
+from textquarry.functions.files import FILE_TYPE_NAMES, FILE_TYPES, LANGUAGES, language, location_weight, mock_path, near_weight, path_flags
 from textquarry.functions.text import extension, path_key, regex_escape, split_tokens
 from textquarry.functions.tokens import estimate_tokens
-from textquarry.operators.index import candidates, fuzzy_names
+from textquarry.operators.index import candidates, fuzzy_names, names_with_tokens
+from textquarry.operators.symbols import extract, overlapping, part
+from textquarry.sources.scratch import written
 
 # How much a kind of hit counts.
 HIT_WEIGHTS = {"def": 1.0, "call": 0.6, "type": 0.5, "member": 0.45, "import": 0.45, "ident": 0.4, "doc": 0.3, "comment": 0.25, "string": 0.25}
@@ -43,9 +46,18 @@ class SearchOptions:
     columns: int = 200
     budget: int = 2000
 
+    @property
+    def patterns(self) -> tuple[str, ...]:
+        return (self.pattern,) if isinstance(self.pattern, str) else self.pattern
+
+    @property
+    def fold(self) -> bool:
+        """Whether letters match in any case: as asked, or by a pattern without capitals."""
+        return self.ignore_case or (self.smart_case and not any(c.isupper() for p in self.patterns for c in p))
+
     def regex(self) -> str:
         """The pattern as one Java regular expression."""
-        many = (self.pattern,) if isinstance(self.pattern, str) else self.pattern
+        many = self.patterns
         body = "|".join(regex_escape(p) if self.fixed else p for p in many)
         if len(many) > 1 or self.whole_word or self.whole_line:
             body = f"(?:{body})"
@@ -53,8 +65,7 @@ class SearchOptions:
             body = EDGE_BEFORE + body + EDGE_AFTER
         if self.whole_line:
             body = f"^{body}$"
-        fold = self.ignore_case or (self.smart_case and not any(c.isupper() for p in many for c in p))
-        return ("(?iu)" if fold else "") + body
+        return ("(?iu)" if self.fold else "") + body
 
 
 def glob_regex(glob: str) -> str:
@@ -82,7 +93,7 @@ def glob_regex(glob: str) -> str:
 
 def selected(files: DataFrame, o: SearchOptions) -> DataFrame:
     """The files a search covers, with their flags: size, globs (the last that matches decides), languages, paths and exclusions."""
-    out = files if "flags" in files.columns else files.withColumn("flags", path_flags(F.col("path")))
+    out = files if "flags" in files.columns else files.withColumn("flags", path_flags())
     out = out.where(F.octet_length("text") <= o.max_filesize)
     if o.globs:
         keep = F.lit(all(g.startswith("!") for g in o.globs))
@@ -104,11 +115,11 @@ def selected(files: DataFrame, o: SearchOptions) -> DataFrame:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """(file columns, line from 1, line_start, text of the line): a trailing newline begins no line, a carriage return before it is cut."""
+    """(file columns, line from 1, width, text of the line): a trailing newline begins no line, a carriage return before it is cut; the width counts both."""
     kept = [c for c in files.columns if c != "text"]
     text = F.regexp_replace("text", r"\n\z", "")
     split = F.split(text, "\n")
-    return files.where(F.col("text").isNotNull() & (F.col("text") != "")).select(*kept, F.posexplode(split).alias("line", "text")).withColumn("line", F.col("line") + 1).withColumn("text", F.regexp_replace("text", r"\r\z", ""))
+    return files.where(F.col("text").isNotNull() & (F.col("text") != "")).select(*kept, F.posexplode(split).alias("line", "text")).withColumn("line", F.col("line") + 1).withColumn("width", F.length("text") + 1).withColumn("text", F.regexp_replace("text", r"\r\z", ""))
 
 
 def places(text: Column, pattern: str) -> Column:
@@ -124,55 +135,90 @@ def places(text: Column, pattern: str) -> Column:
     return F.aggregate(parts, none, step, lambda a: a["out"])
 
 
-def matched_lines(files: DataFrame, o: SearchOptions, index: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Lines that match: file_id, path, lang, flags, line, text. With an index, only candidate files are read."""
+def matched_files(files: DataFrame, o: SearchOptions, index: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The files that may hold a matching line: those a search covers, less what the index or their whole text rules out."""
     out = selected(files, o)
-    if index is not None and isinstance(o.pattern, str) and not o.invert:
-        out = out.join(candidates(index, o.pattern, o.fixed, o.ignore_case, o.whole_word), "file_id", "left_semi")
+    if index is not None and not o.invert:
+        out = out.join(candidates(index, o.patterns, o.fixed, o.fold, o.whole_word), "file_id", "left_semi")
     pattern = o.regex()
     if not o.invert and not o.whole_line and not any(c in pattern for c in "^$\n") and "(?" not in pattern.replace("(?iu)", "").replace("(?:", ""):
         out = out.where(F.col("text").rlike(pattern))  # whole files first: most have no match
-    hit = F.col("text").rlike(pattern)
-    return lines(out).where(~hit if o.invert else hit)
+    return out
 
 
-def hits(files: DataFrame, o: SearchOptions, index: dict[str, DataFrame] | None = None, spans: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
-    """Matched lines with submatches, kind, exactness and score.
+def matched_lines(files: DataFrame, o: SearchOptions, index: dict[str, DataFrame] | None = None, placed: bool = False) -> DataFrame:
+    """Lines that match: file_id, path, lang, flags, line, width, text. With an index, only candidate files are read.
 
-    A kind comes from the first that applies: the span tables (comment, string, doc), a
-    definition's name, then the line itself.
+    ``placed``: with ``at``, where the line begins in its file.
     """
-    found = matched_lines(files, o, index)
-    pattern = o.regex()
-    found = found.withColumn("submatches", places(F.col("text"), pattern)).withColumn("first", F.get("submatches", F.lit(0)))
-    found = found.withColumn("kind", _context("text", "first", "lang"))
+    every = lines(matched_files(files, o, index))
+    if placed:
+        every = every.withColumn("at", _line_start())
+    hit = F.col("text").rlike(o.regex())
+    return every.where(~hit if o.invert else hit)
+
+
+def _line_start() -> Column:
+    return (F.sum("width").over(Window.partitionBy("file_id").orderBy("line")) - F.col("width")).cast("int")
+
+
+def line_starts(files: DataFrame) -> DataFrame:
+    """(file_id, line, at): where each line begins in its file, in characters."""
+    return lines(files).select("file_id", "line", "width").select("file_id", "line", _line_start().alias("at"))
+
+
+def hits(files: DataFrame, o: SearchOptions, index: dict[str, DataFrame] | None = None, spans: DataFrame | None = None, symbols: DataFrame | None = None, imports: DataFrame | None = None) -> DataFrame:
+    """Matched lines with submatches, the kind of each, kind, exactness and score.
+
+    The kind of an occurrence comes from the first that applies: the spans (comment, string, doc), a definition's
+    name, an import, then the line itself. Without these tables, the matching files are read for them. A line's kind is that of its
+    first occurrence, or of the first of a kind that is asked for; a line without one is no hit.
+    """
+    known = F.coalesce(F.col("lang").isin(list(LANGUAGES_READ)), F.lit(False))
+    files = files if "flags" in files.columns else files.withColumn("flags", path_flags())
+    found_at = places(F.col("text"), o.regex())
+    match = lambda df, placed: matched_lines(df, o, index, placed).drop("width").withColumn("submatches", found_at)
+    one = F.greatest(F.size("submatches"), F.lit(1))
+    plain = match(files.where(~known), False).withColumn("at", F.lit(None).cast("int")).withColumn("kinds", F.array_repeat(F.lit("ident"), one))
+    code = files.where(known)
+    if spans is None or symbols is None:
+        facts = extract(matched_files(code, o, index))
+        spans, symbols, imports = part(facts, "spans"), part(facts, "symbols"), part(facts, "imports")
+    found = plain.unionByName(_classified(match(code, True), spans, symbols, imports))
+    first = F.lit(0)
+    if o.kinds:
+        wanted = F.transform("kinds", lambda k: k.isin(list(o.kinds)))
+        found = found.where(F.array_contains(wanted, True))
+        first = (F.array_position(wanted, True) - 1).cast("int")
+    found = found.withColumn("primary", first).withColumn("kind", F.get("kinds", F.col("primary"))).withColumn("first", F.get("submatches", F.col("primary")))
+    found = found.withColumn("offset", F.col("at") + F.col("first.s")).drop("at")
     word = o.pattern if isinstance(o.pattern, str) else ""
     found = found.withColumn("exact", F.col("text").rlike(EDGE_BEFORE + regex_escape(word) + EDGE_AFTER) if word else F.lit(False))
-    if spans is not None and symbols is not None:
-        starts = lines(files).select("file_id", "line", "text")
-        offset = F.sum(F.length("text") + 1).over(Window.partitionBy("file_id").orderBy("line")) - F.length("text") - 1
-        starts = starts.join(found.select("file_id").distinct(), "file_id", "left_semi").select("file_id", "line", offset.cast("int").alias("line_start"))
-        found = found.join(starts, ["file_id", "line"]).withColumn("offset", F.col("line_start") + F.col("first.s"))
-        s = spans.select(F.col("file_id").alias("s_file"), F.col("start").alias("a"), F.col("end").alias("b"), F.col("kind").alias("span_kind"))
-        d = symbols.select(F.col("file_id").alias("d_file"), F.col("name_start").alias("c"), F.col("name_end").alias("d"), F.lit(True).alias("named"))
-        found = found.join(s, (F.col("file_id") == F.col("s_file")) & (F.col("offset") >= F.col("a")) & (F.col("offset") < F.col("b")), "left").drop("s_file")
-        found = found.join(d, (F.col("file_id") == F.col("d_file")) & (F.col("offset") < F.col("d")) & (F.col("offset") + F.col("first.e") - F.col("first.s") > F.col("c")), "left").drop("d_file")
-        found = found.withColumn("kind", F.coalesce(F.col("span_kind"), F.when(F.col("named"), F.lit("def")), F.col("kind"))).drop("a", "b", "c", "d", "span_kind", "named", "line_start")
-        found = found.dropDuplicates(["file_id", "line"])
-    if o.kinds:
-        found = found.where(F.col("kind").isin(list(o.kinds)))
     return scored(found, o)
 
 
-@F.pandas_udf(StringType())
-def _context_udf(text: pd.Series, start: pd.Series, end: pd.Series, lang: pd.Series) -> pd.Series:
-    return pd.Series([code.context_kind(t, 0 if pd.isna(s) else int(s), 0 if pd.isna(e) else int(e), g) for t, s, e, g in zip(text, start, end, lang, strict=True)], dtype="object")
+def _classified(found: DataFrame, spans: DataFrame, symbols: DataFrame, imports: DataFrame | None) -> DataFrame:
+    """``found`` with the kinds of its lines' occurrences: one interval join with all that marks a place, and one aggregate by line."""
+    none = F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e")))
+    carried = [c for c in found.columns if c not in ("file_id", "line")]
+    points = found.select("file_id", "line", F.struct(*carried).alias("row"), F.posexplode(F.when(F.size("submatches") > 0, F.col("submatches")).otherwise(none)).alias("n", "m"))
+    points = points.select("file_id", "line", "row", "n", (F.col("row.at") + F.col("m.s")).alias("from"), F.greatest(F.col("row.at") + F.col("m.e"), F.col("row.at") + F.col("m.s") + 1).alias("to"))
+    marked = spans.select(F.col("file_id").alias("in_file"), "start", "end", F.lit(0).alias("turn"), F.col("kind").alias("as"))
+    marked = marked.unionByName(symbols.select(F.col("file_id").alias("in_file"), F.col("name_start").alias("start"), F.col("name_end").alias("end"), F.lit(1).alias("turn"), F.lit("def").alias("as")))
+    if imports is not None:
+        marked = marked.unionByName(imports.select(F.col("file_id").alias("in_file"), "start", "end", F.lit(2).alias("turn"), F.lit("import").alias("as")))
+    # a name counts if any of the match lies on it, a span if the match begins in it
+    held = overlapping(points, marked, keep=True).withColumn("said", F.when((F.col("turn") == 1) | (F.col("start") <= F.col("from")), F.struct("turn", "as", "n")))
+    each = held.groupBy("file_id", "line").agg(F.any_value("row").alias("row"), F.array_sort(F.collect_set("said")).alias("said"))
+    each = each.select("file_id", "line", "row.*", "said")
+    guess = _context_udf("text", F.when(F.size("submatches") > 0, F.col("submatches")).otherwise(none), "lang")
+    kinds = F.transform(guess, lambda k, n: F.coalesce(F.get(F.filter("said", lambda x: x["n"] == n), F.lit(0))["as"], k))
+    return each.withColumn("kinds", kinds).select(*found.columns, "kinds")
 
 
-def _context(text: str, first: str, lang: str) -> Column:
-    """Lines of files without rules are idents and never reach Python."""
-    known = F.col(lang).isin(list(code.RULES))
-    return F.when(known, _context_udf(F.when(known, F.col(text)).otherwise(""), F.col(first)["s"], F.col(first)["e"], F.col(lang))).otherwise(F.lit("ident"))
+@F.pandas_udf(ArrayType(StringType()))
+def _context_udf(text: pd.Series, places: pd.Series, lang: pd.Series) -> pd.Series:
+    return pd.Series([[context_kind(t, m["s"], m["e"], g) for m in p] for t, p, g in zip(text, places, lang, strict=True)], dtype="object")
 
 
 def weight_of(kind: Column) -> Column:
@@ -187,7 +233,7 @@ def scored(found: DataFrame, o: SearchOptions, ranks: DataFrame | None = None) -
         out = out.join(ranks, "file_id", "left")
         rank = F.col("rank")
     boost = F.when(F.col("exact") & (F.col("kind") == "def"), 1.3).when(F.col("exact"), 1.15).otherwise(1.0)
-    prior = location_weight(F.col("path"), F.col("flags"), o.everything) * 0.8 * near_weight(F.col("path"), list(o.near)) * (F.when(rank.isNull(), 1.0).otherwise((0.6 + 0.4 * rank) / 0.8))
+    prior = location_weight("path", "flags", o.everything) * 0.8 * near_weight(F.col("path"), list(o.near)) * (F.when(rank.isNull(), 1.0).otherwise((0.6 + 0.4 * rank) / 0.8))
     return out.withColumn("prior", prior).withColumn("score", weight_of(F.col("kind")) * F.col("prior") * boost)
 
 
@@ -197,7 +243,7 @@ def ranked(found: DataFrame, top: int) -> DataFrame:
 
 
 def fit_budget(found: DataFrame, o: SearchOptions) -> DataFrame:
-    """Ranked hits, at most ``per_file`` of a file (all if at most three files match), until their estimated tokens fill the budget.
+    """Ranked hits, at most ``per_file`` of a file (all if at most three files match), until their estimated tokens fill the budget (0: all of them, in no order).
 
     A file's first hit also pays for its header. The running sum is over the capped hits, a few for each file.
     """
@@ -208,10 +254,13 @@ def fit_budget(found: DataFrame, o: SearchOptions) -> DataFrame:
     if not few:
         kept = kept.where(F.col("place") <= o.per_file)
     cost = estimate_tokens(F.substring("text", 1, o.columns)) + 3 + F.when(F.col("place") == 1, estimate_tokens(F.col("path")) + 2).otherwise(0)
+    kept = kept.withColumn("cost", cost)
+    if not o.budget:
+        return kept.withColumn("spent", F.lit(None).cast("long"))
     # only hits that could fit are numbered globally: each costs three tokens at least
-    kept = kept.withColumn("cost", cost).orderBy(*order).limit(max(1, o.budget // 3 if o.budget else 1 << 30))
+    kept = kept.orderBy(*order).limit(max(1, o.budget // 3))
     running = F.sum("cost").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return kept.withColumn("spent", running).where(F.col("spent") <= o.budget if o.budget else F.lit(True))
+    return kept.withColumn("spent", running).where(F.col("spent") <= o.budget)
 
 
 def by_file(found: DataFrame) -> DataFrame:
@@ -219,15 +268,15 @@ def by_file(found: DataFrame) -> DataFrame:
     return found.groupBy("file_id", "path").agg(F.countDistinct("line").alias("total"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in HIT_WEIGHTS])
 
 
-def demotion(path: Column, flags: Column) -> Column:
+def demotion(path: str = "path", flags: str = "flags") -> Column:
     """test, vendored, generated, mock, or null for a source file."""
-    return F.when(flags["test"], "test").when(flags["vendored"], "vendored").when(flags["generated"] | flags["minified"] | flags["lockfile"], "generated").when(mock_path(path), "mock")
+    return F.when(F.col(flags)["test"], "test").when(F.col(flags)["vendored"], "vendored").when(F.expr(f"{flags}.generated or {flags}.minified or {flags}.lockfile"), "generated").when(mock_path(path), "mock")
 
 
 def facets(found: DataFrame, by: str) -> DataFrame:
     """Hits by kind, lang or flag. Languages under a twentieth of the hits are left out, and all of them if fewer than two remain."""
     if by == "flag":
-        return found.withColumn("flag", demotion(F.col("path"), F.col("flags"))).where("flag is not null").groupBy("flag").agg(F.count(F.lit(1)).alias("hits"))
+        return found.withColumn("flag", demotion()).where("flag is not null").groupBy("flag").agg(F.count(F.lit(1)).alias("hits"))
     if by == "kind":
         return found.groupBy("kind").agg(F.count(F.lit(1)).alias("hits"))
     counts = found.groupBy("lang").agg(F.count(F.lit(1)).alias("hits"))
@@ -237,28 +286,36 @@ def facets(found: DataFrame, by: str) -> DataFrame:
 
 
 def areas(found: DataFrame, rounds: int = 12, top: int = 6) -> DataFrame:
-    """Directory prefixes that tell where hits are: from depth 1, any prefix with over a fifth of the hits splits by its next name.
+    """Directory prefixes that tell where hits are: from depth 1, the largest prefix not yet tried gives way to its children, while it holds over a fifth of the hits and has two children or more.
 
-    One pass sums hits by directory; the loop runs on that table.
+    One pass sums hits by directory; each round sums that table again and sends the driver a dozen rows at most. Demoted areas come last.
     """
-    dirs = found.groupBy(F.regexp_replace("path", "(^|/)[^/]*$", "").alias("dir")).agg(F.count(F.lit(1)).alias("hits")).persist()
+    dirs = written(found.groupBy(F.regexp_replace("path", "(^|/)[^/]*$", "").alias("dir")).agg(F.count(F.lit(1)).alias("hits")), "areas")
     total = dirs.agg(F.sum("hits").alias("n")).first()["n"] or 0
-    cut = lambda d: F.array_join(F.slice(F.split("dir", "/"), F.lit(1), d), "/")
-    split: list[str] = []  # areas that were split: fewer than five of each depth can hold over a fifth
-    for depth in range(1, rounds + 1):
-        heavy = dirs.where(F.size(F.split("dir", "/")) > depth)
-        if depth > 1:
-            heavy = heavy.where(cut(F.lit(depth - 1)).isin(split))
-        area = dirs.groupBy(cut(F.lit(depth)).alias("area")).agg(F.sum("hits").alias("sum")).where(F.col("sum") * 5 > total)
-        found_here = [r["area"] for r in area.join(heavy.select(cut(F.lit(depth)).alias("area")).distinct(), "area", "left_semi").collect()]
-        if not found_here:
+    split: list[str] = []
+    tried: set[str] = set()
+
+    def area() -> Column:
+        """Where a directory counts: the deepest split prefix above it and the next name."""
+        out = F.substring_index("dir", "/", 1)
+        for p in sorted(split, key=len):
+            rest = F.substr(F.col("dir"), F.lit(len(p) + 2))
+            out = F.when(F.col("dir") == p, F.lit(p)).when(F.startswith("dir", F.lit(p + "/")), F.concat(F.lit(p + "/"), F.substring_index(rest, "/", 1))).otherwise(out)
+        return out
+
+    for _ in range(rounds):
+        depth = F.size(F.split("area", "/"))
+        child = F.when(F.size(F.split("dir", "/")) > depth, F.get(F.split("dir", "/"), depth))
+        sums = dirs.withColumn("area", area()).withColumn("child", child).groupBy("area").agg(F.sum("hits").alias("hits"), F.countDistinct("child").alias("children"))
+        best = [r for r in sums.orderBy(F.desc("hits"), "area").limit(len(tried) + 1).collect() if r["area"] not in tried][:1]
+        if not best or best[0]["hits"] * 5 <= total:
             break
-        split += found_here
-    depth = F.lit(1)  # as deep as areas were split
-    for k in range(1, max((a.count("/") + 2 for a in split), default=1)):
-        depth = F.when((depth == k) & cut(F.lit(k)).isin(split or [""]) & (F.size(F.split("dir", "/")) > k), F.lit(k + 1)).otherwise(depth)
-    out = dirs.withColumn("depth", depth).withColumn("area", cut(F.col("depth"))).groupBy("area").agg(F.sum("hits").alias("hits"))
-    return out.orderBy(F.desc("hits"), "area").limit(top)
+        tried.add(best[0]["area"])
+        if best[0]["children"] >= 2:
+            split.append(best[0]["area"])
+    out = dirs.withColumn("area", area()).groupBy("area").agg(F.sum("hits").alias("hits"))
+    aside = out.withColumn("path", F.concat("area", F.lit("/-"))).withColumn("flags", path_flags()).withColumn("aside", demotion().isNotNull())
+    return aside.orderBy("aside", F.desc("hits"), "area").limit(top).select("area", "hits")
 
 
 def related_names(postings: DataFrame, found: DataFrame, word: str, top: int = 4) -> DataFrame:
@@ -274,8 +331,8 @@ def with_context(files: DataFrame, found: DataFrame, before: int, after: int) ->
 
 
 def best_of_each(found: DataFrame, column: str, values: list[str], order: list, most: int) -> DataFrame:
-    """The first ``most`` rows of each of a few values, each by its own top-k, so that no value's rows meet in one task. ``found`` is kept, as each value reads it."""
-    found = found.persist()
+    """The first ``most`` rows of each of a few values, each by its own top-k, so that no value's rows meet in one task. ``found`` is written, as each value reads it."""
+    found = written(found, "best")
     parts = [found.where(F.col(column) == v).orderBy(*order).limit(most) for v in values]
     out = parts[0] if parts else found.where("false")
     for p in parts[1:]:
@@ -301,8 +358,6 @@ def ladder(files: DataFrame, o: SearchOptions, symbols: DataFrame | None = None,
         if not found.isEmpty():
             return name, found
     if symbols is not None and isinstance(o.pattern, str) and o.pattern.replace("_", "a").isalnum():
-        from textquarry.operators.index import names_with_tokens
-
         spark = files.sparkSession
         many = len(spark.range(1).select(split_tokens(F.lit(o.pattern)).alias("t")).first()["t"])
         for name, names in (("tokens", names_with_tokens(symbols, o.pattern) if many >= 2 else None), ("fuzzy", fuzzy_names(symbols, o.pattern) if len(o.pattern) >= 4 else None)):
@@ -310,7 +365,7 @@ def ladder(files: DataFrame, o: SearchOptions, symbols: DataFrame | None = None,
             if known:
                 return name, hits(files, replace(o, pattern=tuple(known), fixed=True, whole_word=True, ignore_case=False))
     if ignored is not None:
-        found = matched_lines(ignored.limit(200), o)
+        found = matched_lines(ignored.orderBy(path_key(F.col("path"))).limit(200), o)
         if not found.isEmpty():
             return "ignored", found.groupBy("file_id", "path").agg(F.count(F.lit(1)).alias("total"))
     return "none", hits(files, o)
@@ -330,19 +385,20 @@ def skipped_reached(skipped: DataFrame, o: SearchOptions) -> DataFrame:
 
 
 def of_types(files: DataFrame, types: list[str], without: list[str] | None = None) -> DataFrame:
-    """Files of the named types and of none of ``without``. A type is a language or a file extension."""
+    """Files of the named types and of none of ``without``. A type is a language, a name of FILE_TYPES, or a file extension."""
 
     def any_of(names: list[str]) -> Column:
-        ends = [e for n in names for e in LANGUAGES.get(n, [n])]
-        return F.lower(extension(F.col("path"))).isin(ends)
+        ends = [e for n in names for e in LANGUAGES.get(n) or FILE_TYPES.get(n) or [n]]
+        name = F.lower(F.regexp_extract("path", "[^/]*$", 0))
+        return F.lower(extension(F.col("path"))).isin(ends) | name.isin([x for n in names for x in FILE_TYPE_NAMES.get(n, [])])
 
     out = files.where(any_of(types)) if types else files
     return out.where(~any_of(without)) if without else out
 
 
-def admission(flags: Column, path: Column) -> Column:
+def admission(path: str = "path", flags: str = "flags") -> Column:
     """The order in which files are looked at: source 0, demoted 2, minified 3."""
-    return F.when(flags["minified"], 3).when(demotion(path, flags).isNotNull(), 2).otherwise(0)
+    return F.when(F.col(flags)["minified"], 3).when(demotion(path, flags).isNotNull(), 2).otherwise(0)
 
 
 def word_around(text: Column, start: Column, end: Column) -> Column:
@@ -360,6 +416,32 @@ def adaptive_context(files: DataFrame, found: DataFrame, around: int = 20) -> Da
     return found.select("file_id", "path", "line", F.lit(True).alias("matched"), "text")
 
 
+def multiline_hits(files: DataFrame, o: SearchOptions, index: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Matches that may go over line ends: file_id, path, line, last_line, start, end (characters of the file) and the text of the match.
+
+    The pattern runs over whole texts; ``.`` stops at a line end unless the pattern says ``(?s)``, ``^`` and ``$`` mean lines.
+    """
+    pattern = "(?m)" + o.regex()
+    held = selected(files, o).where(F.col("text").rlike(pattern))
+    if index is not None and not any(c in o.regex() for c in ("\n", "\\n", "\\s", "[^", "(?s")):
+        held = held.join(candidates(index, o.patterns, o.fixed, o.fold, o.whole_word), "file_id", "left_semi")
+    each = held.select("file_id", "path", "lang", "text", F.explode(places(F.col("text"), pattern)).alias("m"))
+    line_of = lambda at: F.length(F.substr(F.col("text"), F.lit(1), at)) - F.length(F.replace(F.substr(F.col("text"), F.lit(1), at), F.lit("\n"), F.lit(""))) + 1
+    body = F.substr(F.col("text"), F.col("m.s") + 1, F.col("m.e") - F.col("m.s"))
+    return each.select("file_id", "path", "lang", line_of(F.col("m.s")).alias("line"), line_of(F.col("m.e")).alias("last_line"), F.col("m.s").alias("start"), F.col("m.e").alias("end"), body.alias("text"))
+
+
+def capped(found: DataFrame, per_file: int | None = None, per_line: int | None = None) -> DataFrame:
+    """The first ``per_file`` matched lines of each file and the first ``per_line`` places of each line, the one that counts among them."""
+    out = found
+    if per_line:
+        own = F.get("submatches", F.col("primary"))
+        out = out.withColumn("submatches", F.when(F.size("submatches") <= per_line, F.col("submatches")).when(F.col("primary") < per_line, F.slice("submatches", 1, per_line)).otherwise(F.array_append(F.slice("submatches", 1, per_line - 1), own)))
+    if per_file:
+        out = out.withColumn("place", F.row_number().over(Window.partitionBy("file_id").orderBy("line"))).where(F.col("place") <= per_file).drop("place")
+    return out
+
+
 def in_path_order(found: DataFrame):
     """Hits one by one in path order, as many in the driver's memory as one partition holds."""
     return found.orderBy(path_key(F.col("path")), "line").toLocalIterator(prefetchPartitions=True)

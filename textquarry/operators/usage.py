@@ -21,19 +21,25 @@ def pair_runs(hooks: DataFrame, runs: DataFrame, window_ms: int = PAIR_WINDOW_MS
     """(run_id, hook_id): each run takes the newest unused hook of its id at or before it, within the window; one to one.
 
     Hooks and runs: key, ts (ms), and a row id. A key's events are cut at gaps over the window, where no pair can
-    reach across, so what must stay together is one burst of a key and not its whole history. Bursts are
-    matched in one sorted pass over each partition, with the open hooks of the current burst as its only state.
+    reach across. Gaps are found inside spans of time and between them, so no sort holds a key's whole history; what stays
+    together is one burst, matched in one sorted pass over each partition with the open hooks of the burst as its only state.
     """
     both = hooks.select("key", "ts", F.col("hook_id").alias("row"), F.lit(0).alias("side")).unionByName(runs.select("key", "ts", F.col("run_id").alias("row"), F.lit(1).alias("side")))
-    own = Window.partitionBy("key").orderBy("ts", "side", "row")
-    both = both.where("key is not null and ts is not null").withColumn("gap", F.coalesce((F.col("ts") - F.lag("ts").over(own) > window_ms).cast("int"), F.lit(0))).withColumn("burst", F.sum("gap").over(own))
+    both = both.where("key is not null and ts is not null").withColumn("span", F.floor(F.col("ts") / (64 * window_ms)))
+    own = Window.partitionBy("key", "span").orderBy("ts", "side", "row")
+    both = both.withColumn("gap", F.coalesce((F.col("ts") - F.lag("ts").over(own) > window_ms).cast("int"), F.lit(0))).withColumn("burst", F.sum("gap").over(own))
+    spans = both.groupBy("key", "span").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum("gap").alias("gaps"))
+    order = Window.partitionBy("key").orderBy("span")
+    border = F.coalesce((F.col("first") - F.lag("last").over(order) > window_ms).cast("int"), F.lit(0)) + F.coalesce(F.lag("gaps").over(order), F.lit(0))
+    spans = spans.withColumn("border", border).select("key", "span", F.sum("border").over(order).alias("before"))
+    both = both.join(spans, ["key", "span"]).withColumn("burst", F.col("burst") + F.col("before"))
     both = both.select(F.xxhash64("key", "burst").alias("b1"), F.xxhash64("burst", "key").alias("b2"), "ts", "side", "row").repartition("b1").sortWithinPartitions("b1", "b2", "ts", "side", "row")
 
     def match(batches):
         burst, open_ = None, []
         for pdf in batches:
             out = []
-            for b1, b2, ts, side, row in pdf.itertuples(index=False):
+            for b1, b2, ts, side, row in zip(*(pdf[c].tolist() for c in ("b1", "b2", "ts", "side", "row")), strict=True):
                 if (b1, b2) != burst:
                     burst, open_ = (b1, b2), []
                 if side == 0:
@@ -130,9 +136,10 @@ def chosen(events: DataFrame, since_ms: int | None = None, now_ms: int | None =
     return out
 
 
-def summarize(events: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Runs, the sum and the mean of a value by class, directory, version or session."""
-    return events.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.sum(value).alias("total"), F.avg(value).alias("avg"))
+def summarize(events: DataFrame, by: list[str], value: str, failed: Column | None = None) -> DataFrame:
+    """Runs, the sum and the mean of a value by class, directory, version or session, with its share of all runs and how many failed."""
+    own = events.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.sum(value).alias("total"), F.avg(value).alias("avg"), F.count_if(failed if failed is not None else F.lit(False)).alias("failed"))
+    return own.crossJoin(F.broadcast(events.agg(F.count(F.lit(1)).alias("all_runs")))).withColumn("share", F.col("runs") / F.col("all_runs")).drop("all_runs")
 
 
 def loop_hint(log: DataFrame, query: Column, times: int = 2) -> DataFrame:

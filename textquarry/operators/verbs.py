@@ -4,9 +4,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions.files import location_weight, path_flags
-from textquarry.functions.text import parent, path_key
-from textquarry.operators.search import SearchOptions, hits, lines
+from textquarry.functions.text import constant_style, parent, path_key
+from textquarry.operators.index import case_variants, fuzzy_names, names_with_tokens
+from textquarry.operators.search import SearchOptions, hits, line_starts, lines, matched_files
 from textquarry.operators.symbols import KIND_WEIGHTS, enclosing
+from textquarry.operators.symbols import symbols as extract_symbols
+from textquarry.sources.scratch import written
 
 
 def kind_weight(kind: Column) -> Column:
@@ -46,37 +49,60 @@ def definitions(files: DataFrame, symbols: DataFrame, name: str, ranks: DataFram
         found = found.join(ranks, "file_id", "left")
         rank = F.coalesce("rank", F.lit(0.5))
     nested = F.when(F.col("parent_kind").isin("function", "method"), 0.7).otherwise(1.0)
-    score = kind_weight(F.col("kind")) * F.when(F.col("exported"), 1.0).otherwise(0.85) * nested * location_weight(F.col("path"), path_flags(F.col("path"))) * (0.6 + 0.4 * rank) * F.col("reach")
+    score = kind_weight(F.col("kind")) * F.when(F.col("exported"), 1.0).otherwise(0.85) * nested * location_weight() * (0.6 + 0.4 * rank) * F.col("reach")
     order = [F.round("score", 9).desc(), path_key(F.col("path")), F.col("line")]
-    found = found.withColumn("score", score).select("file_id", "path", "line", "kind", "name", "signature", "score").persist()  # one name's definitions, read thrice
+    found = found.withColumn("score", score).select("file_id", "path", "line", "kind", "name", "signature", "score")
+    found = written(found, "definitions")  # one name's definitions, read thrice
     others, blocks = found.where("kind <> 'impl'"), found.where("kind = 'impl'")
     most = top if others.isEmpty() else 3
     return others.orderBy(*order).limit(top).unionByName(blocks.orderBy(*order).limit(most)).orderBy(*order).limit(top)
 
 
-def references(files: DataFrame, name: str, spans: DataFrame, symbols: DataFrame, index: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Whole-word hits of a name with their kinds, definitions first."""
-    found = hits(files, SearchOptions(name, fixed=True, whole_word=True), index, spans, symbols)
-    return found.withColumn("is_def", F.col("kind") == "def")
+def references(files: DataFrame, name: str, spans: DataFrame | None = None, symbols: DataFrame | None = None, index: dict[str, DataFrame] | None = None, imports: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """Whole-word hits of a name with their kinds. With edges, ``resolved`` says whether the file is linked to a definition: it has one, or imports one at most two hops away, or is imported by one.
 
+    Without tables, the files that hold the name are read for them.
+    """
+    found = hits(files, SearchOptions(name, fixed=True, whole_word=True, max_filesize=(1 << 63) - 1), index, spans, symbols, imports)
+    found = found.withColumn("is_def", F.col("kind") == "def")
+    if edges is None or symbols is None:
+        return found
+    homes = symbols.where(F.col("name") == name).select(F.col("file_id").alias("home")).distinct()
+    near = _importers(edges, homes)
+    back = edges.join(homes, F.col("src") == F.col("home")).select(F.col("dst").alias("near"))
+    linked = homes.select(F.col("home").alias("near")).unionByName(near).unionByName(_importers(edges, near.withColumnRenamed("near", "home"))).unionByName(back).distinct()
+    return found.join(linked, F.col("file_id") == F.col("near"), "left").withColumn("resolved", F.col("near").isNotNull()).drop("near")
+
+
+def _importers(edges: DataFrame, homes: DataFrame) -> DataFrame:
+    """(near): files with an edge to one of ``homes`` (home)."""
+    return edges.join(homes, F.col("dst") == F.col("home")).select(F.col("src").alias("near")).distinct()
 
-def callers(files: DataFrame, name: str, spans: DataFrame, symbols: DataFrame, index: dict[str, DataFrame] | None = None, lines_shown: int = 8) -> DataFrame:
+
+def callers(files: DataFrame, name: str, spans: DataFrame, symbols: DataFrame, index: dict[str, DataFrame] | None = None, lines_shown: int = 8, imports: DataFrame | None = None) -> DataFrame:
     """Call and member hits by enclosing symbol: file_id, path, symbol, calls, lines, score = prior x (1 + ln calls)."""
-    found = references(files, name, spans, symbols, index).where(F.col("kind").isin("call", "member"))
+    found = references(files, name, spans, symbols, index, imports).where(F.col("kind").isin("call", "member"))
     inner = enclosing(found.select("file_id", "path", "line", "offset", "prior"), symbols, ["file_id", "line", "offset"])
     grouped = inner.groupBy("file_id", "path", F.col("symbol.sym_id").alias("sym_id"), F.col("symbol.name").alias("symbol")).agg(F.count(F.lit(1)).alias("calls"), F.slice(F.array_sort(F.collect_set("line")), 1, lines_shown).alias("lines"), F.max("prior").alias("prior"))
     return grouped.withColumn("score", F.col("prior") * (1 + F.log("calls"))).drop("prior")
 
 
-def callers_two_deep(files: DataFrame, name: str, spans: DataFrame, symbols: DataFrame, index: dict[str, DataFrame] | None = None, names: int = 12) -> DataFrame:
-    """Callers, and the callers of the first ``names`` of them, with their depth."""
-    first = callers(files, name, spans, symbols, index)
-    best = [r["symbol"] for r in first.where("symbol is not null").groupBy("symbol").agg(F.max("score").alias("s")).orderBy(F.round("s", 9).desc(), "symbol").limit(names).collect()]
+def callers_two_deep(files: DataFrame, name: str, spans: DataFrame, symbols: DataFrame, index: dict[str, DataFrame] | None = None, names: int = 12, lines_shown: int = 8) -> DataFrame:
+    """Callers, and the callers of the first ``names`` of them, with their depth and whose callers they are. The second depth is one search for all of those names."""
+    first = written(callers(files, name, spans, symbols, index, lines_shown), "callers")
     out = first.withColumn("depth", F.lit(1)).withColumn("of", F.lit(name))
-    for n in best:
-        if n != name:
-            out = out.unionByName(callers(files, n, spans, symbols, index).withColumn("depth", F.lit(2)).withColumn("of", F.lit(n)))
-    return out
+    best = [r["symbol"] for r in first.where("symbol is not null").groupBy("symbol").agg(F.max("score").alias("s")).orderBy(F.round("s", 9).desc(), "symbol").limit(names).collect()]
+    best = [n for n in best if n != name]
+    if not best:
+        return out
+    found = hits(files, SearchOptions(tuple(best), fixed=True, whole_word=True, max_filesize=(1 << 63) - 1), index, spans, symbols)
+    each = found.select("file_id", "path", "line", "prior", F.col("offset") - F.col("first.s"), F.posexplode(F.arrays_zip("submatches", "kinds")).alias("n", "m"), F.col("text").alias("body")).toDF("file_id", "path", "line", "prior", "at", "n", "m", "body")
+    each = each.where(F.col("m.kinds").isin("call", "member")).withColumn("of", F.substr("body", F.col("m.submatches.s") + 1, F.col("m.submatches.e") - F.col("m.submatches.s"))).withColumn("offset", F.col("at") + F.col("m.submatches.s"))
+    each = each.groupBy("file_id", "path", "line", "of").agg(F.min("offset").alias("offset"), F.max("prior").alias("prior"))
+    inner = enclosing(each, symbols, ["file_id", "line", "offset"])
+    second = inner.groupBy("file_id", "path", F.col("symbol.sym_id").alias("sym_id"), F.col("symbol.name").alias("symbol"), "of").agg(F.count(F.lit(1)).alias("calls"), F.slice(F.array_sort(F.collect_set("line")), 1, lines_shown).alias("lines"), F.max("prior").alias("prior"))
+    second = second.withColumn("score", F.col("prior") * (1 + F.log("calls"))).withColumn("depth", F.lit(2))
+    return out.unionByName(second.select(*out.columns))
 
 
 def implementations(files: DataFrame, symbols: DataFrame, name: str, ranks: DataFrame | None = None, top: int = 200) -> DataFrame:
@@ -86,7 +112,7 @@ def implementations(files: DataFrame, symbols: DataFrame, name: str, ranks: Data
     if ranks is not None:
         found = found.join(ranks, "file_id", "left")
         rank = F.coalesce("rank", F.lit(0.5))
-    score = kind_weight(F.col("kind")) * location_weight(F.col("path"), path_flags(F.col("path"))) * (0.6 + 0.4 * rank)
+    score = kind_weight(F.col("kind")) * location_weight() * (0.6 + 0.4 * rank)
     return found.withColumn("score", score).orderBy(F.round("score", 9).desc(), path_key(F.col("path")), "line").limit(top).select("file_id", "path", "line", "kind", "name", "score")
 
 
@@ -96,15 +122,16 @@ def possible_implementations(files: DataFrame, name: str, spans: DataFrame, symb
     return references(files, name, spans, symbols).where("kind = 'type'").join(direct, ["file_id", "line"], "left_anti").orderBy(path_key(F.col("path")), "line").limit(most)
 
 
-def impact(files: DataFrame, name: str, spans: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """Files that use a name, graded: review (tests, demoted, no rules), likely (a strong use in a file linked to a definition), possible, review."""
-    used = references(files, name, spans, symbols).where("kind not in ('def', 'comment', 'string', 'doc')")
-    homes = symbols.where(F.col("name") == name).select("file_id").distinct()
-    linked = edges.join(homes.withColumnRenamed("file_id", "dst"), "dst").select(F.col("src").alias("file_id")).unionByName(homes).distinct().withColumn("linked", F.lit(True))
+def impact(files: DataFrame, name: str, spans: DataFrame, symbols: DataFrame, edges: DataFrame, index: dict[str, DataFrame] | None = None, imports: DataFrame | None = None) -> DataFrame:
+    """Files that use a name, graded: review (tests, demoted, no rules), likely (a strong use in a file linked to a definition: its own, an import, or the import of a module that imports it), possible, review."""
+    used = references(files, name, spans, symbols, index, imports).where("kind not in ('def', 'comment', 'string', 'doc')")
+    homes = symbols.where(F.col("name") == name).select(F.col("file_id").alias("home")).distinct()
+    near = _importers(edges, homes)
+    linked = homes.select(F.col("home").alias("near")).unionByName(near).unionByName(_importers(edges, near.withColumnRenamed("near", "home"))).distinct().select(F.col("near").alias("file_id"), F.lit(True).alias("linked"))
     strong = F.max(F.col("kind").isin("call", "type", "import"))
     per = used.groupBy("file_id", "path", "lang").agg(F.count(F.lit(1)).alias("uses"), strong.alias("strong"), F.max(F.col("kind") == "member").alias("weak")).join(linked, "file_id", "left")
-    flags = path_flags(F.col("path"))
-    aside = flags["test"] | flags["vendored"] | flags["generated"] | F.col("lang").isNull() | (F.col("lang") == "text")
+    per = per.withColumn("flags", path_flags())
+    aside = F.expr("flags.test or flags.vendored or flags.generated") | F.col("lang").isNull() | (F.col("lang") == "text")
     grade = F.when(aside, "review").when(F.col("strong") & F.coalesce("linked", F.lit(False)), "likely").when(F.col("strong") | F.col("weak"), "possible").otherwise("review")
     return per.select("file_id", "path", "uses", grade.alias("grade"))
 
@@ -117,8 +144,7 @@ def outline(symbols: DataFrame, file_id: int) -> DataFrame:
 def show(files: DataFrame, symbols: DataFrame, file_id: int, line: int, around: int = 20) -> DataFrame:
     """The lines of the innermost definition that holds a line, or ``around`` lines on both sides."""
     one = files.where(F.col("file_id") == file_id)
-    every = lines(one).select("file_id", "line", "text")
-    numbered = every.withColumn("from", F.sum(F.length("text") + 1).over(Window.partitionBy("file_id").orderBy("line")) - F.length("text") - 1)
+    numbered = lines(one).select("file_id", "line", "text").join(line_starts(one).withColumnRenamed("at", "from"), ["file_id", "line"])
     at = numbered.where(F.col("line") == line).select("file_id", F.col("from").alias("offset"))
     held = symbols.where((F.col("file_id") == file_id) & (F.col("line") <= line)).join(at, "file_id").where((F.col("end") > F.col("offset")) | (F.col("line") == line))
     best = held.orderBy(F.desc("start")).limit(1).select("file_id", F.col("line").alias("first"), F.col("end").alias("stop"))
@@ -127,10 +153,39 @@ def show(files: DataFrame, symbols: DataFrame, file_id: int, line: int, around:
     return both.where(inside).select("line", "text").orderBy("line")
 
 
-def constants_read(symbols: DataFrame, body: DataFrame, most: int = 12) -> DataFrame:
-    """Constants that a body (line, text) names."""
+def constants_read(symbols: DataFrame, body: DataFrame, file_id: int | None = None, most: int = 12) -> DataFrame:
+    """Constants that a body (line, text) names: those of its own file, and names in the style of constants with three definitions at most."""
     names = body.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("name")).distinct()
-    return symbols.where("kind = 'constant'").join(names, "name", "left_semi").orderBy("name", "file_id", "line").limit(most).select("file_id", "name", "line", "signature")
+    found = symbols.where("kind in ('constant', 'variable')").join(names, "name", "left_semi")
+    few = found.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n <= 3")
+    own = F.col("file_id") == F.lit(file_id) if file_id is not None else F.lit(False)
+    found = found.join(few, "name", "left").where(own | (F.col("n").isNotNull() & constant_style(F.col("name"))))
+    return found.orderBy((~own).cast("int"), "name", "file_id", "line").limit(most).select("file_id", "name", "line", "signature")
+
+
+def find_definitions(files: DataFrame, symbols: DataFrame, name: str, **how) -> tuple[str, DataFrame]:
+    """(rung, definitions): of the name itself, else of names that differ in case, hold all of its parts, or are near by edit distance."""
+    found = definitions(files, symbols, name, **how)
+    if not found.isEmpty():
+        return "exact", found
+    rungs = [("case", case_variants(symbols, name).limit(8)), ("tokens", names_with_tokens(symbols, name)), ("fuzzy", fuzzy_names(symbols, name).select("name"))]
+    for rung, names in rungs:
+        if rung == "fuzzy" and len(name) < 4:
+            break
+        known = [r["name"] for r in names.collect()]  # eight names at most
+        if known:
+            parts = [definitions(files, symbols, n, **how) for n in known]
+            out = parts[0]
+            for p in parts[1:]:
+                out = out.unionByName(p)
+            return rung, out.orderBy(F.round("score", 9).desc(), path_key(F.col("path")), "line")
+    return "none", found
+
+
+def scan_definitions(files: DataFrame, name: str, **how) -> DataFrame:
+    """Definitions of a name without an index: the files that hold it are read, and no others."""
+    holding = matched_files(files, SearchOptions(name, fixed=True, whole_word=True, max_filesize=(1 << 63) - 1))
+    return definitions(files, extract_symbols(holding), name, **how)
 
 
 def map_files(files: DataFrame, symbols: DataFrame, ranks: DataFrame, top: int = 50) -> DataFrame:
@@ -139,7 +194,7 @@ def map_files(files: DataFrame, symbols: DataFrame, ranks: DataFrame, top: int =
     first = symbols.where("exported").withColumn("rn", F.row_number().over(own)).where("rn <= 5").groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "name"))), lambda s: s["name"]).alias("names"))
     count = symbols.groupBy("file_id").agg(F.count(F.lit(1)).alias("symbols"))
     out = files.select("file_id", "path").join(ranks, "file_id", "left").join(count, "file_id", "left").join(first, "file_id", "left")
-    score = F.coalesce("rank", F.lit(0.5)) * location_weight(F.col("path"), path_flags(F.col("path")))
+    score = F.coalesce("rank", F.lit(0.5)) * location_weight()
     return out.select("file_id", "path", F.coalesce("symbols", F.lit(0)).cast("long").alias("symbols"), "names", score.alias("score")).orderBy(F.round("score", 9).desc(), path_key(F.col("path"))).limit(top)
 
 

@@ -7,7 +7,7 @@ from textquarry.functions.text import ascii_lower, file_name, parent, pieces, sp
 from textquarry.operators import changes, find, impact, index, report, search, symbols, usage, verbs
 from textquarry.operators.search import SearchOptions
 from textquarry.sources import files as src
-from textquarry.sources import sinks
+from textquarry.sources import scratch, sinks
 from textquarry.streaming import refresh
 
 QUERIES: dict = {}
@@ -50,6 +50,19 @@ def _code(spark: SparkSession, d: str) -> DataFrame:
     return src.parts_as_code(spark, d)
 
 
+_indexes: dict[tuple, str] = {}
+
+
+def _published(spark: SparkSession, d: str, name: str, files) -> dict:
+    """The tables of an index of ``files``, published once a session in the shared folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _indexes:
+        path = scratch.new_path(spark, f"index-{name}")
+        index.publish(files(spark, d), path, 1)
+        _indexes[key] = path
+    return index.open_index(spark, _indexes[key])
+
+
 # ---- text search ---------------------------------------------------------------------------------------------------
 @query(f"with {DOCS}, {LINES} select path, line, line_text as text from lines where regexp_matches(line_text, '{EDGE}that($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')")
 def search_whole_word(spark, d):
@@ -169,8 +182,15 @@ def facet_flags(spark, d):
     return search.facets(search.hits(_docs(spark, d), _search("the", fixed=True)), "flag")
 
 
-@query()
+AREAS = """h as (select regexp_replace(path, '/[^/]*$', '') as dir, count(*) as n from lines where contains(line_text, 'the') group by 1), t as (select sum(n) as t from h),
+    p1 as (select split_part(dir, '/', 1) as a, sum(n) as n from h group by 1), s1 as (select a from p1, t where n * 5 > t),
+    p2 as (select split_part(dir, '/', 1) || '/' || split_part(dir, '/', 2) as a, sum(n) as n from h where split_part(dir, '/', 1) in (from s1) group by 1), s2 as (select a from p2, t where n * 5 > t),
+    g as (select case when split_part(dir, '/', 1) not in (from s1) then split_part(dir, '/', 1) when split_part(dir, '/', 1) || '/' || split_part(dir, '/', 2) not in (from s2) then split_part(dir, '/', 1) || '/' || split_part(dir, '/', 2) else dir end as area, sum(n)::bigint as hits from h group by 1)"""
+
+
+@query(f"with {DOCS}, {LINES}, {AREAS} select area, hits from g order by area like 'tests%' or area like 'vendor%', hits desc, area limit 6")
 def facet_areas(spark, d):
+    """Where the hits are: prefixes with over a fifth of them give way to their children."""
     return search.areas(search.matched_lines(_docs(spark, d), _search("the", fixed=True)))
 
 
@@ -187,13 +207,26 @@ def search_ladder(spark, d):
     return found.agg(F.count(F.lit(1)).alias("hits")).withColumn("rung", F.lit(rung))
 
 
-@query()
+HITS_JSON = f"""j as (select path, line, line_text, string_split(line_text, 'Version 2.0') as p, 0.4 * 0.8 * {WEIGHT} * case when regexp_matches(line_text, '{EDGE}Version 2\\.0($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') then 1.15 else 1.0 end as score from lines where contains(line_text, 'Version 2.0'))"""
+
+
+@query(
+    f"""with {DOCS}, {LINES}, {HITS_JSON} select '{{"type":"hit","path":' || to_json(path)::varchar || ',"line":' || line || ',"kind":"ident","score":' || round(score, 6)::double || ',"text":' || to_json(line_text)::varchar || ',"submatches":[' ||
+    array_to_string(list_transform(range(1, len(p)), lambda i: '{{"start":' || (list_sum(list_transform(p[1:i], lambda x: octet_length(encode(x)))) + 11 * (i - 1))::bigint || ',"end":' || (list_sum(list_transform(p[1:i], lambda x: octet_length(encode(x)))) + 11 * i)::bigint || '}}'), ',') || ']}}' as value from j"""
+)
 def search_json(spark, d):
     """Hits as JSON records with byte offsets."""
     return sinks.json_records(search.hits(_docs(spark, d), _search("Version 2.0", fixed=True)))
 
 
-@query()
+@query(
+    f"""with {DOCS}, {LINES}, {HITS_JSON}, f as (select path, count(*) as n from j group by path)
+    select '{{"type":"begin","data":{{"path":' || to_json(path)::varchar || '}}}}' as value from f
+    union all select '{{"type":"match","data":{{"path":' || to_json(path)::varchar || ',"line_number":' || line || ',"lines":' || to_json(line_text)::varchar || ',"submatches":[' ||
+    array_to_string(list_transform(range(1, len(p)), lambda i: '{{"s":' || (list_sum(list_transform(p[1:i], lambda x: length(x))) + 11 * (i - 1))::bigint || ',"e":' || (list_sum(list_transform(p[1:i], lambda x: length(x))) + 11 * i)::bigint || '}}'), ',') || ']}}}}' from j
+    union all select '{{"type":"end","data":{{"path":' || to_json(path)::varchar || ',"matched_lines":' || n || '}}}}' from f
+    union all select '{{"type":"summary","data":{{"searches_with_match":' || count(*) || ',"matched_lines":' || coalesce(sum(n), 0)::bigint || '}}}}' from f"""
+)
 def search_events(spark, d):
     """Hits as a begin, match, end and summary stream."""
     return sinks.event_records(search.hits(_docs(spark, d), _search("Version 2.0", fixed=True)))
@@ -403,7 +436,15 @@ def usage_distribution(spark, d):
     return usage.distribution(_events(spark, d), "value", ["event_type"]).withColumn("avg", F.round("avg", 6)).withColumn("total", F.round("total", 4))
 
 
-@query()
+@query(
+    """with recursive e as (select *, row_number() over (partition by key order by ms, side, id) as n from (
+        select user_id as key, epoch_ms(ts) as ms, case when event_type = 'view' then 0 else 1 end as side, event_id as id from events where event_type in ('view', 'purchase') and user_id is not null and ts is not null)),
+    walk as (select key, 0::bigint as n, cast([] as struct(ms bigint, id bigint)[]) as held, null::bigint as run_id, null::bigint as hook_id from (select distinct key from e)
+        union all select w.key, w.n + 1, case when e.side = 0 then list_append(w.held, {'ms': e.ms, 'id': e.id}) when len(w.held) > 0 and e.ms - w.held[-1].ms <= 21600000 then w.held[1:len(w.held) - 1] else w.held end,
+            case when e.side = 1 and len(w.held) > 0 and e.ms - w.held[-1].ms <= 21600000 then e.id end, case when e.side = 1 and len(w.held) > 0 and e.ms - w.held[-1].ms <= 21600000 then w.held[-1].id end
+        from walk w join e on e.key = w.key and e.n = w.n + 1)
+    select run_id, hook_id from walk where run_id is not null"""
+)
 def usage_pairs(spark, d):
     """Purchases paired one to one with the newest unused view of the user within six hours."""
     e = _events(spark, d).withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
@@ -456,11 +497,12 @@ def scalar_tokens(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query("select doc_id, octet_length(encode(substr(text, 1, 40)))::int as bytes from documents")
+@query("select doc_id, octet_length(encode(substr(text, 1, (length(text) - doc_id % 7)::int)))::int as bytes from documents")
 def scalar_byte_offsets(spark, d):
+    """Bytes before a place near the end of every text."""
     from textquarry.functions.text import byte_offset
 
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", byte_offset(F.col("text"), F.lit(40)).alias("bytes"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", byte_offset(F.col("text"), (F.length("text") - F.col("doc_id") % 7).cast("int")).alias("bytes"))
 
 
 # ---- more of the same families -------------------------------------------------------------------------------------
@@ -601,12 +643,16 @@ def session_covered(spark, d):
 
 @query("select event_type, date_trunc('hour', ts) as hour, count(*)::bigint as events, round(sum(value), 4) as value from events group by 1, 2")
 def stream_windows(spark, d):
-    """The event log as a stream: hourly windows, in complete output."""
-    name = "usage_windows"
-    stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    run = refresh.windowed_usage(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "events", F.round("value", 4).alias("value"))
+    """The event log as a stream: hourly windows in append output to a folder; a last event far ahead closes the windows of all others."""
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    feed, out = scratch.new_path(spark, "feed"), scratch.new_path(spark, "windows")
+    last = events.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select(F.lit("end").alias("event_type"), "ts", F.lit(0.0).alias("value"))
+    for rows in (events, last):
+        rows.write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(events.schema).parquet(feed)
+        run = refresh.windowed_usage(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(out).where("event_type <> 'end'").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "events", F.round("value", 4).alias("value"))
 
 
 @query(
@@ -627,3 +673,311 @@ def scalar_normalized_query(spark, d):
 
     q = normalize_query(F.concat_ws(" ", "source", "lang", "source"))
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.split(q, " ").alias("tokens"))
+
+
+# ---- what is read from a published index ---------------------------------------------------------------------------
+def _parts(spark, d):
+    return _published(spark, d, "parts", _code)
+
+
+@query(SQL["verb_def"])
+def verb_def_published(spark, d):
+    """Definitions by lookup: no file is read again."""
+    t = _parts(spark, d)
+    return verbs.definitions(t["files"], t["symbols"], "Part42").select("path", "line", "kind", F.round("score", 6).alias("score"))
+
+
+@query(SQL["verb_refs"])
+def verb_refs_published(spark, d):
+    t = _parts(spark, d)
+    return verbs.references(t["files"], "part_42", t["spans"], t["symbols"], t, t["imports"]).select("path", "line", "kind")
+
+
+@query(SQL["verb_callers"])
+def verb_callers_published(spark, d):
+    t = _parts(spark, d)
+    return verbs.callers(t["files"], "helper_3", t["spans"], t["symbols"], t, imports=t["imports"]).select("path", "symbol", "calls", "lines", F.round("score", 6).alias("score"))
+
+
+@query(SQL["verb_impls"])
+def verb_impls_published(spark, d):
+    t = _parts(spark, d)
+    return verbs.implementations(t["files"], t["symbols"], "Base7").select("path", "line", "name", F.round("score", 6).alias("score"))
+
+
+@query(SQL["verb_impact"])
+def verb_impact_published(spark, d):
+    t = _parts(spark, d)
+    return verbs.impact(t["files"], "Base7", t["spans"], t["symbols"], t["edges"], t, t["imports"]).select("path", "uses", "grade")
+
+
+@query(SQL["verb_map"])
+def verb_map_published(spark, d):
+    t = _parts(spark, d)
+    return verbs.map_directories(t["files"], t["symbols"], t["ranks"], "src").select("dir", "files", F.col("symbols").cast("long").alias("symbols"))
+
+
+@query(SQL["find_files"])
+def find_files_published(spark, d):
+    """BM25 from published pieces and sizes."""
+    t = _published(spark, d, "docs", _docs)
+    found = find.find(t["files"], t["pieces"], "how do the tests handle moron and the Apache license")
+    return found.select("path", F.round("score", 6).alias("score"))
+
+
+@query(SQL["search_indexed"])
+def search_published(spark, d):
+    t = _published(spark, d, "docs", _docs)
+    return search.matched_lines(t["files"], _search("Apache License", fixed=True), t).select("path", "line")
+
+
+@query(SQL["index_after_delta"])
+def index_delta_published(spark, d):
+    """Word counts after a published delta, which holds the files that changed and tombstones."""
+    old, new = _snapshots(spark, d)
+    path = scratch.new_path(spark, "index-delta")
+    index.publish(old, path, 1)
+    refresh.refresh(path, new, 2)
+    return index.open_index(spark, path)["words"].groupBy("word").agg(F.countDistinct("file_id").alias("files"))
+
+
+@query(f"with {DOCS} select w as word, count(distinct file_id)::bigint as files from (select file_id, unnest(regexp_extract_all(case when file_id % 50 = 3 then text || ' changedword' else text end, '[A-Za-z0-9_]+')) as w from docs where file_id % 50 <> 4) where length(w) between 2 and 64 group by w")
+def index_small_delta(spark, d):
+    """A change small enough to stay a delta over its base: read through tombstones."""
+    files = _docs(spark, d).select("file_id", "path", "text")
+    new = files.where("file_id % 50 <> 4").withColumn("text", F.when(F.col("file_id") % 50 == 3, F.concat("text", F.lit(" changedword"))).otherwise(F.col("text")))
+    path = scratch.new_path(spark, "index-small")
+    index.publish(files, path, 1)
+    refresh.refresh(path, new, 2)
+    return index.open_index(spark, path)["words"].groupBy("word").agg(F.countDistinct("file_id").alias("files"))
+
+
+# ---- any case, line ends, every occurrence -------------------------------------------------------------------------
+@query(f"with {DOCS}, {LINES} select path, line from lines where regexp_matches(line_text, '(?i){EDGE}version($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')")
+def search_indexed_smart_case(spark, d):
+    """A whole word without capitals matches in any case, with an index as without."""
+    t = _published(spark, d, "docs", _docs)
+    return search.matched_lines(t["files"], _search("version", fixed=True, whole_word=True, smart_case=True), t).select("path", "line")
+
+
+@query(f"with {DOCS}, {LINES} select path, line from lines where regexp_matches(line_text, '(?i){EDGE}(apache|mit)($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')")
+def search_indexed_flags(spark, d):
+    """A flag inside a group of the pattern folds case."""
+    t = _published(spark, d, "docs", _docs)
+    return search.matched_lines(t["files"], _search("(?i:apache|mit)", whole_word=True), t).select("path", "line")
+
+
+@query(f"with {DOCS}, {LINES} select path, line from lines where contains(line_text, 'Apache') or contains(line_text, 'stupid')")
+def search_indexed_list(spark, d):
+    """A list of patterns: candidates of any of them."""
+    t = _published(spark, d, "docs", _docs)
+    return search.matched_lines(t["files"], _search(("Apache", "stupid"), fixed=True), t).select("path", "line")
+
+
+@query(f"with {PARTS} select path, 5 as line, 'comment' as kind from parts where call_name = 'helper_3'")
+def search_kinds_any_match(spark, d):
+    """A line counts for a kind if any of its matches is of it: here the second, behind a call."""
+    f = _code(spark, d).withColumn("text", F.concat(F.rtrim("text", F.lit("\n")), F.lit("  # as helper_3\n")))
+    f = f.where(F.contains("text", F.lit("helper_3(")))
+    return search.hits(f, _search("helper_3", fixed=True, kinds=("comment",))).select("path", "line", "kind")
+
+
+@query(SQL["verb_refs"])
+def verb_refs_crlf(spark, d):
+    """Files with CRLF line ends: the same lines and kinds."""
+    files = _code(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\r\n")))
+    return verbs.references(files, "part_42").select("path", "line", "kind")
+
+
+@query(SQL["verb_show"])
+def verb_show_crlf(spark, d):
+    files = _code(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\r\n")))
+    return verbs.show(files, symbols.symbols(files), 7, 5)
+
+
+@query(f"with {DOCS} select path, unnest(regexp_extract_all(text, '(?m)[a-z]+\\.?\\n[A-Z][a-z]+')) as text from docs")
+def search_multiline(spark, d):
+    """Matches that go over a line end."""
+    return search.multiline_hits(_docs(spark, d), _search(r"[a-z]+\.?\n[A-Z][a-z]+")).select("path", "text")
+
+
+@query(f"with {DOCS}, {LINES} select path, line from (select path, line, row_number() over (partition by path order by line) as n from lines where contains(line_text, 'the')) where n <= 2")
+def search_capped(spark, d):
+    """The first two matched lines of each file."""
+    return search.capped(search.hits(_docs(spark, d), _search("the", fixed=True)), per_file=2).select("path", "line")
+
+
+# ---- extraction of other languages and shapes ----------------------------------------------------------------------
+def _coded(spark, d, lang, end, lines):
+    """Files made of ``part``: lines of a template with {k} the part's key, {s} its size and {n} a small number."""
+    p = spark.read.parquet(f"{d}/part.parquet")
+    text = F.lit("\n".join(lines) + "\n")
+    for mark, value in (("{k}", F.col("p_partkey")), ("{s}", F.col("p_size")), ("{n}", F.col("p_size") % 7)):
+        text = F.replace(text, F.lit(mark), value.cast("string"))
+    return p.select(F.col("p_partkey").alias("file_id"), F.concat(F.lit("src/m_"), F.col("p_partkey").cast("string"), F.lit("." + end)).alias("path"), text.alias("text"), F.lit(lang).alias("lang"))
+
+
+def _expected(rows: list[tuple]) -> str:
+    """SQL of the symbols that a template gives: (name, kind, line, bases) with ``{k}``, ``{s}`` and ``{n}``."""
+    said = lambda x: "replace(replace(replace('" + x + "', '{k}', p_partkey::varchar), '{s}', p_size::varchar), '{n}', (p_size % 7)::varchar)"
+    each = [f"select p_partkey as file_id, {said(n)} as name, '{k}' as kind, {line} as line, cast([{', '.join(said(b) for b in bases)}] as varchar[]) as supers from part" for n, k, line, bases in rows]
+    return " union all ".join(each)
+
+
+RUST = ["/* outer /* fn hidden_{k}() {} */ fn hidden() {} */", "use crate::base::{Base{s}, helper::run};", "pub struct Part{k}<'a> {", "    pub size: &'a str,", "}", "impl<'a> crate::base::Base{s}", "    for Part{k}<'a>", "{", "    fn part_{k}(&self) -> char { let q = '\"'; helper_{n}(q) }", "}", "pub enum Kind{k} { One, Two(u8) }", "pub const LIMIT_{k}: usize = {s};"]
+KOTLIN = ["import base.Base{s}", "/* a /* class Hidden{k} */ b */", "data class Part{k}(val size: Int) :", "    Base{s}(size),", "    Runner {", "    override fun part_{k}() = \"class Fake ${helper_{n}(\"x\")}\"", "    companion object", "}", "enum class Kind{k} { ONE, TWO }"]
+SCRIPT = ["import { Base{s} } from './base'", "export class Part{k}", "  extends Base{s} implements Runner {", "  size = `class Fake ${ {a: 1}.a }`;", "  part_{k}(x: number): string {", "    return /[\"/]/.test('x') ? helper_{n}(this) : '';", "  }", "}", "export const arrow_{k} = (a: number): string => `${a}`;", "enum Kind{k} { One, Two = 2 }", "type Alias{k} = { a: string };"]
+SHAPED = ["from base import (", "    Base{s},", "    helper_{n} as h,", ")", "class Part{k}(", "    Base{s}, other.Mixin[int],", "    metaclass=Meta,", "):", '    \"\"\"class Fake{k}: pass\"\"\"', "    size: int = {s}", "    async def part_{k}(self):", "        self.seen = 1", "        self.seen = 2", "        return h(self)", "LIMIT_{k} = (", "    {s}", ")", "name_{k} = 'def fake(): pass'"]
+
+
+@query(_expected([("Part{k}", "struct", 3, []), ("size", "field", 4, []), ("Part{k}", "impl", 7, ["Base{s}"]), ("part_{k}", "method", 9, []), ("Kind{k}", "enum", 11, []), ("One", "variant", 11, []), ("Two", "variant", 11, []), ("LIMIT_{k}", "constant", 12, [])]))
+def symbol_table_rust(spark, d):
+    """Nested comments, lifetimes, an impl over several lines, fields and variants."""
+    return symbols.symbols(_coded(spark, d, "rust", "rs", RUST)).select("file_id", "name", "kind", "line", "supers")
+
+
+@query(_expected([("Part{k}", "class", 3, ["Base{s}", "Runner"]), ("size", "field", 3, []), ("part_{k}", "method", 6, []), ("Companion", "object", 7, []), ("Kind{k}", "enum", 9, []), ("ONE", "variant", 9, []), ("TWO", "variant", 9, [])]))
+def symbol_table_kotlin(spark, d):
+    """Bases over several lines, constructor fields, strings with code, a companion."""
+    return symbols.symbols(_coded(spark, d, "kotlin", "kt", KOTLIN)).select("file_id", "name", "kind", "line", "supers")
+
+
+@query(_expected([("Part{k}", "class", 2, ["Base{s}", "Runner"]), ("size", "field", 4, []), ("part_{k}", "method", 5, []), ("arrow_{k}", "function", 9, []), ("Kind{k}", "enum", 10, []), ("One", "variant", 10, []), ("Two", "variant", 10, []), ("Alias{k}", "type", 11, [])]))
+def symbol_table_typescript(spark, d):
+    """Template strings, a pattern literal with quotes, arrow functions, members."""
+    return symbols.symbols(_coded(spark, d, "typescript", "ts", SCRIPT)).select("file_id", "name", "kind", "line", "supers")
+
+
+@query(_expected([("Part{k}", "class", 5, ["Base{s}", "Mixin"]), ("size", "field", 10, []), ("part_{k}", "method", 11, []), ("seen", "field", 12, []), ("LIMIT_{k}", "constant", 15, []), ("name_{k}", "variable", 18, [])]))
+def symbol_table_python(spark, d):
+    """Bases over several lines, a docstring, class and instance attributes, module names."""
+    return symbols.symbols(_coded(spark, d, "python", "py", SHAPED)).select("file_id", "name", "kind", "line", "supers")
+
+
+@query("select p_partkey as file_id, 'base' as module, ['Base' || p_size::varchar, 'helper_' || (p_size % 7)::varchar] as names from part union all select p_partkey, 'crate::base', ['Base' || p_size::varchar] from part union all select p_partkey, 'crate::base::helper', ['run'] from part union all select p_partkey, 'base.Base' || p_size::varchar, cast([] as varchar[]) from part union all select p_partkey, './base', ['Base' || p_size::varchar] from part")
+def import_shapes(spark, d):
+    """Imports in brackets, use trees, packages and modules of four languages."""
+    every = [_coded(spark, d, lang, end, lines) for lang, end, lines in (("python", "py", SHAPED), ("rust", "rs", RUST), ("kotlin", "kt", KOTLIN), ("typescript", "ts", SCRIPT))]
+    out = [symbols.imports(f).select("file_id", "module", "names") for f in every]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query("select p_partkey as file_id, k.kind, k.n::bigint as n from part, (values ('string', 1), ('doc', 1)) k(kind, n)")
+def span_shapes(spark, d):
+    """Docstrings and strings that hold code."""
+    return symbols.spans(_coded(spark, d, "python", "py", SHAPED)).groupBy("file_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {PARTS} select path, 3 as line, 'def' as kind, true as prefer from parts where p_partkey = 19 union all select path, 2, 'comment', true from parts where p_partkey = 19 and false")
+def search_prefer_exact(spark, d):
+    """Where a whole word matches, matches inside longer names leave the answer."""
+    found = search.prefer_exact(search.hits(_code(spark, d), _search("Part19", fixed=True)))
+    return found.select("path", "line", "kind", F.col("exact").alias("prefer"))
+
+
+@query(f"with {PARTS} select path, 1 as depth, method_name as symbol, 'helper_3' as of from parts where call_name = 'helper_3'")
+def verb_callers_deep(spark, d):
+    """Callers, and callers of the first twelve of them (which nothing calls here)."""
+    t = _parts(spark, d)
+    return verbs.callers_two_deep(t["files"], "helper_3", t["spans"], t["symbols"], t).select("path", "depth", "symbol", "of")
+
+
+@query("select 0::bigint as n")
+def verb_impls_possible(spark, d):
+    """Lines that use a name as a type and are no known implementation: none, as every use is one."""
+    t = _parts(spark, d)
+    return verbs.possible_implementations(t["files"], "Base7", t["spans"], t["symbols"]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {PARTS} select path, 2::bigint as symbols, [class_name, method_name] as names from parts order by replace(path, '/', chr(1)) limit 50")
+def verb_map_files(spark, d):
+    """Files by rank and place with their first exported names."""
+    t = _parts(spark, d)
+    return verbs.map_files(t["files"], t["symbols"], t["files"].select("file_id", F.lit(1.0).alias("rank"))).select("path", "symbols", "names")
+
+
+@query(f"with {PARTS} select path, class_name as name, 2 as held from parts where class_name = 'Part42'")
+def find_best_definitions(spark, d):
+    """The definitions of found files that hold the most pieces of a question."""
+    t = _parts(spark, d)
+    found = t["files"].where("path like '%part_42.py'").select("file_id", "path")
+    best = find.best_definitions(found, t["symbols"], "Part42 part")
+    return best.where("name = 'Part42'").join(found, "file_id").select("path", "name", F.lit(2).alias("held"))
+
+
+@query(f"with {DOCS}, {LINES} select path, count(*)::bigint as total, count(*)::bigint as n_ident from lines where contains(line_text, 'tion') group by path")
+def search_by_file(spark, d):
+    """Matched lines of each file, by kind."""
+    return search.by_file(search.hits(_docs(spark, d), _search("tion", fixed=True))).select("path", "total", "n_ident")
+
+
+@query(f"with {DOCS}, {LINES} select count(*)::bigint as total, 10::bigint as shown, 'exact' as rung, 0 as exit from lines where contains(line_text, 'tion')")
+def search_outcome(spark, d):
+    """What was found, what is shown, and the exit code."""
+    found = search.hits(_docs(spark, d), _search("tion", fixed=True))
+    return search.outcome(found, search.ranked(found, 10), "exact")
+
+
+@query("select event_type, count(*)::bigint as runs, round(sum(value), 4) as total, round(count(*) / (select count(*) from events), 9) as share, count(*) filter (value > 90)::bigint as failed from events group by event_type")
+def usage_summary(spark, d):
+    out = usage.summarize(_events(spark, d), ["event_type"], "value", F.col("value") > 90)
+    return out.select("event_type", "runs", F.round("total", 4).alias("total"), F.round("share", 9).alias("share"), "failed")
+
+
+@query("select conv_id as session_id, turn as t from (select *, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn desc) as age from conversations) where n <= 4 or age <= 2")
+def session_compact(spark, d):
+    """A log past its limit keeps its newest half."""
+    return usage.compact(_sessions(spark, d).select("session_id", "t"), 4).select("session_id", "t")
+
+
+@query("select event_id from events where user_id <= 20 and starts_with(event_type, 'c')")
+def usage_chosen(spark, d):
+    """Events after a cut-off, of a session prefix."""
+    e = _events(spark, d).select("event_id", (-F.col("user_id")).alias("ts"), F.col("event_type").alias("session"))
+    return usage.chosen(e, since_ms=20, now_ms=0, session="c").select("event_id")
+
+
+@query("select p_partkey as id, 2 * p_partkey as version from part where p_partkey % 3 <> 0")
+def change_current_view(spark, d):
+    """The newest version of each path that is no deletion."""
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("path"))
+    old = p.withColumn("version", F.col("id")).withColumn("deleted", F.lit(False))
+    new = p.withColumn("version", 2 * F.col("id")).withColumn("deleted", F.col("id") % 3 == 0)
+    return changes.current_view(old.unionByName(new)).select("id", "version")
+
+
+@query("select p_partkey as file_id, 'class Fake' || p_partkey::varchar || ': pass' as doc from part")
+def symbol_documentation(spark, d):
+    """The first line of each docstring."""
+    f = _coded(spark, d, "python", "py", SHAPED)
+    facts = symbols.extract(f)
+    return symbols.documentation(f, symbols.part(facts, "symbols"), symbols.part(facts, "spans")).select("file_id", "doc")
+
+
+@query(f"with {PARTS} select p_partkey as file_id, 'case' as rung, class_name as name from parts where p_partkey = 42")
+def verb_def_ladder(spark, d):
+    """A name that differs in case finds its definition on a later rung."""
+    t = _parts(spark, d)
+    rung, found = verbs.find_definitions(t["files"], t["symbols"], "PART42")
+    return found.select("file_id", F.lit(rung).alias("rung"), "name")
+
+
+@query(SQL["verb_def"])
+def verb_def_scan(spark, d):
+    """Definitions without an index: only files that hold the name are read."""
+    return verbs.scan_definitions(_code(spark, d), "Part42").select("path", "line", "kind", F.round("score", 6).alias("score"))
+
+
+@query(f"with {PARTS} select path, method_name as symbol, 1::bigint as hits from parts where call_name = 'helper_2'")
+def report_outline(spark, d):
+    """Hits by the definition around them."""
+    t = _parts(spark, d)
+    found = search.hits(t["files"], _search("helper_2", fixed=True, whole_word=True), t, t["spans"], t["symbols"])
+    return report.layout(found, _search("helper_2"), "outline", t["symbols"])[1].select("path", F.col("name").alias("symbol"), "hits")
+
+
+@query("""select '{"type":"definition","path":"src/' || lower(replace(p_brand, '#', '_')) || '/part_42.py","line":3,"kind":"class","name":"Part42"}' as value from part where p_partkey = 42""")
+def verb_json(spark, d):
+    """A verb's answer as JSON records."""
+    t = _parts(spark, d)
+    return sinks.records(verbs.definitions(t["files"], t["symbols"], "Part42").select("path", "line", "kind", "name"), "definition")

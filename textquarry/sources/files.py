@@ -28,7 +28,7 @@ def text_extent(text: Column) -> Column:
 def describe(files: DataFrame) -> DataFrame:
     """Adds lang, size and flags to (file_id, path, text)."""
     sized = files.withColumn("lang", language(F.col("path"))).withColumn("size", F.octet_length("text").cast("long"))
-    return sized.withColumn("flags", path_flags(F.col("path"))).withColumn("content", content_flags(F.col("text"), F.col("size"))).withColumn("flags", F.struct(F.col("flags.test"), (F.col("flags.generated") | F.col("content.generated")).alias("generated"), F.col("flags.vendored"), (F.col("flags.minified") | F.col("content.minified")).alias("minified"), F.col("flags.lockfile"), F.col("content.binary").alias("binary"), F.col("content.huge").alias("huge"))).drop("content")
+    return sized.withColumn("flags", path_flags()).withColumn("content", content_flags(F.col("text"), F.col("size"))).withColumn("flags", F.struct(F.col("flags.test"), (F.col("flags.generated") | F.col("content.generated")).alias("generated"), F.col("flags.vendored"), (F.col("flags.minified") | F.col("content.minified")).alias("minified"), F.col("flags.lockfile"), F.col("content.binary").alias("binary"), F.col("content.huge").alias("huge"))).drop("content")
 
 
 def ignore_patterns(lines: list[str]) -> list[tuple[str, bool]]:

@@ -13,14 +13,24 @@ def json_records(found: DataFrame) -> DataFrame:
     return found.select(path_key(F.col("path")).alias("k"), "line", record.alias("value")).orderBy("k", "line").select("value")
 
 
-def event_records(found: DataFrame) -> DataFrame:
-    """begin, match and end records of each file, in path order, then a summary."""
+def records(rows: DataFrame, kind: str, order: list[str] | None = None) -> DataFrame:
+    """One JSON record of type ``kind`` for each row of a verb's answer."""
+    record = F.to_json(F.struct(F.lit(kind).alias("type"), *rows.columns))
+    out = rows.withColumn("value", record)
+    return (out.orderBy(*order) if order else out).select("value")
+
+
+def event_records(found: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """begin, match, context and end records of each file, in path order, then a summary. ``context`` as from search.with_context(): its lines that did not match."""
     match = found.select("path", F.lit(1).alias("part"), "line", F.to_json(F.struct(F.lit("match").alias("type"), F.struct("path", F.col("line").alias("line_number"), F.col("text").alias("lines"), "submatches").alias("data"))).alias("value"))
     per = found.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     begin = per.select("path", F.lit(0).alias("part"), F.lit(0).alias("line"), F.to_json(F.struct(F.lit("begin").alias("type"), F.struct("path").alias("data"))).alias("value"))
     end = per.select("path", F.lit(2).alias("part"), F.lit(0).alias("line"), F.to_json(F.struct(F.lit("end").alias("type"), F.struct("path", F.col("n").alias("matched_lines")).alias("data"))).alias("value"))
     total = per.agg(F.count(F.lit(1)).alias("searches_with_match"), F.coalesce(F.sum("n"), F.lit(0)).alias("matched_lines"))
     last = total.select(F.lit(None).cast("string").alias("path"), F.lit(3).alias("part"), F.lit(0).alias("line"), F.to_json(F.struct(F.lit("summary").alias("type"), F.struct("searches_with_match", "matched_lines").alias("data"))).alias("value"))
+    if context is not None:
+        near = F.to_json(F.struct(F.lit("context").alias("type"), F.struct("path", F.col("line").alias("line_number"), F.col("text").alias("lines")).alias("data")))
+        match = match.unionByName(context.where("not matched").select("path", F.lit(1).alias("part"), "line", near.alias("value")))
     return begin.unionByName(match).unionByName(end).unionByName(last).orderBy(path_key(F.col("path")).asc_nulls_last(), "part", "line").select("value")
 
 
