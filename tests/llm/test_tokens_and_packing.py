@@ -16,21 +16,41 @@ ODD = ["", " ", "  ", "a  b", "a   b", "a \n b", " a", "a ", "a  ", "\n\n x", "a
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@pytest.fixture(scope="module", params=[("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def library(name, special_ids=False):
+    """The library's own tokenizer, loaded anew, as the vocabularies' description uses it (or as it is loaded)."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path(name))
+    if not special_ids:
+        tok.encode_special_tokens = True
+    return tok
+
+
+@pytest.fixture(scope="module", params=[("word_bpe_49k.json", False, False), ("byte_bpe_50k.json", True, False), ("word_bpe_49k.json", False, True), ("byte_bpe_50k.json", True, True)])
 def enc(request):
-    return Encoder(tokenizer_path(request.param[0]), request.param[1], remember=50)
+    name, keeps, special = request.param
+    return Encoder(tokenizer_path(name), keeps, remember=50, special_ids=special), library(name, special)
+
+
+def agree(enc, texts):
+    ids, at = enc[0].encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in enc[1].encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 @settings(max_examples=150, deadline=None)
-@given(texts=st.lists(st.text(alphabet="abAB é'.,!$ \n\t ́Σ1", max_size=25), min_size=1, max_size=6))
+@given(texts=st.lists(st.text(alphabet="abAB é'.,!$ \n\t ́Σ1", max_size=25), min_size=1, max_size=6))
 def test_encoder_equals_library(enc, texts):
-    ids, at = enc.encode(pa.array(texts))
-    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    agree(enc, texts)
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.lists(st.one_of(st.text(st.characters(exclude_categories=["Cs"]), max_size=6), st.sampled_from([" ", "#", ".", "İ", "ǰ", "ẞ", "ŉ", "ﬁ", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "'s", "'S"])), max_size=8).map("".join), min_size=1, max_size=4))
+def test_encoder_equals_library_on_all_of_unicode(enc, texts):
+    agree(enc, texts)
 
 
 def test_encoder_on_odd_texts(enc):
-    ids, at = enc.encode(pa.array([*ODD, None]))
-    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in enc.tok.encode_batch([*ODD, ""], add_special_tokens=False)]
+    agree(enc, [*ODD, None, "İ# İ. Iİ! ŉ. ǰ, İİ", "a<|endoftext|>.b <|startoftext|>", "<|ENDOFTEXT|>. x"])
     assert list(slices(pa.array(["aa", None, "b" * 9, "c"]), 3)) == [(0, 2), (2, 3), (3, 4)]
 
 
@@ -47,13 +67,13 @@ def test_bits_round_trip(bits, values, data):
 def rows():
     rng = random.Random(3)
     out = [(k, " ".join(rng.choices(["alpha", "Beta,", "γάμμα", "x1", "--"], k=rng.randint(0, 900))), "en", "s", 0) for k in range(30)]
-    return [*out, (7, "repeated id", "en", "s", 0), (None, "no id", None, None, None), (40, None, None, None, None), (41, "w " * 4000, "en", "s", 0), (41, "w " * 4000, "en", "s", 0)]
+    return [*out, (7, "repeated id", "en", "s", 0), (None, "no id", None, None, None), (40, None, None, None, None), (41, "w " * 4000, "en", "s", 0), (41, "w " * 4000, "en", "s", 0), (42, "İSTANBUL'DA İ. İ# <|endoftext|> <|startoftext|>.", "en", "s", 0)]
 
 
 def test_op1(spark, table):
     d = table("documents", rows(), DOCS)
     got = queries.op1_token_output(spark, d).collect()
-    tok = Encoder(tokenizer_path("word_bpe_49k.json"), False).tok
+    tok = library("word_bpe_49k.json")
     digest = lambda t: (len(ids := [*tok.encode(t or "", add_special_tokens=False).ids, 1]), zlib.crc32(np.array(ids, "<u4").tobytes()))
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((r[0] is not None, r[0] or 0, *digest(r[1])) for r in rows())
     at = 0
@@ -69,7 +89,7 @@ def test_random_access(spark, table, tmp_path):
     path = str(tmp_path / "tokens")
     token_output.write_tokens(spark.read.parquet(f"{d}/documents.parquet"), path, block_ids=500)
     got = {r["doc_id"]: r["ids"] for r in token_output.read_documents(spark, path, [3, 41, 999]).collect()}
-    tok = Encoder(tokenizer_path("word_bpe_49k.json"), False).tok
+    tok = library("word_bpe_49k.json")
     assert got == {3: [*tok.encode(rows()[3][1], add_special_tokens=False).ids, 1], 41: [*tok.encode("w " * 4000, add_special_tokens=False).ids, 1]}
 
 
@@ -94,7 +114,7 @@ def test_best_fit_is_tightest(lengths):
 def test_op8(spark, table):
     d = table("documents", rows(), DOCS)
     got = queries.op8_packing(spark, d).collect()
-    tok = Encoder(tokenizer_path("byte_bpe_50k.json"), True).tok
+    tok = library("byte_bpe_50k.json")
     want = []
     for k, text, *_ in rows():
         ids = [*tok.encode(text or "", add_special_tokens=False).ids, 0]

@@ -36,15 +36,19 @@ MARKS = ".,;:!?*&%$#)(-\""
 class Encoder:
     """Encodes Arrow string arrays to ids. ``keeps_spaces``: spaces belong to the words they precede.
 
+    The strings of special tokens in a text are ordinary text, as the vocabularies' own description sets it
+    (``encode_special_tokens``); with ``special_ids`` they get the special ids instead.
     ``remember`` words are kept in each of two generations; a word that is met again moves to the younger one.
     """
 
-    def __init__(self, path: str, keeps_spaces: bool, remember: int = 250_000):
+    def __init__(self, path: str, keeps_spaces: bool, remember: int = 250_000, special_ids: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # the strings of special tokens are ordinary text
+        self.tok.encode_special_tokens = not special_ids
+        #: Texts with one of these are encoded whole: a special string may hold white space, and the case of its letters counts.
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()] if special_ids else []
         self.model = self.tok.model
         self.keeps_spaces, self.remember = keeps_spaces, remember
         self.young: dict[str, bytes] = {}
@@ -74,7 +78,8 @@ class Encoder:
                 spelled = self.space + spelled
             return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         base = word.rstrip(MARKS)
-        if len(base) < len(word) and base and base[-1].isalpha():
+        # only behind a Latin-1 letter: others may end in a mark of their own when their case is folded
+        if len(base) < len(word) and base and base[-1] <= "\xff" and base[-1].isalpha():
             return self._known(base) + self._known(word[len(base) :])
         return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
 
@@ -99,6 +104,8 @@ class Encoder:
         """Ids of all texts in a row, and where each text's ids begin (one more entry than texts). A null is empty."""
         texts = pc.fill_null(texts, "")
         whole = np.asarray(pc.match_substring_regex(texts, RUN)) if self.keeps_spaces else np.zeros(len(texts), bool)
+        for name in self.special:
+            whole = whole | np.asarray(pc.match_substring(texts, name, ignore_case=True))
         if whole.any():
             direct = iter([np.array(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)])
             ids, starts = self._fast(texts.filter(pa.array(~whole)))
@@ -136,7 +143,7 @@ class Encoder:
         return flat[where], np.concatenate([[0], ends])[bounds].astype(np.int64)
 
 
-def slices(texts: pa.Array, most_bytes: int = 4 << 20):
+def slices(texts: pa.Array, most_bytes: int = 6 << 20):
     """(from, to) row ranges of at most ``most_bytes`` of text each, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     at = 0
