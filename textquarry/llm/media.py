@@ -13,9 +13,11 @@ for the documents that have any; it is broadcast while its measured size allows
 Reading joins shared chunks to the lists that name them, rebuilds each file, and fails
 unless its SHA-256 is the recorded one.
 
-Edge cases: null and empty texts are 64 zero bytes; rows that repeat a doc_id or a text are
-stored as rows of their own, with shared chunks; an empty table gives an empty store. Only the two named
-columns are read.
+Rows that are equal are stored once, with their number; other rows with a repeated doc_id or text are rows of their own,
+with shared chunks. A digest that very many documents hold is dealt to several tasks on both ways.
+
+Edge cases: null and empty texts are 64 zero bytes; an empty table gives an empty store; a very long text is one file, and
+batches are worked on in slices of ``SLICE`` bytes. Only the two named columns are read.
 """
 
 import hashlib
@@ -24,18 +26,22 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.memory import frugal
 from textquarry.llm.storage import materialise, new_path
+from textquarry.llm.tokens import runs, slices
 
 HEADER = 44
 RATE = 8000
 #: Least and most bytes of a chunk, and how many top bits of the hash are clear at a cut.
 LEAST, MOST, BITS = 512, 16384, 12
 GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
-STORE = "key long, doc_id long, n_bytes long, media_sha256 binary, digests array<binary>, lengths array<int>, shared array<int>, data binary"
+STORE = "key long, doc_id long, times long, n_bytes long, media_sha256 binary, digests array<binary>, lengths array<int>, shared array<int>, holders array<long>, data binary"
+#: Bytes of texts or files that are worked on at once, lanes of the first join on digests, and how many holders of a chunk fetch it in one task.
+SLICE, LANES, HOLDERS = 8 << 20, 8, 4096
 
 
 def wave(payload: bytes) -> bytes:
@@ -90,36 +96,43 @@ def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def digest(batches):
         for batch in batches:
-            key, lists = [], []
-            for k, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                key.append(k)
-                lists.append([hashlib.sha256(c).digest() for c in chunks(wave(payload_of(text)[1]))])
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(lists, pa.list_(pa.binary()))], ["key", "digests"])
-
-    named = rows.select("key", "text").mapInArrow(frugal(digest), "key long, digests array<binary>")
-    named = materialise(named.select("key", F.posexplode("digests").alias("number", "digest")), "digests")
+            for a, b in slices(batch.column("text"), SLICE):
+                part = batch.slice(a, b - a)
+                lists = [[hashlib.sha256(c).digest() for c in chunks(wave(payload_of(text)[1]))] for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(lists, pa.list_(pa.binary()))], ["key", "digests"])
+
+    read = rows.select("key", "text").mapInArrow(frugal(digest), "key long, digests array<binary>")
+    # equal rows have one key: they count once
+    read = materialise(read.groupBy("key").agg(F.any_value("digests").alias("digests"), F.count(F.lit(1)).alias("times")), "digests")
+    named = read.select("key", F.posexplode("digests").alias("number", "digest"))
     # the first copy of a digest (least key and number) keeps its bytes as a chunk row
-    owner = named.groupBy("digest").agg(F.min(F.struct("key", "number")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    roles = named.join(owner, "digest").select("key", "number", ((F.col("key") == F.col("owner.key")) & (F.col("number") == F.col("owner.number"))).alias("first"))
-    roles = roles.groupBy("key").agg(F.collect_set("number").alias("shared"), F.array_compact(F.collect_set(F.when(F.col("first"), F.col("number")))).alias("firsts"))
-    roles = materialise(roles.withColumnRenamed("key", "key_"), "roles")
+    owner = named.groupBy("digest").agg(F.min(F.struct("key", "number")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    owner = materialise(owner, "owners").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    roles = named.withColumn("lane", F.pmod(F.xxhash64("key", "number"), F.lit(LANES)).cast("int")).join(owner, ["digest", "lane"])
+    roles = roles.select("key", F.struct("number", "n", ((F.col("key") == F.col("owner.key")) & (F.col("number") == F.col("owner.number"))).alias("first")).alias("role"))
+    roles = roles.groupBy("key").agg(F.sort_array(F.collect_list("role")).alias("roles"))
+    roles = materialise(roles.join(read.where("times > 1").select("key", "times"), "key", "full").withColumnRenamed("key", "key_"), "roles")
     if roles.count() <= broadcast_rows:
         roles = F.broadcast(roles)
-    none = F.array().cast("array<int>")
-    given = rows.join(roles, rows["key"] == roles["key_"], "left").select("key", "doc_id", "text", F.coalesce("shared", none).alias("shared"), F.coalesce("firsts", none).alias("firsts"))
-    schema = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_sha256", pa.binary()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32())), ("data", pa.binary())])
+    none = F.expr("cast(array() as array<struct<number: int, n: bigint, first: boolean>>)")
+    given = rows.join(roles, rows["key"] == roles["key_"], "left").select("key", "doc_id", "text", F.coalesce("roles", none).alias("roles"), F.coalesce("times", F.lit(1)).alias("times"))
+    again = given.where("times > 1").groupBy("key", "times").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("text").alias("text"), F.any_value("roles").alias("roles"))
+    given = given.where("times = 1").unionByName(again)
+    schema = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("doc_id", pa.int64()), ("times", pa.int64()), ("n_bytes", pa.int64()), ("media_sha256", pa.binary()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("shared", pa.list_(pa.int32())), ("holders", pa.list_(pa.int64())), ("data", pa.binary())])
 
     def store(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
+            for a, b in slices(batch.column("text"), SLICE):
                 out = []
-                for r in batch.slice(at, 500).to_pylist():
+                for r in batch.slice(a, b - a).to_pylist():
                     n, payload = payload_of(r["text"])
                     media = wave(payload)
-                    parts, shared = chunks(media), set(r["shared"])
+                    parts, roles = chunks(media), r["roles"]
+                    shared = {x["number"] for x in roles}
                     digests = [hashlib.sha256(c).digest() for c in parts]
-                    out.append({"kind": "media", "key": r["key"], "doc_id": r["doc_id"], "n_bytes": n, "media_sha256": hashlib.sha256(media).digest(), "digests": digests, "lengths": [len(c) for c in parts], "shared": sorted(shared), "data": b"".join(c for k, c in enumerate(parts) if k not in shared)})
-                    out += [{"kind": "chunk", "key": r["key"], "digests": [digests[k]], "data": parts[k]} for k in r["firsts"]]
+                    own = b"".join(c for k, c in enumerate(parts) if k not in shared)
+                    out.append({"kind": "media", "key": r["key"], "doc_id": r["doc_id"], "times": r["times"], "n_bytes": n, "media_sha256": hashlib.sha256(media).digest(), "digests": digests, "lengths": [len(c) for c in parts], "shared": [x["number"] for x in roles], "holders": [x["n"] for x in roles], "data": own})
+                    out += [{"kind": "chunk", "key": r["key"], "digests": [digests[x["number"]]], "holders": [x["n"]], "data": parts[x["number"]]} for x in roles if x["first"]]
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     given.mapInArrow(frugal(store), "kind string, " + STORE).write.partitionBy("kind").option("compression", "zstd").parquet(path)
@@ -131,17 +144,21 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
     media = stored.where("kind = 'media'").drop("kind")
     alone = media.where("size(shared) = 0").withColumn("fetched", F.lit(None).cast("array<struct<number: int, data: binary>>"))
     mixed = media.where("size(shared) > 0")
-    # (key, number) names a chunk's place; rows that repeat a key hold the same text, so one list serves them all
-    wanted = mixed.select("key", F.explode("shared").alias("number"), "digests").select("key", "number", F.element_at("digests", F.col("number") + 1).alias("digest")).distinct()
-    kept = stored.where("kind = 'chunk'").select(F.element_at("digests", 1).alias("digest"), F.col("data").alias("bytes"))
-    got = wanted.join(kept, "digest").groupBy("key").agg(F.collect_list(F.struct("number", F.col("bytes").alias("data"))).alias("fetched"))
+    # (key, number) names a chunk's place; a chunk of many holders is fetched in as many lanes as they need
+    lanes = F.ceil(F.col("holders") / HOLDERS)
+    wanted = mixed.select("key", "digests", F.explode(F.arrays_zip("shared", "holders")).alias("x")).select("key", F.col("x.shared").alias("number"), F.element_at("digests", F.col("x.shared") + 1).alias("digest"), F.col("x.holders").alias("holders"))
+    wanted = wanted.withColumn("lane", F.pmod(F.xxhash64("key", "number"), lanes)).drop("holders")
+    kept = stored.where("kind = 'chunk'").select(F.element_at("digests", 1).alias("digest"), F.col("data").alias("bytes"), F.element_at("holders", 1).alias("holders"))
+    kept = kept.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), lanes - 1))).drop("holders")
+    got = wanted.join(kept, ["digest", "lane"]).groupBy("key").agg(F.collect_list(F.struct("number", F.col("bytes").alias("data"))).alias("fetched"))
     whole = alone.unionByName(mixed.join(got, "key"))
 
     def rebuild(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
+            sizes = pc.add(batch.column("n_bytes"), 256)
+            for a, b in runs(np.asarray(sizes), SLICE):
                 out = []
-                for r in batch.slice(start, 500).to_pylist():
+                for r in batch.slice(a, b - a).to_pylist():
                     found, at, parts = {f["number"]: f["data"] for f in r["fetched"] or ()}, 0, []
                     for k, n in enumerate(r["lengths"]):
                         if k in found:
@@ -152,10 +169,18 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
                     file = b"".join(parts)
                     if hashlib.sha256(file).digest() != r["media_sha256"]:
                         raise ValueError(f"document {r['doc_id']}: the rebuilt file differs from the stored one")
-                    out.append({"doc_id": r["doc_id"], "n_bytes": r["n_bytes"], "media_sha256": r["media_sha256"], "media": file})
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_sha256", pa.binary()), ("media", pa.binary())]))
+                    row = {"doc_id": r["doc_id"], "n_bytes": r["n_bytes"], "media_sha256": r["media_sha256"], "media": file}
+                    for _ in range(r["times"]):  # equal rows, a slice's bytes at a time
+                        out.append(row)
+                        if len(out) * len(file) > SLICE:
+                            yield pa.RecordBatch.from_pylist(out, FILES)
+                            out = []
+                yield pa.RecordBatch.from_pylist(out, FILES)
+
+    return whole.select("doc_id", "times", "n_bytes", "media_sha256", "lengths", "data", "fetched").mapInArrow(frugal(rebuild), "doc_id long, n_bytes long, media_sha256 binary, media binary")
+
 
-    return whole.select("doc_id", "n_bytes", "media_sha256", "lengths", "data", "fetched").mapInArrow(frugal(rebuild), "doc_id long, n_bytes long, media_sha256 binary, media binary")
+FILES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_sha256", pa.binary()), ("media", pa.binary())])
 
 
 def features(media: DataFrame) -> DataFrame:

@@ -143,16 +143,20 @@ class Encoder:
         return flat[where], np.concatenate([[0], ends])[bounds].astype(np.int64)
 
 
-def slices(texts: pa.Array, most_bytes: int = 6 << 20):
-    """(from, to) row ranges of at most ``most_bytes`` of text each, one row at least."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+def runs(sizes: np.ndarray, most: int):
+    """(from, to) ranges of rows whose sizes add up to at most ``most``, one row at least."""
     at = 0
     while at < len(sizes):
-        to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most_bytes, side="right")))
+        to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")))
         yield at, to
         at = to
 
 
+def slices(texts: pa.Array, most_bytes: int = 6 << 20):
+    """(from, to) row ranges of at most ``most_bytes`` of text each, one row at least."""
+    return runs(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64), most_bytes)
+
+
 @lru_cache(maxsize=2)
 def _encoder(name: str, keeps_spaces: bool) -> Encoder:
     return Encoder(tokenizer_path(name), keeps_spaces)
