@@ -138,6 +138,25 @@ def test_op5_against_brute_force(spark, how):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+@pytest.mark.parametrize("size", [500, 2000, 6000])
+def test_op5_counts_select_what_is_verified(spark, size):
+    rng = np.random.default_rng(size)
+    x = rng.standard_normal((size, 64))
+    for k in range(0, size // 2, 2):  # pairs around the threshold and above
+        x[k + 1] = x[k] + rng.standard_normal(64) * rng.choice([0.1, 0.3, 0.38])
+    df = spark.createDataFrame([(k, v.tolist(), 7) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r["n_links"] for r in embed.near_vectors(df).collect()}
+    links = np.array([got[k] for k in range(size)])
+    assert (links <= near.sum(1)).all() and links.sum() >= 0.95 * near.sum() > 0
+    done = embed.pair_counts(df)
+    every = size * (size - 1) // 2
+    assert near.sum() // 2 * 0.95 <= done["verified"] <= done["counted"]
+    assert size < 2000 or done["verified"] < every / (10 if size == 2000 else 40)
+
+
 def test_op5_edges(spark, table):
     one, far = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
     bad = [None, [], [0.0, 0.0, 0.0], [1.0, None, 0.0], [1.0, float("nan"), 0.0], [float("inf"), 0.0, 0.0]]

@@ -1,19 +1,18 @@
 """Embedding near-duplicates by collision-counting projections.
 
-Every vector is projected on many random directions, one dimension each. The
-projections of a label are sorted, and only the windows at both ends of a
-projection are kept: in the crowded middle a collision says little. A window's tail share is set by
-the label's size, so that a window holds about ``window_rows`` vectors however many
-there are, and the number of projections follows from it. The share has a floor, ``least_share``, so
-that a vector's work is bounded too: in labels beyond some hundred thousand rows windows grow, and are compared in blocks. Two vectors collide on a
-projection when both lie in the same end window and each lies in the window of
-``reach`` deviations centred on the other. A pair with at least ``count`` collisions is
-verified by its cosine in double precision. Projections are as many as make a
-pair exactly at the threshold reach that count with probability ``recall``
-(collisions are taken as independent; measured in tests).
-
-A pair is verified once: in the first end window in which it collides. A window emits
-how many links each of its vectors has there and a spanning forest of them, never its pairs.
+Every vector is projected on many random directions, one dimension each, and the projections of a label are sorted.
+Two vectors collide on a projection when one lies in the window centred on the other, ``reach`` deviations of a pair
+at the threshold wide on both sides. Windows are laid in both ends of a sorted projection alone: in its crowded middle a collision says little
+and every window holds a fixed share of all vectors. An end's share is set by the label's size, so that it holds
+about ``window_rows`` vectors however many there are, and the number of projections follows from it. The share has a floor, ``least_share``, so
+that a vector's work is bounded too: in labels beyond some hundred thousand rows ends grow, and are compared in blocks.
+
+Collisions are counted per pair over all projections; a pair that reaches ``count`` is verified by its cosine in double
+precision, and no other pair is. Projections are as many as make a pair exactly at the threshold reach that count with
+probability ``recall`` (collisions are taken as independent; measured in tests).
+
+A pair is counted once: in the first end in which it collides. An end emits how many links each of its vectors has
+there and a spanning forest of them, never its pairs, and how many pairs it counted and verified.
 Windows beyond ``block`` rows (copies that project alike) are split into block pairs,
 so a task's memory does not depend on a label's or a group's size.
 
@@ -65,11 +64,10 @@ def directions(dims: int, many: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dims]).standard_normal((many, dims)).T
 
 
-def near_vectors(
+def _links(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, window_rows: int = 96, count: int = 2, recall: float = 0.99, reach: float = 3.0, block: int = 1024, least_share: float = 2**-12, seed: int = 11
-) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): (a, null, links) counts the links of a row in one end, (a, b) is a link of a spanning forest, (null, null, counted, verified) says what an end compared."""
     kind = vectors.schema[vector_col].dataType.simpleString()
     kind, number = ("array<float>", np.dtype("<f4")) if kind == "array<float>" else ("array<double>", np.dtype("<f8"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"), F.col(label_col).alias("label"))
@@ -121,47 +119,40 @@ def near_vectors(
             bound, many = calibrate(size, cosine, window_rows, count, recall, reach, least_share)
             towards = directions(unit.shape[1], many, seed)
             own_p = unit @ towards[:, end // 2]
-            order = np.argsort(own_p, kind="stable")
+            order = np.argsort(own_p, kind="stable")  # this projection, sorted
             unit, own_p, row, i, own = unit[order], own_p[order], cell["row"][order], cell["i"][order], cell["own"][order]
             n = len(row)
-            shared = np.zeros((n, n), np.float32)  # end windows that two vectors share
-            for first in range(0, many, CHUNK):
-                p = unit @ towards[:, first : first + CHUNK]
-                inside = np.concatenate([p > bound, p < -bound], axis=1).astype(np.float32)
-                shared += inside @ inside.T
-            maybe = shared >= count
-            # the window centred on each vector, in the order of this projection
-            to = np.searchsorted(own_p, own_p + reach * spread, side="right")
-            place = np.arange(n)
-            maybe &= (place[None, :] > place[:, None]) & (place[None, :] < to[:, None])
-            if not own.all():  # two blocks: only pairs across them
-                maybe &= i[:, None] != i[None, :]
-            # what every condition must hold for is tested by the cheapest first: the cosine before the centred windows of the other projections
-            maybe &= unit @ unit.T >= cosine - 1e-9
-            near = np.zeros((n, n), bool)
-            u, w = np.nonzero(maybe)
-            hits, where = np.zeros(len(u), np.int32), np.full(len(u), -1, np.int32)
-            for first in range(0, many, CHUNK):
-                p = unit @ towards[:, first : first + CHUNK]
-                sign = (p > bound).astype(np.int8) - (p < -bound)
-                for s in range(0, len(u), 10_000):
-                    x, y = u[s : s + 10_000], w[s : s + 10_000]
-                    hit = (sign[x] != 0) & (sign[x] == sign[y]) & (np.abs(p[x] - p[y]) <= reach * spread)
-                    hits[s : s + 10_000] += hit.sum(1, dtype=np.int32)
+            # the window of each query: what follows it in the sorted projection, up to its reach (what precedes has it in its own window)
+            first, last = np.arange(n) + 1, np.searchsorted(own_p, own_p + reach * spread, side="right")
+            p = unit @ towards
+            side = (p > bound).astype(np.int8) - (p < -bound)
+            p = p.astype(np.float32)
+            ends = np.concatenate([side > 0, side < 0], axis=1).astype(np.float32)
+            shared = ends @ ends.T  # ends that two vectors share: no pair collides more often
+            near, counted, verified = np.zeros((n, n), bool), 0, 0
+            for q in range(0, n, 256):
+                inside = (np.arange(n)[None, :] >= first[q : q + 256, None]) & (np.arange(n)[None, :] < last[q : q + 256, None]) & (shared[q : q + 256] >= count)
+                if not own.all():  # two blocks: only pairs across them
+                    inside &= i[q : q + 256, None] != i[None, :]
+                u, w = np.nonzero(inside)
+                u += q
+                counted += len(u)
+                for s in range(0, len(u), 4096):
+                    x, y = u[s : s + 4096], w[s : s + 4096]
+                    hit = (side[x] != 0) & (side[x] == side[y]) & (np.abs(p[x] - p[y]) <= reach * spread + 1e-5)
                     at = hit.argmax(1)
-                    new = (where[s : s + 10_000] < 0) & hit[np.arange(len(x)), at]
-                    where[s : s + 10_000] = np.where(new, 2 * (at + first) + (sign[x, at] < 0), where[s : s + 10_000])
-            good = (hits >= count) & (where == end)
-            u, w = u[good], w[good]
-            good = np.einsum("ij,ij->i", unit[u], unit[w]) >= cosine
-            near[u[good], w[good]] = near[w[good], u[good]] = True
+                    good = (hit.sum(1) >= count) & (2 * at + (side[x, at] < 0) == end)
+                    x, y = x[good], y[good]
+                    verified += len(x)
+                    good = np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine
+                    near[x[good], y[good]] = near[y[good], x[good]] = True
             degree = near.sum(1)
             some = np.flatnonzero(degree)
             edges = forest(row, near)
-            return [*zip(row[some].tolist(), [None] * len(some), degree[some].tolist(), strict=True), *((a, b, 0) for a, b in edges)]
+            return [(None, None, counted, verified), *zip(row[some].tolist(), [None] * len(some), degree[some].tolist(), [0] * len(some), strict=True), *((a, b, 0, 0) for a, b in edges)]
 
         def out(found):
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["a", "b", "links"])
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], ["a", "b", "links", "verified"])
 
         names, kept, cells = ("n", "end", "row", "i", "own"), [], None
         for batch in batches:  # sorted by cell: the last cell of a batch may go on in the next
@@ -187,9 +178,20 @@ def near_vectors(
                 found += of({c: whole[c][a:b] for c in names} | {"v": v[a:b]})
         return found
 
-    links = held.repartition("cell").sortWithinPartitions("cell").select("cell", "n", "end", "row", "i", "own", "v").mapInArrow(frugal(verify), "a long, b long, links long")
-    links = materialise(links, "links")
-    number = links.where("b is null").groupBy(F.col("a").alias("row")).agg(F.sum("links").alias("n_links"))
+    links = held.repartition("cell").sortWithinPartitions("cell").select("cell", "n", "end", "row", "i", "own", "v").mapInArrow(frugal(verify), "a long, b long, links long, verified long")
+    return rows, materialise(links, "links")
+
+
+def pair_counts(vectors: DataFrame, **how) -> dict[str, int]:
+    """How many pairs were counted (they share ends and a window often enough to be) and how many reached the count and were verified."""
+    _, links = _links(vectors, **how)
+    return links.where("a is null").agg(F.coalesce(F.sum("links"), F.lit(0)).alias("counted"), F.coalesce(F.sum("verified"), F.lit(0)).alias("verified")).first().asDict()
+
+
+def near_vectors(vectors: DataFrame, **how) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept. ``how``: the parameters of _links()."""
+    rows, links = _links(vectors, **how)
+    number = links.where("a is not null and b is null").groupBy(F.col("a").alias("row")).agg(F.sum("links").alias("n_links"))
     # rows that repeat a vec_id share a component
     twice = rows.where("vec_id is not null").groupBy("vec_id").agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
     same = rows.join(twice, "vec_id").where("row <> b").select(F.col("row").alias("a"), "b")
