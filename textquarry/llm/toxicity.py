@@ -8,12 +8,13 @@ by length; exception phrases ("trash can") take back what their words add.
 The lexicon is a short fixed list of insults with a default weight, and what
 labelled rows teach: word beginnings of 4 to 7 letters and whole words with their log
 odds between toxic and clean documents. Fitting uses at most ``sample`` labelled rows
-(the first by a hash of their id), and keeps at most ``entries`` of them, so the model is
+(the first by a hash of their id, one text of each id), and keeps at most ``entries`` of them, so the model is
 small and is the only thing that is sent to the executors. Scoring covers every whole text.
 
 Edge cases: null and empty texts score as a text without any match; unlabelled or null labels are not
 learned from, an id with several labels counts as toxic if any is; without labels (or with one class only) the fixed
-list scores with default coefficients; repeated rows score alike; an empty table gives no rows.
+list scores with default coefficients; repeated rows score alike; an empty table gives no rows; a very long text is
+folded and matched in one pass, in memory of a few times its size, and its matches count less by the root of its words.
 Only the text is an input of a score.
 """
 
@@ -76,7 +77,7 @@ def _machine(lexicon: tuple[tuple[str, float], ...]):
 
 
 def _chosen(rows: list, bad: int, good: int, least: int, margin: float) -> dict[str, float]:
-    """Entries with at least ``margin`` log odds; a longer one only if it says clearly more than the shorter one it begins with."""
+    """Entries with at least ``margin`` log odds, the shortest first; one that begins with a chosen entry is left out, as that one matches with it."""
     odds = {r["entry"]: math.log((r["bad"] + 0.5) / (bad + 1)) - math.log((r["good"] + 0.5) / (good + 1)) for r in rows if r["bad"] >= least}
     out: dict[str, float] = {}
     for entry in sorted((e for e, w in odds.items() if w >= margin), key=lambda e: (len(e), e)):
@@ -86,6 +87,13 @@ def _chosen(rows: list, bad: int, good: int, least: int, margin: float) -> dict[
     return out
 
 
+def excepted(lexicon: dict[str, float]) -> dict[str, float]:
+    """The exception phrases with what takes back every entry that matches inside them, as often as it does."""
+    machine = _machine(tuple(sorted(lexicon.items())))
+    inside = {f" {p} ": sum(w for _, w in machine.iter(f" {p} ")) for p in EXCEPTIONS}
+    return {phrase: -total for phrase, total in inside.items() if total}
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Ridge logistic regression by Newton's method, in a fixed number of steps."""
     a = np.column_stack([np.ones(len(x)), x])
@@ -101,7 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model: {"lexicon": ((entry, weight), ...), "beta": [bias, sum, normalised sum]}, from rows that are not held out."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("bad"))
     marked = marked.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(marked), "id").select("id", "text", "bad")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(marked), "id")
+    # one text of an id, so that the bound on labelled ids bounds the rows too
+    rows = rows.groupBy("id", "bad").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "bad")
 
     def count(batches):
         seen: dict[str, list[int]] = {}
@@ -127,10 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
         best = table.where((F.col("bad") >= least) & (odds >= margin)).orderBy(odds.desc(), "entry").limit(entries).collect()
         lexicon |= _chosen(best, bad, good, least, margin)
-    for phrase in EXCEPTIONS:
-        part = next((e for e in sorted(lexicon, key=len) if f" {phrase}".find(e) >= 0), None)
-        if part:
-            lexicon[f" {phrase} "] = -lexicon[part]
+    lexicon |= excepted(lexicon)
     model = {"lexicon": tuple(sorted(lexicon.items())), "beta": beta}
     if bad and good:
         entries_now = model["lexicon"]
