@@ -77,11 +77,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Sources in code point order, null last, take ``weights`` in turn, repeating. The mix is as large as all sizes.
     """
+    rows, chosen, cut, _ = _planned(docs, id_col, text_col, source_col, weights, cap, docs_per_block, blocks_per_shard, cut_last, seed)
+    out = rows.select("doc_id", "source", "text_key", "size", "h", "s", "source_size", "target", "block").join(chosen, ["s", "block"])
+    out = out.where("not cut").withColumn("some", F.when(F.col("part") > 0, F.col("size")).otherwise(F.lit(0))).unionByName(cut)
+    out = out.withColumn("draws", _draws(seed))
+    return out.select("doc_id", "source", "text_key", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"), "draws")
+
+
+def _size(text_col: str):
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _block():
+    """A document's block: its place by hash among the blocks of its source."""
+    unit = F.pmod(F.shiftrightunsigned("h", 11), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return F.least(F.floor(unit * F.col("blocks")), F.col("blocks") - 1)
+
+
+def _draws(seed: int):
+    """A document's copies from its block's (``copies``), the words of the partial pass (``some``) and its own hash and size."""
+    place = lambda c: F.xxhash64(F.lit(seed), F.col("h"), c["shard"], c["full"])
+    none = F.expr("cast(array() as array<struct<shard: bigint, full: boolean>>)")
+    each = F.transform(F.coalesce("copies", none), lambda c: F.struct(c["shard"].alias("shard"), place(c).alias("place"), F.when(c["full"], F.col("size")).otherwise(F.col("some")).alias("words")))
+    return F.filter(each, lambda d: (d["words"] > 0) | (F.col("size") == 0))
+
+
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, cap: float, docs_per_block: int, blocks_per_shard: int, cut_last: bool, seed: int):
+    """(rows without texts with their source's plan and block, chosen blocks with their copies, rows of cut blocks with ``some``, the sources' plans)."""
     narrow = materialise(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            _size(text_col).alias("size"),
             F.xxhash64(text_col).alias("text_key"),
         ).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source")),
         "sizes",
@@ -97,9 +124,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         plan.append((k, r["source"], r["words"], t, passes, whole - passes * r["words"], max(1, -(-r["n"] // docs_per_block))))
     plans = spark.createDataFrame(plan, "s int, source string, source_size long, target double, passes long, rest long, blocks long")
     small = F.broadcast if len(plan) <= 10_000 else lambda df: df
-    unit = F.pmod(F.shiftrightunsigned("h", 11), F.lit(1 << 53)) / F.lit(float(1 << 53))
     rows = narrow.join(small(plans), narrow["source"].eqNullSafe(plans["source"])).drop(plans["source"])
-    rows = rows.withColumn("block", F.least(F.floor(unit * F.col("blocks")), F.col("blocks") - 1))
+    rows = rows.withColumn("block", _block())
 
     # running words over a source's blocks, in two levels so that no window holds more than about a thousand blocks
     block = materialise(rows.groupBy("s", "block", "passes", "rest", "blocks").agg(F.sum("size").alias("words")).withColumn("band", F.floor(F.col("block") / 1024)), "blocks")
@@ -139,31 +165,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     tasks = max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))
     copies = spark.range(0, shards, 1, tasks).mapInArrow(assign, "s int, block long, full boolean, shard long")
     copies = copies.groupBy("s", "block").agg(F.sort_array(F.collect_list(F.struct("shard", "full"))).alias("copies"))
-    chosen = block.select("s", "block", "part", "cut").join(copies, ["s", "block"], "left")
+    chosen = materialise(block.select("s", "block", "part", "cut").join(copies, ["s", "block"], "left"), "chosen")
 
-    out = rows.select("doc_id", "source", "text_key", "size", "h", "s", "source_size", "target", "block").join(chosen, ["s", "block"])
     # the one block of a source in which the rest is reached: its documents in hash order
+    out = rows.select("doc_id", "source", "text_key", "size", "h", "s", "source_size", "target", "block").join(chosen.where("cut"), ["s", "block"])
     by_hash = Window.partitionBy("s", "block").orderBy("h", "doc_id", "size")
-    cut = out.where("cut").withColumn("row", F.row_number().over(by_hash)).withColumn("before", F.sum("size").over(by_hash.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    cut = out.withColumn("row", F.row_number().over(by_hash)).withColumn("before", F.sum("size").over(by_hash.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     words = F.least(F.greatest(F.col("part") - F.col("before"), F.lit(0)), F.col("size"))
     if not cut_last:
         words = F.when(2 * words >= F.col("size"), F.col("size")).otherwise(F.lit(0))
-    cut = cut.withColumn("some", words).drop("row", "before")
-    out = out.where("not cut").withColumn("some", F.when(F.col("part") > 0, F.col("size")).otherwise(F.lit(0))).unionByName(cut)
-    place = lambda c: F.xxhash64(F.lit(seed), F.col("h"), c["shard"], c["full"])
-    draws = F.filter(F.transform(F.coalesce("copies", F.expr("cast(array() as array<struct<shard: bigint, full: boolean>>)")), lambda c: F.struct(c["shard"].alias("shard"), place(c).alias("place"), F.when(c["full"], F.col("size")).otherwise(F.col("some")).alias("words"))), lambda d: (d["words"] > 0) | (F.col("size") == 0))
-    out = out.withColumn("draws", draws)
-    return out.select("doc_id", "source", "text_key", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"), "draws")
+    return rows, chosen, cut.withColumn("some", words).drop("row", "before"), small(plans)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, docs_per_block: int = 256, blocks_per_shard: int = 16, seed: int = 17) -> DataFrame:
     """The mix itself: ``docs`` repeated as drawn, whole documents only, brought together by output shard and shuffled inside it.
 
-    Rows equal in id, source and text get the same draws.
+    A document finds its copies by its block, so texts are moved once, to their shards. Rows equal in id, source and text get the same draws.
     """
-    plan = mix(docs, id_col, text_col, source_col, **how | {"cut_last": False}).where("size(draws) > 0")
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__key"), F.col("draws").alias("__draws")).dropDuplicates(["__id", "__source", "__key"])
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (F.xxhash64(text_col) == F.col("__key"))
-    copies = docs.join(plan, same).select(*docs.columns, F.explode("__draws").alias("__draw"))
-    copies = copies.repartition(F.col("__draw.shard")).sortWithinPartitions("__draw.shard", "__draw.place", id_col)
-    return copies.select(*docs.columns)
+    _, chosen, cut, plans = _planned(docs, id_col, text_col, source_col, weights, cap, docs_per_block, blocks_per_shard, False, seed)
+    cut = materialise(cut.select("s", "block", F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), F.col("some").alias("c_some")).dropDuplicates(["s", "block", "c_id", "c_key"]), "cut")
+    own = F.struct(*docs.columns).alias("doc")
+    rows = docs.select(own, F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _size(text_col).alias("size"), F.xxhash64(text_col).alias("text_key"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source"))
+    rows = rows.join(plans.select("s", F.col("source").alias("p_source"), "blocks"), F.col("source").eqNullSafe(F.col("p_source"))).withColumn("block", _block())
+    rows = rows.join(chosen, ["s", "block"])
+    found = rows.join(cut, (rows["cut"] & (rows["s"] == cut["s"]) & (rows["block"] == cut["block"]) & F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key"))), "left")
+    some = F.when(rows["cut"], F.coalesce("c_some", F.lit(0))).otherwise(F.when(F.col("part") > 0, F.col("size")).otherwise(F.lit(0)))
+    found = found.select("doc", "doc_id", "h", "size", "copies", some.alias("some")).withColumn("draw", F.explode(_draws(seed)))
+    found = found.repartition(F.col("draw.shard")).sortWithinPartitions("draw.shard", "draw.place", "doc_id")
+    return found.select("doc.*")

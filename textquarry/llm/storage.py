@@ -1,26 +1,18 @@
 """Scratch tables in the folder that all executors share.
 
-The folder is ``spark.checkpoint.dir``. Where a session has none (tests, a
-laptop), one is made and set. Tables are written with Spark's own writers, so a
+The folder is ``spark.checkpoint.dir``. Where a local session has none (tests, a
+laptop), one is made and set; a cluster without one is an error. Tables are written with Spark's own writers, so a
 lost executor only repeats its tasks, and a reader finds every row again.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths handed out in this process, for clear().
-_made: list[str] = []
-
+from textquarry.sources.scratch import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; made and set only where none is configured."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="textquarry-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+#: Paths handed out in this process, for clear() and release().
+_made: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -30,15 +22,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def clear(spark: SparkSession) -> int:
     """Delete the scratch tables that this process made; results that still read them must be written before. Returns how many."""
-    jvm, count = spark.sparkContext._jvm, len(_made)
+    count = len(_made)
     while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _made.pop())
     return count
 
 
+def release(docs: DataFrame) -> DataFrame:
+    """Delete the scratch tables of earlier steps that ``docs`` does not read, and let Spark drop the shuffle files of plans that are gone. Returns ``docs``."""
+    spark, read = docs.sparkSession, docs.inputFiles()
+    names = {p.rpartition("/")[2]: p for p in _made}
+    for name, path in names.items():
+        if not any(f"/{name}/" in f for f in read):
+            _delete(spark, path)
+            _made.remove(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files go when the collector finds their plans unused
+    return docs
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it: lineage ends here."""
     spark = df.sparkSession
