@@ -74,6 +74,33 @@ def test_mixed_documents(spark, table):
     assert count == {k: r["taken"] // r["size"] for k, r in plan.items() if r["taken"]}
 
 
+def test_op2_equals_brute_force(spark, table):
+    """Words taken by document, in plain Python: whole passes, then blocks in order, then the documents of one block in hash order."""
+    import random
+
+    rng = random.Random(4)
+    docs = [(k, " ".join(["w"] * rng.randint(0, 40)) if k % 17 else None, "en", rng.choice(["a", "b", "b", "c", None]), 0) for k in range(900)]
+    d = table("documents", docs, DOCS)
+    df = spark.read.parquet(f"{d}/documents.parquet")
+    hashes = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.xxhash64(F.lit(17), F.col("doc_id").cast("long"), F.col("source").cast("string")).alias("h")).collect()}
+    names = sorted({s for *_, s, _ in docs if s}) + [None]
+    size = {k: len((t or "").split()) for k, t, *_ in docs}
+    of = {s: [k for k, _, _, x, _ in docs if x == s] for s in names}
+    totals = [sum(size[k] for k in of[s]) for s in names]
+    goal = mixing.targets(totals, [1, 2, 3, 1])
+    want = {}
+    for s, total, target in zip(names, totals, goal, strict=True):
+        blocks = max(1, -(-len(of[s]) // 64))
+        passes, rest = divmod(round(target), total)
+        place = {k: min(int(((hashes[k] & (2**64 - 1)) >> 11) / 2**53 * blocks), blocks - 1) for k in of[s]}
+        for k in sorted(of[s], key=lambda k: (place[k], hashes[k], k, size[k])):
+            some = min(size[k], rest)
+            rest -= some
+            want[k] = passes * size[k] + some
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(df, docs_per_block=64, blocks_per_shard=3).collect()}
+    assert got == want and sum(goal) == sum(totals)
+
+
 def test_op2_edges(spark, table):
     got = queries.op2_mixing(spark, docs(spark, table, EDGE)).collect()
     assert len(got) == len(EDGE) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
@@ -107,6 +134,22 @@ def test_wave():
         media.samples(media.wave(payload)[:-1])
 
 
+def test_op3_stores_equal_rows_and_shared_chunks_once(spark, table, tmp_path):
+    import random
+
+    body = "".join(random.Random(1).choices("abcdefgh ", k=40_000))
+    docs = [(7, body, "en", "s", 0)] * 1000 + [(k, body + str(k), "en", "s", 0) for k in range(20, 30)] + [(None, None, None, None, None)] * 3
+    d = table("documents", docs, DOCS)
+    path = str(tmp_path / "media")
+    media.write_media(spark.read.parquet(f"{d}/documents.parquet"), path)
+    stored = spark.read.schema(media.STORE + ", kind string").parquet(path)
+    held = stored.where("kind = 'chunk'").collect()
+    assert len({bytes(r["digests"][0]) for r in held}) == len(held) > 3 and stored.where("kind = 'media'").count() == 12
+    got = media.read_media(spark, path).collect()
+    assert len(got) == len(docs) and sorted(str(r["doc_id"]) for r in got) == sorted(str(x[0]) for x in docs)
+    assert {bytes(r["media"]) for r in got if r["doc_id"] == 7} == {media.wave(media.payload_of(body)[1])}
+
+
 @pytest.mark.parametrize("bound", [200_000, 0])
 def test_op3(spark, table, tmp_path, bound):
     rng = random.Random(8)
@@ -243,6 +286,17 @@ def test_op9_discovers(spark, table):
 
 
 # ---- toxicity ------------------------------------------------------------------------------------------------------
+def test_exceptions_take_back_all_that_matches_inside():
+    lexicon = {" trash": 3.0, " tras": 2.0, " can ": 1.5, " clow": 1.0}
+    out = toxicity.excepted(lexicon)
+    assert out[" trash can "] == -6.5 and out[" class clown "] == -1.0 and " sore loser " not in out
+    whole = tuple(sorted((lexicon | out).items()))
+    naive = lambda t: sum(w * sum(t.startswith(e, k) for k in range(len(t))) for e, w in whole)
+    texts = ["The trash can, the TRASH CAN!", "tr4sh bin can", "class clown trash", "", None, "a trash can trash " * 2000, "trаsh"]
+    assert [toxicity._features([t], whole)[0][0] for t in texts] == [naive(toxicity.fold(t)) for t in texts]
+    assert toxicity._features(["Put it in the trash can."], whole)[0][0] == 0
+
+
 def test_fold():
     assert toxicity.fold("You 1D10T!").strip() == "you idiot" and toxicity.fold("іdіоt") == " idiot " and toxicity.fold(None) == "  "
 

@@ -42,6 +42,26 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+#: Licences that licences_planted() puts in the place of every seventh document.
+PLANTED = ["MIT", "ISC", "0BSD", "Zlib", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "BSL-1.0"]
+
+
+def licences_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh document replaced by a licence file as one is found: titled, with holders, wrapped anew, in British spelling or in capitals, with curly quotes. Each must be recognised, and no other document of a few words more."""
+    docs = _table(spark, sf_dir, "documents")
+    turn = (F.col("doc_id") / 7).cast("long")
+    texts = F.array(*[F.lit(licences.KNOWN[n]) for n in PLANTED])
+    plain = F.get(texts, (turn % len(PLANTED)).cast("int"))
+    wrapped = F.regexp_replace(plain, F.lit("([^\\n]{40,70}) "), F.lit("$1\n * "))
+    british = F.replace(F.replace(wrapped, F.lit("license"), F.lit("licence")), F.lit('"'), F.lit("\u201c"))
+    form = F.when(turn % 3 == 0, wrapped).when(turn % 3 == 1, british).otherwise(F.upper(plain))
+    titles = F.create_map(*[F.lit(x) for pair in {0: "The MIT License (MIT)", 1: "ISC License", 3: "zlib License", 4: "BSD 2-Clause License", 5: "Revised BSD License", 6: "The Unlicense License"}.items() for x in pair])
+    head = F.coalesce(F.concat(titles[(turn % len(PLANTED)).cast("int")], F.lit("\n\n")), F.lit(""))
+    planted = F.concat(head, F.lit("Copyright (c) 2019-2024, Some One <a@example.org>\nCopyright Example Foundation\nAll rights reserved.\n\n"), form, F.lit("\n"))
+    text = F.when(F.col("doc_id") % 7 == 0, planted).otherwise(F.concat("text", F.lit(" and more")))
+    return licences.scan(docs.select("doc_id", text.alias("text"))).select("doc_id", "licence")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document, no shard above its byte limit."""
     return sharding.shard(_table(spark, sf_dir, "documents"))
@@ -74,18 +94,21 @@ def queries():
     """The ten operators' queries and the pipeline."""
     import corpus_pipeline
 
-    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in OPERATORS} | {"licences_planted": licences_planted, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
     hashed = "(('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint)"
     return {
         "op6_licences": f"""
-            select doc_id, sha256(form) as digest, length(form)::bigint as canonical_chars, licence
-            from (select doc_id, {licences.canonical_sql('text')} as form from documents)
-            left join (select {licences.canonical_sql('known')} as known_form, licence from (values {', '.join("('" + v.replace("'", "''") + "', '" + k + "')" for k, v in licences.KNOWN.items())}) t(known, licence))
-            on form = known_form""",
+            select doc_id, digest, canonical_chars, licence
+            from (select doc_id, sha256(form) as digest, length(form)::bigint as canonical_chars from (select doc_id, {licences.canonical_sql('text')} as form from documents))
+            left join (select distinct sha256({licences.canonical_sql('known')}) as digest, licence from (values {', '.join(f"({quote(v)}, '{k}')" for k, v in [*licences.KNOWN.items(), *licences.UNNUMBERED.items()])}) t(known, licence)
+                union all values {', '.join(f"('{d}', '{n}')" for d, n in licences.FULL.items())}) using (digest)""",
+        "licences_planted": f"""
+            select doc_id, case when doc_id % 7 = 0 then (['{"', '".join(PLANTED)}'])[(doc_id // 7) % {len(PLANTED)} + 1] end as licence from documents""",
         "op7_sharding": f"""
             with rows_ as (select doc_id, coalesce(octet_length(encode(text)), 0)::bigint as bytes, {hashed} as h from documents),
             levels as (select depth, h >> (32 - depth) as prefix, sum(bytes)::bigint as shard_bytes
