@@ -53,7 +53,7 @@ def licences_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.array(*[F.lit(licences.KNOWN[n]) for n in PLANTED])
     plain = F.get(texts, (turn % len(PLANTED)).cast("int"))
     wrapped = F.regexp_replace(plain, F.lit("([^\\n]{40,70}) "), F.lit("$1\n * "))
-    british = F.replace(F.replace(wrapped, F.lit("license"), F.lit("licence")), F.lit('"'), F.lit("\u201c"))
+    british = F.replace(F.regexp_replace(wrapped, F.lit(r"\blicense\b"), F.lit("licence")), F.lit('"'), F.lit("\u201c"))
     form = F.when(turn % 3 == 0, wrapped).when(turn % 3 == 1, british).otherwise(F.upper(plain))
     titles = F.create_map(*[F.lit(x) for pair in {0: "The MIT License (MIT)", 1: "ISC License", 3: "zlib License", 4: "BSD 2-Clause License", 5: "Revised BSD License", 6: "The Unlicense License"}.items() for x in pair])
     head = F.coalesce(F.concat(titles[(turn % len(PLANTED)).cast("int")], F.lit("\n\n")), F.lit(""))
