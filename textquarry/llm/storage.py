@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textquarry.sources.scratch import shared_dir
 
-#: Paths handed out in this process, for clear() and release().
+#: Paths handed out in this process, for clear() and written().
 _made: list[str] = []
 
 
@@ -29,22 +29,24 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def clear(spark: SparkSession) -> int:
     """Delete the scratch tables that this process made; results that still read them must be written before. Returns how many."""
-    count = len(_made)
+    found = len(_made)
     while _made:
         _delete(spark, _made.pop())
-    return count
-
-
-def release(docs: DataFrame) -> DataFrame:
-    """Delete the scratch tables of earlier steps that ``docs`` does not read, and let Spark drop the shuffle files of plans that are gone. Returns ``docs``."""
-    spark, read = docs.sparkSession, docs.inputFiles()
-    names = {p.rpartition("/")[2]: p for p in _made}
-    for name, path in names.items():
-        if not any(f"/{name}/" in f for f in read):
-            _delete(spark, path)
-            _made.remove(path)
-    spark.sparkContext._jvm.System.gc()  # shuffle files go when the collector finds their plans unused
-    return docs
+    return found
+
+
+def written(df: DataFrame, name: str, since: int) -> DataFrame:
+    """materialise(), then delete the scratch tables made from number ``since`` on: the caller says that ``df`` alone read them."""
+    out, kept = materialise(df, name), _made[-1]
+    for path in _made[since:-1]:
+        _delete(df.sparkSession, path)
+    _made[since:] = [kept]
+    return out
+
+
+def count() -> int:
+    """How many scratch tables there are, as a number for written()."""
+    return len(_made)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
