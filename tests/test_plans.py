@@ -58,3 +58,14 @@ def test_counting_words_needs_no_text_shuffle(spark, tmp_path):
     tables = published(spark, tmp_path)
     plan = plan_of(tables["words"].groupBy("word").count())
     assert "partial_count" in plan and "ReadSchema: struct<word:string>" in plan
+
+
+def test_op4_sends_neither_keys_nor_rows_through_the_driver(spark, tmp_path):
+    """A fingerprint's keys are 31 times what Spark estimates; the rows of many copies take a few bytes each in their file."""
+    from textquarry.llm import simhash
+
+    spark.range(20_000).selectExpr("xxhash64(id) fp").write.parquet(str(tmp_path / "prints"))
+    assert "Broadcast" not in plan_of(simhash.links(spark.read.parquet(str(tmp_path / "prints"))))
+    docs = spark.range(400).selectExpr("id as doc_id", "if(id < 300, 'the same text', 'text ' || id) as text")
+    joins = plan_of(simhash.near_duplicates(docs)).split("fingerprints-")[0]
+    assert "SortMergeJoin" in joins

@@ -81,7 +81,8 @@ def links(prints: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
     masks = F.array(*[F.lit(m) for m in covering_masks(radius)])
     keyed = prints.select("fp", F.posexplode(masks).alias("t", "m")).select("t", F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp")
     crowd = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = keyed.join(crowd, ["t", "key"])
+    # Spark takes a row for one key, not for all of its masks, and would send every key through the driver
+    held = keyed.join(crowd.hint("merge"), ["t", "key"])
     # a bucket beyond ``block`` becomes a triangle of block pairs; each member goes to every pair its block is part of
     blocks = F.ceil(F.col("n") / block).cast("int")
     held = held.withColumn("k", blocks).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
@@ -136,7 +137,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = materialise(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(least, "root").select("fp", "root", "component_id")
-    return found.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "root", "component_id")
+    # rows are not broadcast either: those of many copies are far larger than their file
+    return found.join(named.hint("merge"), "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_duplicates, prints=None, **how) -> DataFrame:
