@@ -18,7 +18,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each component of links at a Jaccard similarity of 0.8 or more of five-word runs, each link verified."""
+    """One document stays of each component of links at a Jaccard similarity of 0.8 or more of five-word runs: SimHash fingerprints under covering masks, then MinHash for what lies beyond their radius, each link verified."""
     return simhash.keep_one(docs, groups=jaccard.near_duplicates, prints=jaccard.nodes_of)
 
 

@@ -52,3 +52,16 @@ def test_stage_equals_brute_force(spark, table):
     for how in ({"rounds": 1, "block": 16}, {"rounds": 1, "block": 1000}):
         got = jaccard.near_duplicates(src, **how).select("component_id").distinct().collect()
         assert sorted(r["component_id"] for r in got) == want
+
+
+def test_simhash_links_without_minhash(spark, table):
+    """Covering masks on fingerprints are a step of the stage: with no MinHash keys they still give every pair within their radius."""
+    from textquarry.llm import simhash
+
+    rng = random.Random(5)
+    pairs = [(" ".join(w), " ".join([*w, *rng.choices("xyz", k=3)])) for w in ([f"p{rng.randrange(5000)}" for _ in range(300)] for _ in range(40))]
+    pairs.append((" ".join("abcdefgh"), " ".join("stuvwxyz")))
+    d = table("documents", [(2 * k + i, t, "en", "s", 0) for k, p in enumerate(pairs) for i, t in enumerate(p)], DOCS)
+    near = [sum((int(simhash.print_of(jaccard.shingles_of(a))) ^ int(simhash.print_of(jaccard.shingles_of(b)))).bit_count() for a, b in [p]) <= 4 for p in pairs]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.read.parquet(f"{d}/documents.parquet"), bands=0).collect()}
+    assert got == {2 * k + i: 2 * k + i * (not n) for k, n in enumerate(near) for i in (0, 1)} and sum(near) >= 30

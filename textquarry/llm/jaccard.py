@@ -1,9 +1,13 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, with MinHash candidates.
+"""Near-duplicates by exact Jaccard similarity of word shingles, with SimHash and then MinHash candidates.
 
 A text is the set of XXH64 values of its runs of ``words`` words (lower-cased, cut at ASCII white
-space; a shorter text is one run). Texts with equal sets are one node. A node has ``bands`` keys
+space; a shorter text is one run). Texts with equal sets are one node.
+
+First a node has a SimHash fingerprint of its set, and covering masks propose all fingerprints within
+``radius`` bits of each other, as in simhash. Pairs at similarity 0.8 differ in 10 of 64 bits on average, which
+no affordable set of masks covers, so what those links leave in several components is proposed by MinHash: ``bands`` keys
 of ``rows`` minima each; a pair at similarity 0.8 shares no key with a probability of (1 - 0.8^4)^30,
-or 1e-7. Keys only propose: every link is verified on the whole sets.
+or 1e-7. Fingerprints and keys only propose: every link is verified on the whole sets.
 
 A crowded key never emits its pairs: in each round its members are held against one of them, so pairs are
 linear in members, and a key whose members then are all of one component is done. The members of
@@ -20,7 +24,8 @@ from pyspark.sql import functions as F
 
 from textquarry.llm.graph import components
 from textquarry.llm.memory import frugal
-from textquarry.llm.simhash import forest
+from textquarry.llm.simhash import forest, print_of
+from textquarry.llm.simhash import links as near_prints
 from textquarry.llm.storage import materialise
 from textquarry.llm.tokens import slices
 
@@ -75,12 +80,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.withColumn("same", same).where(F.col("same") / (na + nb - F.col("same")) >= similarity).select("a", "b")
 
 
-def _open(held: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of the keys that still hold several components; of keys with the same members, one."""
+def _near_prints(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of nodes (columns node, print) to verify: one node of each fingerprint with the others of it, and with those of fingerprints linked by covering masks."""
+    first = materialise(nodes.groupBy("print").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "prints")
+    equal = nodes.join(first.where("n > 1").hint("merge"), "print").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = [first.select(F.col("print").alias(c), F.col("first").alias("f" + c)) for c in "ab"]
+    linked = near_prints(first.select(F.col("print").alias("fp")), radius).distinct()
+    linked = linked.join(ends[0], "a").join(ends[1], "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    return materialise(equal.unionByName(linked), "near-prints")
+
+
+def _open(held: DataFrame, links: DataFrame, least: int) -> DataFrame:
+    """Members of the keys of ``least`` or more that still hold several components; of keys with the same members, one."""
     roots = components(links).withColumnRenamed("root", "found")
     named = held.join(roots, "node", "left").withColumn("root", F.coalesce("found", "node")).drop("found")
     mark = F.sum(F.xxhash64("node").cast("decimal(20,0)"))
-    keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), mark.alias("mark")).where("lo <> hi and n > 2")
+    keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), mark.alias("mark")).where(f"lo <> hi and n >= {least}")
     keys = keys.groupBy("n", "mark").agg(F.min("key").alias("key"))
     return materialise(held.select("key", "node").join(keys.select("key", "n"), "key"), "open-keys")
 
@@ -128,7 +143,7 @@ def _in_cells(held: DataFrame, sets: DataFrame, similarity: float, block: int) -
     return dealt.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(frugal(forests), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 4, rounds: int = 2, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 30, rows: int = 4, rounds: int = 2, block: int = 512, radius: int = 4) -> DataFrame:
     """One row per document: doc_id, fp (its node), root (the group, as one of its nodes), component_id."""
 
     rows_of = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -139,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 part = batch.slice(a, b - a)
                 sets = [shingles_of(t, words) for t in part.column("text").to_pylist()]
                 keys = [keys_of(s, bands, rows) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array(np.array([print_of(s) for s in sets], np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "print", "keys"])
 
     def again(batches):
         for batch in batches:
@@ -147,30 +162,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sets = [shingles_of(t, words) for t in batch.column("text").slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "set"])
 
-    keyed = rows_of.mapInArrow(frugal(digest), "doc_id long, node long, keys array<long>")
+    keyed = rows_of.mapInArrow(frugal(digest), "doc_id long, node long, print long, keys array<long>")
     keyed = materialise(keyed, "shingles")
     found = keyed.select("doc_id", "node")
-    nodes = keyed.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("keys").alias("keys"))
+    nodes = keyed.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("print").alias("print"), F.any_value("keys").alias("keys"))
     nodes = materialise(nodes, "nodes")
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
     crowd = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    held = left = materialise(keyed.join(crowd, "key"), "crowded")
-    # only sets that share a key are kept: they are made again from one document of each, as sets are larger than the texts
-    asked = nodes.join(held.select("node").distinct(), "node", "left_semi").select("least", "node")
+    held = materialise(keyed.join(crowd, "key"), "crowded")
+    near = _near_prints(nodes.select("node", "print"), radius)
+    # only sets that are proposed are kept: they are made again from one document of each, as sets are larger than the texts
+    proposed = held.select("node").unionByName(near.select(F.col("a").alias("node"))).unionByName(near.select(F.col("b").alias("node")))
+    asked = nodes.join(proposed.distinct(), "node", "left_semi").select("least", "node")
     asked = materialise(asked, "asked")
     able = rows_of.join(asked.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     sets = able.select("text").mapInArrow(frugal(again), "node long, set array<long>").join(asked.select("node"), "node", "left_semi")
     sets = materialise(sets.groupBy("node").agg(F.any_value("set").alias("set")), "sets")
-    links = None
+    links = materialise(_verified(near, sets, similarity), "links")
+    left = _open(held, links, 2)
     for n in range(rounds):
-        hub = F.min(F.struct(F.xxhash64("node", F.lit(n)), F.col("node").alias("a")))["a"].alias("a")
-        pairs = left.join(left.groupBy("key").agg(hub), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-        new = _verified(pairs, sets, similarity)
-        links = materialise(new if links is None else links.unionByName(new), "links")
-        left = _open(held, links)
         if left.isEmpty():
             break
-    else:
+        hub = F.min(F.struct(F.xxhash64("node", F.lit(n)), F.col("node").alias("a")))["a"].alias("a")
+        pairs = left.join(left.groupBy("key").agg(hub), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+        links = materialise(links.unionByName(_verified(pairs, sets, similarity)), "links")
+        left = _open(held, links, 3)
+    if not left.isEmpty():
         links = materialise(links.unionByName(_in_cells(left, sets, similarity, block)), "links")
     roots = components(links)
     joined = materialise(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")

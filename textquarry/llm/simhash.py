@@ -27,6 +27,14 @@ from textquarry.llm.memory import frugal
 from textquarry.llm.storage import materialise
 
 
+def print_of(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the values."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+
+
 def fingerprints_of(texts: list[str | None], words: int = 4, seed: int = 42) -> np.ndarray:
     """Unsigned 64-bit fingerprints of whole texts."""
     from xxhash import xxh64_intdigest
@@ -43,10 +51,7 @@ def fingerprints_of(texts: list[str | None], words: int = 4, seed: int = 42) ->
             ends = (np.cumsum([len(p) + 1 for p in parts]) - 1).tolist()
             starts = [0, *(e + 1 for e in ends[: -words])]
             hashes = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :], strict=True)), np.uint64, len(parts) - words + 1)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 1 << 14):
-            ones += np.unpackbits(hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-        out[k] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+        out[k] = print_of(hashes)
     return out
 
 
