@@ -136,3 +136,30 @@ def test_op8(spark, table):
 def test_empty_tables(spark, table):
     d = table("documents", [], DOCS)
     assert queries.op1_token_output(spark, d).collect() == [] and queries.op8_packing(spark, d).collect() == []
+
+
+def test_packing_bounds_what_a_worker_holds(monkeypatch):
+    """Many different words: neither the words remembered nor the pieces handed on at once grow with the input."""
+    import types
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from textquarry.llm import packing, tokens
+
+    run = {}
+    chain = types.SimpleNamespace(select=lambda *c: types.SimpleNamespace(mapInArrow=lambda f, s: run.update(f=f)))
+    named = types.SimpleNamespace(cast=lambda t: named, alias=lambda n: named)
+    monkeypatch.setattr(packing, "F", types.SimpleNamespace(col=lambda c: named, lit=lambda v: named, coalesce=lambda *c: named))
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda c: types.SimpleNamespace(partitionId=lambda: 0)))
+    lent, made = [], tokens.Encoder
+    monkeypatch.setattr(tokens, "Encoder", lambda *a: lent.append(made(*a)) or lent[-1])
+    tokens._encoder.cache_clear()
+    packing.pack_documents(chain)
+    texts = [" ".join(f"w{k}x{j}" for j in range(100)) for k in range(6_000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 1000)), pa.array(texts[a : a + 1000])], ["doc_id", "text"]) for a in range(0, 6_000, 1000)]
+    most = rows = 0
+    for out in run["f"](batches):
+        most, rows = max(most, len(lent[0].young) + len(lent[0].old)), max(rows, out.num_rows)
+    tokens._encoder.cache_clear()
+    assert 100_000 < most <= 220_000 and 0 < rows <= 1_000

@@ -23,6 +23,10 @@ from textquarry.llm.tokens import encoder, slices
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
+#: What a worker holds at once: words whose ids it remembers (in each of two generations), bytes of text it cuts into words, pieces it hands on.
+REMEMBER, SLICE, ROWS = 100_000, 2 << 20, 1_000
+
+
 class Rooms:
     """Counts of open windows by room left (0..size), in a segment tree that finds the least room >= a length."""
 
@@ -80,7 +84,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_tokens")])
 
     def pieces(batches):
-        with encoder(tokenizer, keeps_spaces) as enc:
+        with encoder(tokenizer, keeps_spaces, REMEMBER) as enc:
             yield from pieces_of(batches, enc)
 
     def pieces_of(batches, enc):
@@ -96,14 +100,14 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for d, ids in pool:
                 rows += [(d, at, ids[at : at + window], len(ids)) for at in range(0, len(ids), window)]
             where, offset, fill = best_fit([len(r[2]) for r in rows], window)
-            for a in range(0, len(rows), 5_000):
-                part, at = rows[a : a + 5_000], slice(a, a + 5_000)
+            for a in range(0, len(rows), ROWS):
+                part, at = rows[a : a + ROWS], slice(a, a + ROWS)
                 cols = [[r[0] for r in part], [r[1] for r in part], [len(r[2]) for r in part], [r[2].astype("<u4").tobytes() for r in part], [r[3] for r in part], [base + used + w for w in where[at]], offset[at], [fill[w] for w in where[at]]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
             pool, used = [], used + len(fill)
 
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), SLICE):
                 part = batch.slice(a, b - a)
                 ids, at = enc.encode(part.column("text"))
                 for d, x, y in zip(part.column("doc_id").to_pylist(), at[:-1], at[1:], strict=True):

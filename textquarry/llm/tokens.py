@@ -158,14 +158,14 @@ def slices(texts: pa.Array, most_bytes: int = 6 << 20):
 
 
 @lru_cache(maxsize=2)
-def _encoder(name: str, keeps_spaces: bool) -> Encoder:
-    return Encoder(tokenizer_path(name), keeps_spaces)
+def _encoder(name: str, keeps_spaces: bool, remember: int) -> Encoder:
+    return Encoder(tokenizer_path(name), keeps_spaces, remember)
 
 
 @contextmanager
-def encoder(name: str, keeps_spaces: bool):
+def encoder(name: str, keeps_spaces: bool, remember: int = 250_000):
     """The worker's encoder for the length of a task. A worker outlives its task: what the task filled is given back to the system."""
-    lent = _encoder(name, keeps_spaces)
+    lent = _encoder(name, keeps_spaces, remember)
     try:
         yield lent
     finally:
