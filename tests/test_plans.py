@@ -69,3 +69,14 @@ def test_op4_sends_neither_keys_nor_rows_through_the_driver(spark, tmp_path):
     docs = spark.range(400).selectExpr("id as doc_id", "if(id < 300, 'the same text', 'text ' || id) as text")
     joins = plan_of(simhash.near_duplicates(docs)).split("fingerprints-")[0]
     assert "SortMergeJoin" in joins
+
+
+def test_compact_tables_are_dealt_before_they_are_files(spark, tmp_path):
+    from textquarry.queries import QUERIES
+    from textquarry.sources.files import ROWS_PER_TASK, parts_as_code
+
+    rows = 3 * ROWS_PER_TASK
+    spark.range(rows).selectExpr("id as p_partkey", "'Brand#1' as p_brand", "cast(id % 50 as int) as p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    code = parts_as_code(spark, str(tmp_path))
+    assert code.rdd.getNumPartitions() == 3 and code.count() == rows
+    assert QUERIES["symbol_table_rust"](spark, str(tmp_path)).rdd.getNumPartitions() == 3
