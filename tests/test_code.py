@@ -159,3 +159,14 @@ def test_small_functions():
     patch = "--- a/x\n+++ b/y\n@@ -3,2 +3,0 @@\n-a\n-b\n@@ -9 +8,2 @@\n--- /dev/null\n+++ b/new\n@@ -0,0 +1,3 @@\n"
     assert parse_patch(patch) == [{"old": "x", "new": "y", "removed": [(3, 4), (9, 9)], "added": [(8, 9)]}, {"old": None, "new": "new", "removed": [], "added": [(1, 3)]}]
     assert needs_rebuild(100, 6, 1, 0) and not needs_rebuild(10_000, 100, 1, 100)
+
+
+def test_extraction_looks_for_the_asked_parts_alone(monkeypatch):
+    text = "from a import b\n\ndef f():\n    return 1  # c\n"
+    whole = code.extract(text, "python")
+    assert whole["symbols"] and whole["spans"] and whole["imports"]
+    assert code.extract(text, "python", ("symbols",))["symbols"] == whole["symbols"]
+    monkeypatch.setattr(code, "_finished", None)  # an import needs no definition
+    assert code.imports(text, "python") == whole["imports"]
+    monkeypatch.setattr(code, "Tokens", None)  # a span needs no token
+    assert code.extract(text, "python", ("spans",))["spans"] == whole["spans"]
