@@ -30,6 +30,17 @@ def test_diff_impact(spark):
     assert impact.relocate(symbols.symbols(new), "body", "function", 9).first()["line"] == 1
 
 
+def test_diff_impact_follows_all_names_to_all_sites(spark):
+    names = [f"f{k}" for k in range(40)] + ["$q", "a$b"]
+    old = files_of(spark, {"lib.js": "".join(f"function {n}() {{ return 1 }}\n" for n in names), "use.js": "\n"})
+    new = files_of(spark, {"lib.js": "\n", "use.js": "".join(f"{n}(1)\n" for n in names) + "x$q(2)\na$bc(2)\n" + "f7(1) // f8(1)\n" + "f0(2)\n" * 450})
+    changed = changes.changed_definitions(changes.with_bodies(old, symbols.symbols(old)), changes.with_bodies(new, symbols.symbols(new)))
+    sites = impact.diff_impact(new, changed, symbols.spans(new), symbols.symbols(new)).collect()
+    assert {(r["name"], r["line"]) for r in sites if r["line"] <= 42} == {(n, k + 1) for k, n in enumerate(names)}
+    assert [(r["name"], r["kind"]) for r in sites if 42 < r["line"] <= 45] == [("f7", "call")]
+    assert sorted(r["turn"] for r in sites if r["name"] == "f0") == list(range(1, 452))
+
+
 def test_touched(spark):
     new = files_of(spark, {"a.py": "class A:\n    def m(self):\n        return 1\n\n    def n(self):\n        return 2\n"})
     syms = impact.with_last_line(new, symbols.symbols(new))

@@ -5,9 +5,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from textquarry.functions.files import location_weight
+from textquarry.functions.files import location_weight, path_flags
 from textquarry.functions.text import path_key
-from textquarry.operators.search import SearchOptions, best_of_each, hits
+from textquarry.operators.search import name_uses
+from textquarry.sources.scratch import written
 
 CALLABLE = ["function", "method", "macro"]
 TYPED = ["class", "struct", "enum", "trait", "interface", "object", "module", "impl", "type"]
@@ -75,36 +76,30 @@ def with_last_line(files: DataFrame, syms: DataFrame) -> DataFrame:
     return syms.join(text, "file_id").withColumn("last_line", F.col("line") + F.length(F.regexp_replace(F.regexp_replace(inside, r"\n\z", ""), r"[^\n]+", ""))).drop("text")
 
 
-def diff_impact(files: DataFrame, changed: DataFrame, spans: DataFrame, syms: DataFrame, changed_lines: DataFrame | None = None, most_names: int = 16, most_sites: int = 400) -> DataFrame:
-    """Uses of changed definitions in the new snapshot: name, change, path, line, kind, direct, turn.
+def diff_impact(files: DataFrame, changed: DataFrame, spans: DataFrame, syms: DataFrame, changed_lines: DataFrame | None = None) -> DataFrame:
+    """All uses of all changed definitions in the new snapshot: name, change, path, line, kind, direct, turn.
 
     ``changed`` as from changes.changed_definitions(). Lines that the change itself touched (path, first, last) are no uses.
     ``turn`` counts a definition's sites in rank order; showing turn by turn gives every definition its first uses first.
     """
     order = F.when(F.col("change").isin("removed", "renamed"), 0).when(F.col("change") == "signature", 1).otherwise(2)
-    live = changed.where("change <> 'added'").withColumn("o", order).groupBy("name").agg(F.min(F.struct("o", "change", "kind")).alias("c")).select("name", "c.*").orderBy("o", "name").limit(most_names)
-    names = [r["name"] for r in live.collect()]
-    if not names:
-        names = ["\u0000"]
-    found = hits(files, SearchOptions(tuple(names), fixed=True, whole_word=True), None, spans, syms)
+    live = changed.where("change <> 'added'").withColumn("o", order).groupBy("name").agg(F.min(F.struct("o", "change", "kind")).alias("c")).select("name", "c.*")
+    live = written(live, "changed")
+    found = name_uses(files, live, spans, syms).withColumn("flags", path_flags())
     if changed_lines is not None:
         c = changed_lines.select(F.col("path").alias("c_path"), "first", "last")
         found = found.join(c, (F.col("path") == F.col("c_path")) & F.col("line").between(F.col("first"), F.col("last")), "left_anti")
-    used = found.withColumn("name", F.explode(F.array_distinct(F.transform("submatches", lambda m: F.substr(F.col("text"), m["s"] + 1, m["e"] - m["s"])))))
-    used = used.withColumn("own", F.filter("submatches", lambda m: F.substr(F.col("text"), m["s"] + 1, m["e"] - m["s"]) == F.col("name"))).where(_any_use("text", "own"))
+    used = found.where(_any_use("text", "submatches"))
     table = F.broadcast(use_kinds(files.sparkSession))
     live = live.select("name", "change", "o", F.col("kind").alias("def_kind"), F.col("change").isin("removed", "renamed").alias("gone"))
-    both = used.join(F.broadcast(live), "name").join(table, ["def_kind", "gone"]).where(F.col("kind") == F.col("use_kind"))
+    both = used.join(live.hint("merge"), "name").join(table, ["def_kind", "gone"]).where(F.col("kind") == F.col("use_kind"))
     direct = F.col("direct") & (F.col("change") != "body")
-    weight = location_weight()
-    order_of = [direct.desc(), weight.desc(), path_key(F.col("path")), F.col("line")]
-    rank = Window.partitionBy("name").orderBy(*order_of)
-    both = best_of_each(both, "name", names, order_of, most_sites)
-    return both.withColumn("turn", F.row_number().over(rank)).orderBy("turn", "o", "name").limit(most_sites).select("name", "change", "path", "line", "kind", direct.alias("direct"), "turn")
+    rank = Window.partitionBy("name").orderBy(direct.desc(), location_weight().desc(), path_key(F.col("path")), F.col("line"))
+    return both.withColumn("turn", F.row_number().over(rank)).select("name", "change", "path", "line", "kind", direct.alias("direct"), "turn")
 
 
 def allotted(sites: DataFrame, rows: int) -> DataFrame:
-    """The sites an allowance shows: a body change has five at most; turn by turn until ``rows`` are given. Sites are at most a few hundred."""
+    """The sites an allowance shows: a body change has five at most; turn by turn until ``rows`` are given."""
     able = sites.where((F.col("change") != "body") | (F.col("turn") <= BODY_SITES))
     return able.orderBy("turn", "name").limit(rows)
 
