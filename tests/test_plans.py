@@ -80,3 +80,11 @@ def test_compact_tables_are_dealt_before_they_are_files(spark, tmp_path):
     code = parts_as_code(spark, str(tmp_path))
     assert code.rdd.getNumPartitions() == 3 and code.count() == rows
     assert QUERIES["symbol_table_rust"](spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_bitmaps_are_made_behind_the_shuffle(spark):
+    postings = spark.range(100_000).selectExpr("concat('w', id % 7) as word", "id as file_id")
+    dealt = index.bitmaps(postings, "word")
+    plan = plan_of(dealt)
+    assert plan.count("Exchange") and plan[: plan.index("\n\n\n")].index("Exchange") > plan[: plan.index("\n\n\n")].rindex("SortAggregate")
+    assert dealt.selectExpr("sum(bitmap_count(files)) as n").first()["n"] == 100_000
