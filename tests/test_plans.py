@@ -88,3 +88,21 @@ def test_bitmaps_are_made_behind_the_shuffle(spark):
     plan = plan_of(dealt)
     assert plan.count("Exchange") and plan[: plan.index("\n\n\n")].index("Exchange") > plan[: plan.index("\n\n\n")].rindex("SortAggregate")
     assert dealt.selectExpr("sum(bitmap_count(files)) as n").first()["n"] == 100_000
+
+
+def test_a_published_table_is_dealt_by_bytes_of_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "TASK_BYTES", 200)
+    tables = published(spark, tmp_path)
+    for name in ("symbols", "words", "grams"):
+        assert len(list((tmp_path / "index" / "base-1" / name).glob("part-*"))) > 4, name  # rows so few went to one task before
+    assert tables["symbols"].count() == 50
+
+
+def test_pieces_of_words_are_as_cut_by_the_pattern(spark):
+    from textquarry.functions.text import pieces
+    from textquarry.operators.find import _cut
+
+    words = "the The THE aB abC ABc ABCd x_y _abc abc_ a1b 1AB ab1C Abc1 Ab aa XMLHttp camelCase Camel abc_abc AA9bcd".split()
+    df = spark.createDataFrame([(w,) for w in words], "word string").selectExpr("word")
+    rows = df.select(_cut(df["word"]).alias("got"), pieces(df["word"]).alias("said")).collect()
+    assert all(r["got"] == list(dict.fromkeys(r["said"])) for r in rows)
