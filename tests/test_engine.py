@@ -1,5 +1,8 @@
 """Sources, ladder, refresh, streaming, pairing and change queries on small inputs."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from textquarry.operators import changes, index, search, symbols, usage, verbs
@@ -218,3 +221,22 @@ def test_entry_imports_without_llm(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "search_regex" in entry.queries() and not any(n.startswith("op") for n in entry.queries())
     monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+
+
+def test_pagerank_rounds_hold_importing_files_alone(spark, monkeypatch):
+    """Ranks equal those of dense rounds; before the last round no row is made for a file without imports."""
+    rng = random.Random(5)
+    pairs = {(a, b): rng.choice([10, 20, 30]) for a, b in [(0, 1), (1, 2), (2, 0), (3, 0), (4, 4), *((rng.randrange(8), rng.randrange(60)) for _ in range(80))]}
+    made, write = [], symbols.written
+    monkeypatch.setattr(symbols, "written", lambda df, name: (out := write(df, name), name == "ranked" and made.append(out.count()))[0])
+    nodes = spark.createDataFrame([(k,) for k in range(70)], "file_id long")
+    got = {r["file_id"]: r["rank"] for r in symbols.pagerank(nodes, spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()], "src long, dst long, weight long"), 6).collect()}
+    share, rank = np.zeros((70, 70)), np.full(70, 1 / 70)
+    for (a, b), w in pairs.items():
+        share[a, b] = w / sum(v for (s, _), v in pairs.items() if s == a)
+    for _ in range(6):
+        rank = 0.15 / 70 + 0.85 * (rank @ share + rank[share.sum(1) == 0].sum() / 70)
+    assert np.allclose([got[k] for k in range(70)], rank / rank.max(), atol=1e-12)
+    assert made == [len({a for a, _ in pairs})] * 5 + [70]
+    none = symbols.pagerank(nodes.where("file_id < 3"), spark.createDataFrame([], "src long, dst long, weight long"), 2)
+    assert sorted((r["file_id"], r["rank"]) for r in none.collect()) == [(0, 1.0), (1, 1.0), (2, 1.0)]
