@@ -163,3 +163,15 @@ def test_packing_bounds_what_a_worker_holds(monkeypatch):
         most, rows = max(most, len(lent[0].young) + len(lent[0].old)), max(rows, out.num_rows)
     tokens._encoder.cache_clear()
     assert 100_000 < most <= 220_000 and 0 < rows <= 1_000
+
+
+@pytest.mark.parametrize("name, keeps", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_remembers_parts_of_joined_words_alone(name, keeps):
+    """Words with marks behind them, or (in the vocabulary that keeps spaces) line ends inside, come from their parts' ids and take no place of their own."""
+    plain = ["Alpha", "beta", "Éa", "naïve", "ouou"]
+    texts = [f"{a}{m}\n{b}{n} x" if keeps else f"{a}{m} {b}{n} x" for a in plain for b in plain for m in ("", ".", ",&&&") for n in ("", "?", "%%%")]
+    odd = ["a\n\nb c", "a\n b", "a \nb", "a\r\nb c", "1\n2 a", "a\n\nb.\nc d", "\na b", "a\n b\n", "ª\nº x", "a.\n'b c", "é\n.b", "İ\nb ǰ.\na", "\n".join(["a"] * 3000)]
+    encoder = Encoder(tokenizer_path(name), keeps)
+    agree((encoder, library(name)), texts)
+    assert len(encoder.young) <= 3 * len(plain) + 7
+    agree((encoder, library(name)), odd)

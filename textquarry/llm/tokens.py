@@ -9,6 +9,7 @@ that does not hold (runs of white space, in the byte vocabulary) are encoded who
 
 import os
 from array import array
+from codecs import charmap_decode
 from contextlib import contextmanager
 from functools import lru_cache
 
@@ -54,48 +55,58 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         letters = byte_letters()
-        #: Latin-1 letters as the byte-level alphabet spells their UTF-8.
-        self.spell = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(128, 256)}
-        self.space = letters[32] if keeps_spaces else ""
+        #: The byte-level alphabet by byte, to spell UTF-8 with.
+        self.spell = "".join(letters[b] for b in range(256))
+        self.line = array("I", self.tok.encode("\n", add_special_tokens=False).ids).tobytes() if keeps_spaces else b""
 
     def _word(self, word: str) -> bytes:
         """Ids of one word (with its space, if it has one), as bytes.
 
         A word of Latin-1 letters passes the normaliser and the word pattern whole and unchanged (but for case),
-        so it goes to the vocabulary's merges at once; marks after its last letter are a word of their own.
+        so it goes to the vocabulary's merges at once.
         """
-        bare = word[1:] if self.space and word[:1] == " " else word
-        if bare.isalpha():
-            if not self.keeps_spaces:
-                bare = bare.lower()
-            if not bare.isascii():
-                if max(bare) > "\xff":
-                    return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
-                spelled = bare.translate(self.spell)
-            else:
-                spelled = bare
-            if self.space and bare is not word:
-                spelled = self.space + spelled
+        bare = word[1:] if self.keeps_spaces and word[:1] == " " else word
+        if bare.isalpha() and (bare.isascii() or max(bare) <= "\xff"):
+            spelled = charmap_decode((word if self.keeps_spaces else word.lower()).encode(), "strict", self.spell)[0]
             return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        base = word.rstrip(MARKS)
-        # only behind a Latin-1 letter: others may end in a mark of their own when their case is folded
-        if len(base) < len(word) and base and base[-1] <= "\xff" and base[-1].isalpha():
-            return self._known(base) + self._known(word[len(base) :])
         return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
 
+    def _joined(self, word: str) -> bytes | None:
+        """Ids of a word that is made of others, from theirs: marks after its last letter are a word of their own, and so is,
+        where spaces are kept, one line end between a letter or mark and a letter. None if the word is not so made.
+
+        Only beside Latin-1 letters: others may end in a mark of their own when their case is folded.
+        """
+        base = word.rstrip(MARKS)
+        if len(base) < len(word):
+            if base and base[-1] <= "\xff" and base[-1].isalpha():
+                return self._known(base) + self._known(word[len(base) :])
+        elif self.line and "\n" in word:
+            lines = word.split("\n")
+            if all(x and x[-1] <= "\xff" and (x[-1].isalpha() or x[-1] in MARKS) for x in lines[:-1]) and all(x and x[0] <= "\xff" and x[0].isalpha() for x in lines[1:]):
+                return self.line.join(map(self._known, lines))
+        return None
+
     def _known(self, word: str) -> bytes:
         ids = self.young.get(word)
         if ids is None:
             ids = self.old.get(word)
             if ids is None:
+                ids = None if word[-1:].isalpha() and "\n" not in word else self._joined(word)
+                if ids is not None:
+                    return ids  # not remembered: its parts are
                 ids = self._word(word)
             self.young[word] = ids
         return ids
 
     def _pieces(self, words: list[str]) -> list[bytes]:
-        out, known = [], self._known
+        out = []
         for at in range(0, len(words), 4096):
-            out += map(known, words[at : at + 4096])
+            part = words[at : at + 4096]
+            ids = list(map(self.young.get, part))
+            for k in [k for k, x in enumerate(ids) if x is None]:
+                ids[k] = self._known(part[k])
+            out += ids
             if len(self.young) >= self.remember:
                 self.old, self.young = self.young, {}
         return out
@@ -123,7 +134,7 @@ class Encoder:
         bounds = np.asarray(split.offsets).astype(np.int64)
         bounds = bounds - bounds[0]
         coded = split.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), np.array(coded.indices)
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.array(coded.indices)  # far faster than to_pylist
         del split, coded
         if self.keeps_spaces:
             first = np.unique(codes[bounds[:-1]])  # the words that begin a text carry no space
