@@ -175,3 +175,57 @@ def test_encoder_remembers_parts_of_joined_words_alone(name, keeps):
     agree((encoder, library(name)), texts)
     assert len(encoder.young) <= 3 * len(plain) + 7
     agree((encoder, library(name)), odd)
+
+
+@pytest.mark.parametrize("name, keeps", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_runs_no_python_for_each_known_word(name, keeps):
+    """Thousands of joined words whose parts are remembered cost as few Python calls as a handful."""
+    import sys
+
+    plain = [a + b + c for a in "abcdefgh" for b in "éiouy" for c in "klmnpqrst"]
+    texts = pa.array([f"x {a}{m}\n{b}{n} y" for k, a in enumerate(plain) for b in plain[k : k + 20] for m, n in ((".", ","), ("", "?"))])
+    encoder = Encoder(tokenizer_path(name), keeps)
+    encoder.encode(texts)
+    calls = [0]
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event == "call")))
+    try:
+        encoder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert len(texts) > 10_000 and calls[0] < 500
+    agree((encoder, library(name)), texts[:500].to_pylist())
+
+
+@pytest.mark.parametrize("name, keeps", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_keeps_words_met_again(name, keeps):
+    """New words that come once don't drive out those met in several slices; all that is kept stays within its bound."""
+    import itertools
+    import types
+
+    letters = itertools.product("bcdfghjk", repeat=5)
+    fresh = lambda: [" ".join("".join(x) for x in itertools.islice(letters, 150))]
+    common = ["alpha beta gamma delta"]
+    encoder, made = Encoder(tokenizer_path(name), keeps, remember=100), []
+    model = encoder.model
+    encoder.model = types.SimpleNamespace(tokenize=lambda word: made.append(word) or model.tokenize(word))
+    for texts in (common, common, *(fresh() for _ in range(6))):
+        agree((encoder, library(name)), texts)
+        assert len(encoder.young) + len(encoder.old) <= 200
+    made.clear()
+    agree((encoder, library(name)), common)
+    assert made == []
+
+
+def test_encoder_on_words_that_hold_what_marks_a_cut():
+    """A NUL in a word stays in it, beside marks and line ends too."""
+    odd = ["a\0b", "a.\0", "a\0.\nb", "\0", "a \0 b.\nc", "a\0\nb", "a.\nb\0", "é\0\0.\n\0é", "ab.\ncd a\0b"]
+    for name, keeps in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        agree((Encoder(tokenizer_path(name), keeps), library(name)), odd * 2)
+
+
+def test_encoder_on_slices_of_a_batch(enc):
+    """Each slice of an array gives the ids of its own texts, as the tasks cut their batches."""
+    texts = pa.array([f"{w} Éa{k}.\nBeta, {w * 3}" for k in range(40) for w in ("Alpha", "ŉu", "x")])
+    for a in range(0, len(texts), 17):
+        ids, at = enc[0].encode(texts.slice(a, 17))
+        assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in enc[1].encode_batch(texts.slice(a, 17).to_pylist(), add_special_tokens=False)]

@@ -2,8 +2,9 @@
 
 Both vocabularies cut a text into words before any merge, and a space that
 follows a non-space and precedes a non-space always starts a new word. A batch is
-therefore cut at spaces by Arrow, its distinct pieces are encoded by the
-tokenizers library, and the ids are gathered back with numpy. Texts in which
+therefore cut at spaces by Arrow, its distinct pieces are cut at marks and line
+ends, the parts that are not remembered are encoded by the tokenizers library,
+and the ids are gathered back by Arrow. Texts in which
 that does not hold (runs of white space, in the byte vocabulary) are encoded whole.
 """
 
@@ -30,8 +31,28 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
 
-#: Marks that never join a letter before them; an apostrophe may.
-MARKS = ".,;:!?*&%$#)(-\""
+#: Letters of Latin-1, and marks that never join a letter before them (an apostrophe may), as members of a set in a pattern.
+LETTERS, MARKS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r'.,;:!?*&%$#)(\-"'
+
+#: What stands between the parts of a word; words that hold it themselves, or a line end that is not between a letter or mark and a letter, stay whole.
+CUT = "\0"
+UNCUT = rf"\x00|(?:^|[^{LETTERS}{MARKS}])\n|\n(?:[^{LETTERS}]|$)"
+
+#: Words and their ids.
+HELD = pa.schema([("word", pa.large_string()), ("ids", pa.large_binary())])
+
+
+def binaries(data: np.ndarray | array, ends: np.ndarray | array) -> pa.LargeBinaryArray:
+    """Ids in a row as one value for each word; ends: where each word's ids end."""
+    offsets = np.concatenate([[0], np.asarray(ends, np.int64)]) * 4
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def numbers(ids: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all values in a row, and where each value's ids begin (one more entry than values)."""
+    _, offsets, data = ids.buffers()
+    at = np.frombuffer(offsets, np.int64)[ids.offset : ids.offset + len(ids) + 1] // 4
+    return np.frombuffer(data, np.uint32, int(at[-1])) if at[-1] else np.zeros(0, np.uint32), at
 
 
 class Encoder:
@@ -39,7 +60,8 @@ class Encoder:
 
     The strings of special tokens in a text are ordinary text, as the vocabularies' own description sets it
     (``encode_special_tokens``); with ``special_ids`` they get the special ids instead.
-    ``remember`` words are kept in each of two generations; a word that is met again moves to the younger one.
+    Twice ``remember`` words are kept: in ``old`` those met in several slices, ``remember`` at most and those met last,
+    and in ``young`` the newest of the others. They lie in Arrow arrays and are looked up a slice at a time.
     """
 
     def __init__(self, path: str, keeps_spaces: bool, remember: int = 250_000, special_ids: bool = False):
@@ -52,64 +74,73 @@ class Encoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()] if special_ids else []
         self.model = self.tok.model
         self.keeps_spaces, self.remember = keeps_spaces, remember
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.forget()
         letters = byte_letters()
         #: The byte-level alphabet by byte, to spell UTF-8 with.
         self.spell = "".join(letters[b] for b in range(256))
-        self.line = array("I", self.tok.encode("\n", add_special_tokens=False).ids).tobytes() if keeps_spaces else b""
+        #: A line end between words is a word where spaces are kept, and nothing elsewhere.
+        self.line = f"{CUT}\n{CUT}" if keeps_spaces else CUT
+
+    def forget(self) -> None:
+        self.young = self.old = pa.RecordBatch.from_pylist([], HELD)
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one word (with its space, if it has one), as bytes.
+    def _words(self, words: pa.LargeStringArray) -> tuple[pa.RecordBatch, np.ndarray]:
+        """Each word (with its space, if it has one) with its ids, and the places these words had.
 
         A word of Latin-1 letters passes the normaliser and the word pattern whole and unchanged (but for case),
         so it goes to the vocabulary's merges at once.
         """
-        bare = word[1:] if self.keeps_spaces and word[:1] == " " else word
-        if bare.isalpha() and (bare.isascii() or max(bare) <= "\xff"):
-            spelled = charmap_decode((word if self.keeps_spaces else word.lower()).encode(), "strict", self.spell)[0]
-            return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
-
-    def _joined(self, word: str) -> bytes | None:
-        """Ids of a word that is made of others, from theirs: marks after its last letter are a word of their own, and so is,
-        where spaces are kept, one line end between a letter or mark and a letter. None if the word is not so made.
-
-        Only beside Latin-1 letters: others may end in a mark of their own when their case is folded.
+        plain = np.asarray(pc.match_substring_regex(words, f"^{' ?' * self.keeps_spaces}[{LETTERS}]+$"))
+        order = np.argsort(~plain, kind="stable")
+        words = words.take(pa.array(order))
+        texts = words.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
+        few = int(plain.sum())
+        ids, ends, tokenize = array("I"), array("q"), self.model.tokenize
+        for at in range(0, few, 4096):
+            part = "\n".join(texts[at : min(few, at + 4096)])  # spelled at once; no such word holds a line end
+            for spelled in charmap_decode((part if self.keeps_spaces else part.lower()).encode(), "strict", self.spell)[0].split(self.spell[10]):
+                ids.extend([t.id for t in tokenize(spelled)])
+                ends.append(len(ids))
+        for at in range(few, len(texts), 4096):
+            for e in self.tok.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False):
+                ids.extend(e.ids)
+                ends.append(len(ids))
+        return pa.RecordBatch.from_arrays([words, binaries(ids, ends)], schema=HELD), order
+
+    def _parts(self, words: pa.LargeStringArray) -> tuple[np.ndarray, pa.LargeStringArray, np.ndarray]:
+        """The words in another order, the parts of all words in that order, and how many each has.
+
+        Marks after a word's last letter are a word of their own, and so is one line end between a letter or mark and
+        a letter. Only beside Latin-1 letters: others may end in a mark of their own when their case is folded.
         """
-        base = word.rstrip(MARKS)
-        if len(base) < len(word):
-            if base and base[-1] <= "\xff" and base[-1].isalpha():
-                return self._known(base) + self._known(word[len(base) :])
-        elif self.line and "\n" in word:
-            lines = word.split("\n")
-            if all(x and x[-1] <= "\xff" and (x[-1].isalpha() or x[-1] in MARKS) for x in lines[:-1]) and all(x and x[0] <= "\xff" and x[0].isalpha() for x in lines[1:]):
-                return self.line.join(map(self._known, lines))
-        return None
-
-    def _known(self, word: str) -> bytes:
-        ids = self.young.get(word)
-        if ids is None:
-            ids = self.old.get(word)
-            if ids is None:
-                ids = None if word[-1:].isalpha() and "\n" not in word else self._joined(word)
-                if ids is not None:
-                    return ids  # not remembered: its parts are
-                ids = self._word(word)
-            self.young[word] = ids
-        return ids
-
-    def _pieces(self, words: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            ids = list(map(self.young.get, part))
-            for k in [k for k, x in enumerate(ids) if x is None]:
-                ids[k] = self._known(part[k])
-            out += ids
-            if len(self.young) >= self.remember:
-                self.old, self.young = self.young, {}
-        return out
+        joined = np.asarray(pc.or_(pc.match_substring_regex(words, f"[{MARKS}]$"), pc.match_substring(words, "\n")))
+        at = np.flatnonzero(joined)
+        at = at[~np.asarray(pc.match_substring_regex(words.take(pa.array(at)), UNCUT))]
+        joined[:] = False
+        joined[at] = True
+        rest = np.flatnonzero(~joined)
+        marked = pc.replace_substring_regex(words.take(pa.array(at)), f"([{LETTERS}])([{MARKS}]+)(\n|$)", rf"\1{CUT}\2\3")
+        cut = pc.split_pattern(pc.replace_substring(marked, "\n", self.line), CUT)
+        return np.concatenate([rest, at]), pa.concat_arrays([words.take(pa.array(rest)), cut.flatten()]), np.concatenate([np.ones(len(rest), np.int64), np.diff(np.asarray(cut.offsets))])
+
+    def _known(self, parts: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of each part; those that are not remembered are made, each distinct one once."""
+        held = pa.concat_batches([self.old, self.young])
+        found = pc.index_in(parts, value_set=held["word"])
+        new = parts.filter(found.is_null()).dictionary_encode()
+        made, order = self._words(new.dictionary)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(held), len(held) + len(order))
+        at = np.array(found.fill_null(-1))
+        at[at < 0] = place[np.asarray(new.indices)]
+        every = pa.concat_batches([held, made])
+        met = np.zeros(len(every), bool)
+        met[at] = True
+        olds, news = np.arange(len(self.old)), np.arange(len(self.old), len(held))
+        olds = np.concatenate([olds[~met[olds]], olds[met[olds]], news[met[news]]])[-self.remember :]
+        news = np.concatenate([news[~met[news]], np.arange(len(held), len(every))])[-(2 * self.remember - len(olds)) :]
+        self.old, self.young = every.take(pa.array(olds)), every.take(pa.array(news))
+        return every["ids"].take(pa.array(at))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin (one more entry than texts). A null is empty."""
@@ -129,29 +160,27 @@ class Encoder:
         if len(texts) == 0:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         if not self.keeps_spaces:
-            texts = pc.ascii_lower(texts)  # as this vocabulary's normaliser does
-        split = pc.split_pattern(texts, " ")
+            texts = pc.ascii_lower(texts)  # as this vocabulary's normaliser does; a slice that was cast comes out of it garbled
+        split = pc.split_pattern(texts.cast(pa.large_string()), " ")
         bounds = np.asarray(split.offsets).astype(np.int64)
         bounds = bounds - bounds[0]
         coded = split.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.array(coded.indices)  # far faster than to_pylist
+        words, codes = coded.dictionary, np.array(coded.indices)
         del split, coded
         if self.keeps_spaces:
             first = np.unique(codes[bounds[:-1]])  # the words that begin a text carry no space
             place = np.zeros(len(words), np.int32)
             place[first] = np.arange(len(first))
             codes[bounds[:-1]] = len(words) + place[codes[bounds[:-1]]]
-            words = [" " + w for w in words] + [words[k] for k in first]
-        known = self._pieces(words)
-        lens = np.array([len(k) for k in known], dtype=np.int32) // 4
-        flat = np.frombuffer(b"".join(known), dtype=np.uint32)
-        at = np.cumsum(lens, dtype=np.int32) - lens
-        each = lens[codes]
-        ends = np.cumsum(each, dtype=np.int32)  # a slice holds a few million ids
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(at[codes] - (ends - each), each)
-        where += np.arange(total, dtype=np.int32)
-        return flat[where], np.concatenate([[0], ends])[bounds].astype(np.int64)
+            space, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+            words = pa.concat_arrays([pc.binary_join_element_wise(space, words, nothing), words.take(pa.array(first))])
+        order, parts, counts = self._parts(words)
+        flat, at = numbers(self._known(parts))
+        known = binaries(flat, at[np.cumsum(counts)])  # a word's parts lie in a row
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words))
+        ids, at = numbers(known.take(pa.array(place[codes])))
+        return ids, at[bounds]
 
 
 def runs(sizes: np.ndarray, most: int):
@@ -180,7 +209,7 @@ def encoder(name: str, keeps_spaces: bool, remember: int = 250_000):
     try:
         yield lent
     finally:
-        lent.young, lent.old = {}, {}
+        lent.forget()
         give_back()
 
 
